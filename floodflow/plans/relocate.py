@@ -153,18 +153,30 @@ def combine_nearest(st: Stages) -> DataFrame:
             .join(st.to_relocate.select("id", "population"), "id", "inner"))
 
 
-def relocation_rows(st: Stages) -> DataFrame:
-    """(id, num_evacuees, destinationId): whole moves, or 75/25 splits."""
-    combined = combine_nearest(st).checkpoint(eager=True)
-    harbour_nearer, city_only = split(combined, F.col("harbourDistance") < F.col("cityDistance"))
-    whole = city_only.select("id", F.col("population").alias("num_evacuees"), "destinationId")
+def partial_rows(harbour_nearer: DataFrame) -> DataFrame:
+    """75 % of the population to the city and 25 % to the harbour (id -1),
+    each part rounded half-up on its own (they may add up to one more)."""
     to_city = harbour_nearer.select(
         "id", F.round(F.col("population") * F.lit(CITY_SHARE)).cast("long").alias("num_evacuees"),
         "destinationId")
     to_harbour = harbour_nearer.select(
         "id", F.round(F.col("population") * F.lit(HARBOUR_SHARE)).cast("long").alias("num_evacuees"),
         F.lit(HARBOUR_ID).cast("long").alias("destinationId"))
-    return whole.unionByName(to_city).unionByName(to_harbour)
+    return to_city.unionByName(to_harbour)
+
+
+def split_combined(st: Stages) -> tuple[DataFrame, DataFrame]:
+    """(harbour strictly nearer, not nearer) over the combined nearest rows,
+    checkpointed once so both parts read the same result."""
+    combined = combine_nearest(st).checkpoint(eager=True)
+    return split(combined, F.col("harbourDistance") < F.col("cityDistance"))
+
+
+def relocation_rows(st: Stages) -> DataFrame:
+    """(id, num_evacuees, destinationId): whole moves, or 75/25 splits."""
+    harbour_nearer, city_only = split_combined(st)
+    whole = city_only.select("id", F.col("population").alias("num_evacuees"), "destinationId")
+    return whole.unionByName(partial_rows(harbour_nearer))
 
 
 def relocations_from(st: Stages, rows: DataFrame) -> DataFrame:

@@ -68,10 +68,12 @@ UPDATE_AS_READ = T.StructType([
     T.StructField("change", T.LongType()),
 ])
 
+# Properties are read as raw text and checked afterwards, so that one bad
+# feature does not turn its whole document into a corrupt record.
 GEO_PROPERTIES = T.StructType([
     T.StructField("geoname_id", T.StringType()),
     T.StructField("name", T.StringType()),
-    T.StructField("population", T.LongType()),
+    T.StructField("population", T.StringType()),
 ])
 GEO_GEOMETRY = T.StructType([
     T.StructField("type", T.StringType()),

@@ -99,3 +99,72 @@ def city_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("city_name"),
         F.round(F.col("value") * F.lit(100.0)).cast("long").alias("refugees"),
     )
+
+
+def population_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population tags in the shapes seen in map data, from customer keys.
+
+    Fixed rule on k = c_custkey mod 8: 0 plain digits, 1 padded with blanks,
+    2 with a fraction '.7', 3 with a thousands comma, 4 with an exponent,
+    5 empty, 6 null, 7 signed '+'."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    n = F.col("c_custkey").cast("string")
+    k = F.col("c_custkey") % F.lit(8)
+    text = (F.when(k == 0, n)
+             .when(k == 1, F.concat(F.lit(" "), n, F.lit(" ")))
+             .when(k == 2, F.concat(n, F.lit(".7")))
+             .when(k == 3, F.concat(F.lit("1,"), n))
+             .when(k == 4, F.concat(n, F.lit("e3")))
+             .when(k == 5, F.lit(""))
+             .when(k == 6, F.lit(None).cast("string"))
+             .otherwise(F.concat(F.lit("+"), n)))
+    return c.select("c_custkey", text.alias("text"))
+
+
+def update_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update messages as JSON text, with the defects a tolerant reader must
+    survive. (ts, event_id, value).
+
+    Fixed rule on k = event_id mod 10: 0-5 a full update (change = refugees
+    mod 100); 6 refugees missing; 7 refugees negative; 8 broken JSON;
+    9 no city id and a null change."""
+    e = city_events(spark, sf_dir)
+    k = F.col("event_id") % F.lit(10)
+    cid, name = F.col("city_id").cast("string"), F.col("city_name")
+    r = F.col("refugees").cast("string")
+    full = F.concat(F.lit('{"city_id":'), cid, F.lit(',"city_name":"'), name, F.lit('","refugees":'), r,
+                    F.lit(',"change":'), (F.col("refugees") % F.lit(100)).cast("string"), F.lit("}"))
+    text = (F.when(k <= 5, full)
+             .when(k == 6, F.concat(F.lit('{"city_id":'), cid, F.lit(',"change":1}')))
+             .when(k == 7, F.concat(F.lit('{"city_id":'), cid, F.lit(',"refugees":-'),
+                                    (F.col("refugees") + F.lit(1)).cast("string"), F.lit(',"change":0}')))
+             .when(k == 8, F.concat(F.lit('{"refugees":'), r, F.lit(",")))
+             .otherwise(F.concat(F.lit('{"refugees":'), r, F.lit(',"change":null}'))))
+    return e.select("ts", "event_id", text.alias("value"))
+
+
+def city_features(spark: SparkSession, sf_dir: str, versions: bool) -> tuple[DataFrame, int]:
+    """City features from customer rows: (k, version, feature JSON text).
+
+    Fixed rules: geoname_id = string(c_custkey), name = c_name, position as
+    for places. Without versions: population = floor(abs(c_acctbal) * 100),
+    absent when c_acctbal < 0. With versions every customer appears twice,
+    version 0 with population c_custkey * 1000 + 7, then version 1 with
+    floor(abs(c_acctbal) * 100)."""
+    from floodflow.sources.geojson import feature_json
+    c = table(spark, sf_dir, "customer")
+    gid = F.col("c_custkey").cast("string")
+    lat = _coord("c_custkey", 6151, 1800, 40.0)
+    lon = _coord("c_custkey", 3571, 3600, 0.0)
+    bal = F.floor(F.abs(F.col("c_acctbal")) * F.lit(100.0)).cast("long")
+    if not versions:
+        pop = F.when(F.col("c_acctbal") >= 0, bal)
+        out = c.select(F.col("c_custkey").alias("k"), F.lit(0).alias("version"),
+                       feature_json(gid, F.col("c_name"), pop, lon, lat).alias("feature"))
+        return out, None
+    v = c.select("c_custkey", "c_name", "c_acctbal",
+                 F.explode(F.array(F.lit(0), F.lit(1))).alias("version"))
+    pop = F.when(F.col("version") == 0, F.col("c_custkey") * F.lit(1000) + F.lit(7)).otherwise(bal)
+    out = v.select(F.col("c_custkey").alias("k"), "version",
+                   feature_json(gid, F.col("c_name"), pop, lon, lat).alias("feature"))
+    return out, None
