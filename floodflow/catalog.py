@@ -278,6 +278,16 @@ def dense_window_totals(spark, sf):
     return totals.dense_window_totals(_events(spark, sf), WINDOW)
 
 
+@query
+def stream_updates(spark, sf):
+    """The keyed-state stream over the events, run to completion."""
+    from floodflow.sources.files import shared_dir
+    from floodflow.streaming import runner
+    path = shared_dir(spark, "events")
+    runner.write_event_files(_events(spark, sf), path, slices=4)
+    return runner.run_files(spark, path, window_seconds=3600, files_per_trigger=2)
+
+
 def _update_rows(spark, sf):
     return totals.dense_window_totals(_events(spark, sf), WINDOW)
 

@@ -317,3 +317,6 @@ SELECT city_id, name, count, change, share, ratio,
        CAST(7 AS DOUBLE) + share * CAST(7 AS DOUBLE) AS radius,
        CASE WHEN ratio = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS fill_opacity
 FROM latest_n WHERE count > 0""")
+SQL["stream_updates"] = with_events("""
+SELECT city_id, city_name, window_start, refugees, change FROM totals
+WHERE w + 3600000000 <= (SELECT max(epoch_us(ts)) FROM events)""")
