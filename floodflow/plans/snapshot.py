@@ -53,7 +53,10 @@ def latest_state(enriched: DataFrame, order: list[str], key: str = "city_id") ->
 
 def normalised_count(state: DataFrame) -> DataFrame:
     """Adds ``share`` = count / the largest latest count (a scalar subquery,
-    computed once; no global sort and no single-partition window)."""
+    computed once; no global sort and no single-partition window). The state
+    (one row per city) is checkpointed first so the subquery and the main
+    plan read it instead of recomputing the update stream twice."""
+    state = state.checkpoint(eager=True)
     max_count = state.select(F.max("count")).scalar()
     return state.withColumn("share", F.try_divide(F.col("count").cast("double"), max_count.cast("double")))
 

@@ -41,7 +41,10 @@ def decode_tolerant(df: DataFrame, text: str = "value",
     with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json(F.col(text), with_corrupt,
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    out = df.withColumn("_p", parsed)
+    # explode of a one-element array materialises the parsed struct once; a
+    # plain column would let the optimizer copy from_json into every
+    # predicate below (one parse per referenced field).
+    out = df.select("*", F.explode(F.array(parsed)).alias("_p"))
     ok = F.col("_p").isNotNull() & F.col(f"_p.{CORRUPT}").isNull()
     for f in schema.fields:
         c = F.col(f"_p.{f.name}")

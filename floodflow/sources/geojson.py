@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from floodflow import schemas
 
-FEATURES_PER_FILE = 50_000
+FEATURES_PER_FILE = 2_000
 
 
 def feature_json(geoname_id, name, population, lon, lat) -> F.Column:
@@ -34,20 +34,23 @@ def write_collections(features: DataFrame, path: str, order_cols: list[str],
     ordered = (features.repartitionByRange(parts, *order_cols)
                .sortWithinPartitions(*order_cols))
     # One group per partition: bounded by FEATURES_PER_FILE rows.
-    docs = (ordered.withColumn("_part", F.spark_partition_id())
+    # Zero-padded document number: documents sort by path in key order.
+    docs = (ordered.withColumn("_part", F.lpad(F.spark_partition_id().cast("string"), 6, "0"))
             .groupBy("_part")
             .agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order_cols],
                                                       F.col("feature")))).alias("fs"))
             .select(F.concat(F.lit('{"type":"FeatureCollection","features":['),
                              F.array_join(F.transform("fs", lambda s: s["feature"]), ","),
-                             F.lit("]}")).alias("value")))
-    docs.write.mode("errorifexists").text(path)
+                             F.lit("]}")).alias("value"), "_part"))
+    # One folder per document, so every file holds exactly one document (a
+    # multi-line JSON read takes one document per file).
+    docs.write.mode("errorifexists").partitionBy("_part").text(path)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """(doc, pos, feature): every feature with its document and position."""
     coll = (spark.read.schema(schemas.GEO_COLLECTION).option("multiLine", "true")
-            .option("mode", "FAILFAST").json(path)
+            .option("mode", "FAILFAST").option("recursiveFileLookup", "true").json(path)
             .withColumn("doc", F.input_file_name()))
     return coll.select("doc", F.posexplode("features").alias("pos", "feature"))
 

@@ -57,7 +57,13 @@ FOLDED = T.StructType([
 # --py-files, so this module travels by value inside the pickled function.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_META = "name string, name_ts long, name_eid long, total long, next_end long, emitted boolean"
+# All state of a key in one value (one read and one write per call through
+# the state server): first name and its order, running total, end of the
+# next window to report, whether anything was reported, and the open
+# windows (start, change) that have data. Open windows lie between the
+# watermark and the newest event, so the arrays stay short.
+_STATE = ("name string, name_ts long, name_eid long, total long, next_end long, "
+          "emitted boolean, ws array<long>, chs array<long>")
 _BIG = 2 ** 62
 
 
@@ -89,9 +95,7 @@ def _fold(window_ms: int):
 
 
 class WindowTotals(StatefulProcessor):
-    """Keyed state: first name, running total and the next window end; the
-    change of every open window is kept per window start (a micro-batch may
-    span several windows)."""
+    """Keyed state for one city; see ``_STATE``."""
 
     def __init__(self, window_ms: int, event_time: bool = True):
         self.window_ms = window_ms
@@ -99,66 +103,69 @@ class WindowTotals(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.meta = handle.getValueState("meta", _META)
-        self.changes = handle.getMapState("changes", "w long", "change long")
+        self.state = handle.getValueState("city", _STATE)
 
-    # -- helpers
     def _next_tick(self, now_ms: int) -> int:
         return now_ms - now_ms % self.window_ms + self.window_ms
 
+    def _load(self):
+        st = self.state.get()
+        if st is None:
+            return None, None, None, 0, None, False, {}
+        name, name_ts, name_eid, total, next_end, emitted, ws, chs = st
+        return name, name_ts, name_eid, total, next_end, emitted, dict(zip(ws or [], chs or []))
+
+    def _save(self, name, name_ts, name_eid, total, next_end, emitted, open_w) -> None:
+        ws = sorted(open_w)
+        self.state.update((name, name_ts, name_eid, total, next_end, emitted,
+                           ws, [open_w[w] for w in ws]))
+
     def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        m = self.meta.get()
-        name, name_ts, name_eid, total, next_end, emitted = (
-            m if m is not None else (None, None, None, 0, None, False))
+        name, name_ts, name_eid, total, next_end, emitted, open_w = self._load()
+        first_end = next_end
         for pdf in rows:
             for r in pdf.itertuples(index=False):
-                w = 0 if not self.event_time else int(r.w)
+                w = int(r.w) if self.event_time else 0
                 if self.event_time and emitted and w + self.window_ms < next_end:
                     continue  # late: its window was already reported
                 if name is None or (r.name_ts, r.name_eid) < (name_ts, name_eid):
                     name, name_ts, name_eid = r.name, int(r.name_ts), int(r.name_eid)
-                prev = self.changes.getValue((w,)) if self.changes.containsKey((w,)) else None
-                self.changes.updateValue((w,), ((prev[0] if prev else 0) + int(r.change),))
-                if self.event_time:
-                    end = w + self.window_ms
+                open_w[w] = open_w.get(w, 0) + int(r.change)
+                if self.event_time and (next_end is None or w + self.window_ms < next_end):
                     # Before the first report the first window may still move
                     # earlier (rows within the watermark delay).
-                    if next_end is None or end < next_end:
-                        if next_end is not None:
-                            self.handle.deleteTimer(next_end)
-                        next_end = end
-                        self.handle.registerTimer(next_end)
+                    next_end = w + self.window_ms
         if not self.event_time and next_end is None:
             next_end = self._next_tick(timerValues.getCurrentProcessingTimeInMs())
+        if next_end != first_end:
+            if first_end is not None:
+                self.handle.deleteTimer(first_end)
             self.handle.registerTimer(next_end)
-        self.meta.update((name, name_ts, name_eid, total, next_end, emitted))
+        self._save(name, name_ts, name_eid, total, next_end, emitted, open_w)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues,
                            expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        name, name_ts, name_eid, total, next_end, emitted = self.meta.get()
+        name, name_ts, name_eid, total, next_end, emitted, open_w = self._load()
         out = []
         if self.event_time:
             wm = timerValues.getCurrentWatermarkInMs()
             end = next_end
             while end <= wm:
                 w = end - self.window_ms
-                ch = self.changes.getValue((w,))[0] if self.changes.containsKey((w,)) else 0
-                if self.changes.containsKey((w,)):
-                    self.changes.removeKey((w,))
+                ch = open_w.pop(w, 0)
                 total += ch
                 out.append((key[0], name, w, total, ch))
                 end += self.window_ms
             next_end = end
         else:
-            ch = self.changes.getValue((0,))[0] if self.changes.containsKey((0,)) else 0
-            self.changes.updateValue((0,), (0,))
+            ch = open_w.pop(0, 0)
             total += ch
             out.append((key[0], name, expiredTimerInfo.getExpiryTimeInMs() - self.window_ms, total, ch))
             next_end = self._next_tick(max(timerValues.getCurrentProcessingTimeInMs(),
                                            expiredTimerInfo.getExpiryTimeInMs()))
         self.handle.registerTimer(next_end)
-        self.meta.update((name, name_ts, name_eid, total, next_end, emitted or bool(out)))
+        self._save(name, name_ts, name_eid, total, next_end, emitted or bool(out), open_w)
         if out:
             pdf = pd.DataFrame(out, columns=["city_id", "city_name", "w", "refugees", "change"])
             yield pd.DataFrame({
