@@ -20,7 +20,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from floodflow.session import build_session
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus),
                           extra={"spark.driver.memory": "16g"})
     from floodflow.catalog import registry
     from floodflow.plans import relocate

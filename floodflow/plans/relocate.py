@@ -93,7 +93,8 @@ def bounded_elevation(elevation: DataFrame, places: DataFrame, cell_size: float,
     filter on the places' bounding box, widened to whole cells (it reaches the
     Parquet reader as pushed filters), then a semi join with the occupied
     cells when their exact count allows a broadcast (no raster shuffle)."""
-    b = places.agg(F.min("cy"), F.max("cy"), F.min("cx"), F.max("cx")).first()
+    b = places.agg(F.min("cy"), F.max("cy"), F.min("cx"), F.max("cx"),
+                   F.count_distinct("cy", "cx")).first()
     if b[0] is None:
         return elevation.where(F.lit(False))
     s = float(cell_size)
@@ -103,7 +104,7 @@ def bounded_elevation(elevation: DataFrame, places: DataFrame, cell_size: float,
         (F.col("lat") >= F.lit((b[0] - 1) * s)) & (F.col("lat") < F.lit((b[1] + 2) * s)) &
         (F.col("lon") >= F.lit((b[2] - 1) * s)) & (F.col("lon") < F.lit((b[3] + 2) * s)))
     occupied = places.select(*CELL).distinct()
-    n = occupied.count()
+    n = b[4]
     if n > broadcast_rows:
         return boxed
     return (with_cell(boxed, size=cell_size)
@@ -147,9 +148,16 @@ def nearest_harbour(st: Stages) -> DataFrame:
 
 def combine_nearest(st: Stages) -> DataFrame:
     """(id, population, destinationId, cityDistance, harbourDistance). Inner
-    joins: with no harbour or no safe city at all the result is empty."""
-    return (nearest_city(st)
-            .join(nearest_harbour(st), "id", "inner")
+    joins: with no harbour or no safe city at all the result is empty.
+
+    The two searches are independent, so their jobs are submitted from two
+    driver threads and share the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        city = pool.submit(nearest_city, st)
+        harbour = pool.submit(nearest_harbour, st)
+        city, harbour = city.result(), harbour.result()
+    return (city.join(harbour, "id", "inner")
             .join(st.to_relocate.select("id", "population"), "id", "inner"))
 
 

@@ -60,3 +60,10 @@ def decode_tolerant(df: DataFrame, text: str = "value",
 def encode_json(*cols: Column | str, keep_nulls: bool = True) -> Column:
     """JSON object text of the given columns; nulls are written as null."""
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false" if keep_nulls else "true"})
+
+
+def events_from_records(records: DataFrame, schema: T.StructType = schemas.EVENT) -> DataFrame:
+    """Strictly decode a key/value record frame (for example
+    ``readStream.format("kafka")`` on the events topic) into event columns."""
+    return (records.select(decode_strict(F.col("value").cast("string"), schema).alias("e"))
+                   .select("e.*"))

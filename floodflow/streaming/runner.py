@@ -41,11 +41,14 @@ def write_event_files(events: DataFrame, path: str, slices: int = 4) -> None:
 
 
 def run_files(spark: SparkSession, events_dir: str, window_seconds: int,
-              files_per_trigger: int = 1, delay: str = "0 seconds") -> DataFrame:
-    """Event-time run to completion (availableNow); returns the updates."""
+              files_per_trigger: int = 1, delay: str = "0 seconds",
+              out: str | None = None, ckpt: str | None = None) -> DataFrame:
+    """Event-time run to completion (availableNow); returns the updates.
+    Passing the same ``out``/``ckpt`` again resumes from the saved state."""
     from floodflow.session import ship_package
     ship_package(spark)
-    out, ckpt = shared_dir(spark, "updates"), shared_dir(spark, "updates-ckpt")
+    out = out or shared_dir(spark, "updates")
+    ckpt = ckpt or shared_dir(spark, "updates-ckpt")
     src = (spark.readStream.schema(STREAM_EVENT)
            .option("maxFilesPerTrigger", files_per_trigger)
            .option("recursiveFileLookup", "true")
