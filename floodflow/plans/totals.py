@@ -43,14 +43,16 @@ def window_start_us(us: Column, w_us: int) -> Column:
 
 def per_window(events: DataFrame, w_us: int, key: str = "city_id", name: str = "city_name",
                value: str = "refugees", ts: str = "ts", tiebreak: str = "event_id") -> DataFrame:
-    """(key, w, change, name_w, first_w): one row per key and non-empty window."""
+    """(key, w, change, name_w, first_w, last_us): one row per key and
+    non-empty window."""
     order = F.struct(F.col(ts), F.col(tiebreak))
     return (events
             .withColumn("w", window_start_us(event_micros(ts), w_us))
             .groupBy(key, "w")
             .agg(F.sum(value).alias("change"),
                  F.min_by(F.col(name), order).alias("name_w"),
-                 F.min(order).alias("first_w")))
+                 F.min(order).alias("first_w"),
+                 F.max(event_micros(ts)).alias("last_us")))
 
 
 def first_name(events: DataFrame, key: str = "city_id", name: str = "city_name",
@@ -91,16 +93,21 @@ def dense_window_totals(events: DataFrame, length="1 hour", key: str = "city_id"
     ``until_us``). With ``closed_only`` the last window ends at or before the
     latest event time, as a stream with a zero-delay watermark emits it."""
     w_us = window_us(length)
-    pw = per_window(events, w_us, key, name, value, ts, tiebreak)
+    # One row per (key, window): far smaller than the events. Written once so
+    # the events are scanned once; both bounds below read this table.
+    pw = per_window(events, w_us, key, name, value, ts, tiebreak).checkpoint(eager=True)
     keys = pw.groupBy(key).agg(F.min("w").alias("w0"),
                                F.min_by("name_w", "first_w").alias(name))
     if until_us is None:
-        if closed_only:
+        last_w, latest = pw.agg(F.max("w"), F.max("last_us")).first()
+        if latest is None:
+            until = 0
+        elif closed_only:
             # Windows whose end is <= the latest event time.
-            latest = events.select(F.max(event_micros(ts))).scalar()
-            until_us = window_start_us(latest, w_us) - F.lit(w_us)
+            until = latest - latest % w_us - w_us
         else:
-            until_us = pw.select(F.max("w")).scalar()
+            until = last_w
+        until_us = F.lit(until)
     spine = (keys.where(F.col("w0") <= until_us)
              .select(key, name, F.explode(F.sequence(F.col("w0"), until_us, F.lit(w_us))).alias("w")))
     dense = (spine.join(pw.select(key, "w", "change"), [key, "w"], "left")

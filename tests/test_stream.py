@@ -41,9 +41,10 @@ def test_hot_city_preaggregates_before_shuffle(spark):
         F.col("id").alias("event_id"),
         F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("city_id"),
         F.lit("x").alias("city_name"), F.lit(1).cast("long").alias("refugees"))
-    df = totals.dense_window_totals(ev, "1 hour")
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    pw = totals.per_window(ev, totals.window_us("1 hour"))
+    plan = pw._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan  # map-side combine before the exchange
+    df = totals.dense_window_totals(ev, "1 hour")
     hot = [r for r in df.where("city_id = 1").collect()]
     assert sum(r.change for r in hot) == 667 + 1  # every third event plus id 1
 
