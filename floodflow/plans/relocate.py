@@ -187,10 +187,19 @@ def relocation_rows(st: Stages) -> DataFrame:
     return whole.unionByName(partial_rows(harbour_nearer))
 
 
+def _city_names(st: Stages, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Safe-city names for lookups. Every harbour row carries id -1, a hot
+    key; broadcasting the (exactly counted) city table keeps that key out of
+    any shuffle. Above the bound, AQE splits the skewed partition."""
+    dests = st.safe_cities.select("destinationId", "destination", "destinationPopulation")
+    n = dests.count()
+    return F.broadcast(dests) if n <= broadcast_rows else dests
+
+
 def relocations_from(st: Stages, rows: DataFrame) -> DataFrame:
     """(place, num_evacuees, destination)."""
     names = st.places.select("id", "name")
-    dests = st.safe_cities.select("destinationId", "destination")
+    dests = _city_names(st).select("destinationId", "destination")
     joined = (rows.join(names, "id", "left").join(dests, "destinationId", "left")
               .select("name", "num_evacuees", "destination"))
     return joined.na.fill(FILL_NAME).select(F.col("name").alias("place"), "num_evacuees", "destination")
@@ -200,8 +209,7 @@ def destinations_from(st: Stages, rows: DataFrame) -> DataFrame:
     """(destination, old_population, new_population); cities that receive
     nobody are absent; the harbour row is "Waterworld" with old population 0."""
     totals = rows.groupBy("destinationId").agg(F.sum("num_evacuees").alias("arrivals"))
-    joined = (totals.join(st.safe_cities.select("destinationId", "destination", "destinationPopulation"),
-                          "destinationId", "left"))
+    joined = totals.join(_city_names(st), "destinationId", "left")
     filled = fill_nulls(joined, number=0, text=FILL_NAME)
     return filled.select(
         "destination", F.col("destinationPopulation").alias("old_population"),
