@@ -31,7 +31,6 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
-    ship_package(spark)
     return spark
 
 
@@ -47,31 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="floodflow-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
-
-_SHIPPED_KEY = "floodflow.shipped"
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make ``floodflow`` importable in Python workers (pandas UDFs, state
-    processors). Equivalent to ``--py-files``; done once per session."""
-    import os
-    import zipfile
-    sc = spark.sparkContext
-    if sc.getLocalProperty(_SHIPPED_KEY) == "1" or getattr(sc, "_floodflow_shipped", False):
-        return
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    root = os.path.dirname(pkg)
-    fd, path = tempfile.mkstemp(prefix="floodflow-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for d, _, names in os.walk(pkg):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(d, n)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
-    sc._floodflow_shipped = True

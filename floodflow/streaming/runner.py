@@ -45,8 +45,7 @@ def run_files(spark: SparkSession, events_dir: str, window_seconds: int,
               out: str | None = None, ckpt: str | None = None) -> DataFrame:
     """Event-time run to completion (availableNow); returns the updates.
     Passing the same ``out``/``ckpt`` again resumes from the saved state."""
-    from floodflow.session import DEFAULT_CONF, ship_package
-    ship_package(spark)
+    from floodflow.session import DEFAULT_CONF
     # Keyed state with timers needs the RocksDB state store (a runtime
     # setting, read when a query starts).
     key = "spark.sql.streaming.stateStore.providerClass"
