@@ -28,12 +28,15 @@ def write_collections(features: DataFrame, path: str, order_cols: list[str],
                       rows: int | None = None) -> None:
     """Write ``features`` (column ``feature`` = Feature JSON text) as
     FeatureCollection documents, one per partition, features kept in
-    ``order_cols`` order inside each document. Rows are hashed on the first
-    order column (the city key), so all copies of a key share a document and
-    their order there is their order in the collection."""
+    ``order_cols`` order inside each document and documents in range order.
+    A row id completes the order, so even a key that holds a third of all
+    features is spread over several documents of bounded size; readers
+    order by (document path, position)."""
     n = rows if rows is not None else features.count()
     parts = max(1, -(-n // FEATURES_PER_FILE))
-    ordered = (features.repartition(parts, order_cols[0])
+    order_cols = [*order_cols, "_row"]
+    ordered = (features.withColumn("_row", F.monotonically_increasing_id())
+               .repartitionByRange(parts, *order_cols)
                .sortWithinPartitions(*order_cols))
     # One group per partition: bounded by FEATURES_PER_FILE rows.
     # Zero-padded document number: documents sort by path in key order.

@@ -58,3 +58,14 @@ def test_lenient_skips_and_strict_last_wins(spark, tmp_path):
     strict = sorted((r.city_id, r.name) for r in geojson.cities_strict(f2).collect())
     # last wins among cities above 400,000: D2 replaces D, E stays (E2 too small)
     assert strict == [(1, "A"), (4, "D2"), (5, "E")]
+
+
+def test_hot_key_spans_documents_and_last_wins(spark, tmp_path):
+    # One id holds most features: it is spread over several small documents,
+    # and the last copy still wins.
+    rows = [(1, v, "1", f"N{v}", 500000 + v) for v in range(12)] + [(2, 0, "2", "B", 600000)]
+    path = str(tmp_path / "hot")
+    f = _features(spark, rows, path, per_file=3)
+    assert f.select("doc").distinct().count() >= 3
+    strict = sorted((r.city_id, r.name, r.population) for r in geojson.cities_strict(f).collect())
+    assert strict == [(1, "N11", 500011), (2, "B", 600000)]
