@@ -329,8 +329,7 @@ def latest_non_null(spark, sf):
 
 def _city_features(spark, sf, versions: bool) -> DataFrame:
     path = files.shared_dir(spark, "cities")
-    feats, rows = tables.city_features(spark, sf, versions)
-    geojson.write_collections(feats, path, ["k", "version"], rows)
+    geojson.write_collections(tables.city_features(spark, sf, versions), path, ["k", "version"])
     return geojson.read_features(spark, path)
 
 

@@ -143,7 +143,7 @@ def update_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("ts", "event_id", text.alias("value"))
 
 
-def city_features(spark: SparkSession, sf_dir: str, versions: bool) -> tuple[DataFrame, int]:
+def city_features(spark: SparkSession, sf_dir: str, versions: bool) -> DataFrame:
     """City features from customer rows: (k, version, feature JSON text).
 
     Fixed rules: geoname_id = string(c_custkey), name = c_name, position as
@@ -161,10 +161,10 @@ def city_features(spark: SparkSession, sf_dir: str, versions: bool) -> tuple[Dat
         pop = F.when(F.col("c_acctbal") >= 0, bal)
         out = c.select(F.col("c_custkey").alias("k"), F.lit(0).alias("version"),
                        feature_json(gid, F.col("c_name"), pop, lon, lat).alias("feature"))
-        return out, None
+        return out
     v = c.select("c_custkey", "c_name", "c_acctbal",
                  F.explode(F.array(F.lit(0), F.lit(1))).alias("version"))
     pop = F.when(F.col("version") == 0, F.col("c_custkey") * F.lit(1000) + F.lit(7)).otherwise(bal)
     out = v.select(F.col("c_custkey").alias("k"), "version",
                    feature_json(gid, F.col("c_name"), pop, lon, lat).alias("feature"))
-    return out, None
+    return out
