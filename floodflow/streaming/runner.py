@@ -65,3 +65,34 @@ def run_files(spark: SparkSession, events_dir: str, window_seconds: int,
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(out)
+
+
+def kafka_available(spark: SparkSession) -> bool:
+    """True when the Kafka source/sink connector is on the classpath."""
+    try:
+        spark._jvm.java.lang.Class.forName("org.apache.spark.sql.kafka010.KafkaSourceProvider")
+        return True
+    except Exception:  # noqa: BLE001 - any failure means the class is absent
+        return False
+
+
+def start_kafka_job(spark: SparkSession, servers: str, window_seconds: int, checkpoint: str,
+                    events_topic: str = "events", updates_topic: str = "updates",
+                    time_mode: str = "ProcessingTime", delay: str = "0 seconds"):
+    """Production wiring: events topic -> keyed-state updates -> updates
+    topic (key = city id as text, value = JSON). Needs the Kafka connector on
+    the classpath; raises a clear error otherwise."""
+    from floodflow.session import DEFAULT_CONF
+    from floodflow.sources.codecs import events_from_records
+    from floodflow.streaming.windowed import encode_updates
+    if not kafka_available(spark):
+        raise RuntimeError("the Kafka connector (spark-sql-kafka) is not on the classpath")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, DEFAULT_CONF[key])
+    records = (spark.readStream.format("kafka")
+               .option("kafka.bootstrap.servers", servers)
+               .option("subscribe", events_topic).load())
+    updates = windowed_updates(events_from_records(records), window_seconds, time_mode, delay)
+    return (encode_updates(updates).writeStream.format("kafka")
+            .option("kafka.bootstrap.servers", servers).option("topic", updates_topic)
+            .option("checkpointLocation", checkpoint).outputMode("append").start())

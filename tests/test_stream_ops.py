@@ -84,3 +84,11 @@ def test_corrupt_files_are_skipped(spark, tmp_path):
     spark.createDataFrame([(1.0, 2.0, 3)], "lat double, lon double, elevation int").write.parquet(str(d))
     (d / "part-99999-garbage.parquet").write_bytes(b"not a parquet file")
     assert read_parquet(spark, str(d), schemas.ELEVATION).count() == 1
+
+
+def test_kafka_job_is_gated(spark, tmp_path):
+    import pytest
+    if runner.kafka_available(spark):
+        pytest.skip("connector present")
+    with pytest.raises(RuntimeError, match="Kafka connector"):
+        runner.start_kafka_job(spark, "localhost:9092", 10, str(tmp_path / "ck"))
