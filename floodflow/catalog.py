@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from floodflow import schemas
 from floodflow.functions.columns import sampling_weight, tolerant_long, with_cell
 from floodflow.operators.nearest import has_nearer
-from floodflow.operators.relational import argmin_rows, fill_nulls, select_distinct, split
+from floodflow.operators.relational import argmin_rows, fill_nulls, select_distinct
 from floodflow.operators.sample import weighted_sample
 from floodflow.plans import relocate, snapshot, totals
 from floodflow.sources import codecs, files, geojson, tables

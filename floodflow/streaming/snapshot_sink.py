@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodflow.plans.snapshot import latest_state, map_snapshot
+from floodflow.plans.snapshot import map_snapshot
 
 STATE_COLS = ["city_id", "name", "count", "change", "seq", "change_seq"]
 
