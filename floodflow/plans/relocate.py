@@ -83,8 +83,9 @@ def all_places(filtered: DataFrame, cell_size: float, cell_fn=None) -> DataFrame
 def cell_elevation(elevation: DataFrame, cell_size: float, cell_fn=None) -> DataFrame:
     """(cy, cx, avg_elevation). Partial aggregation runs before the shuffle,
     so one row per cell and map task crosses the network."""
+    cols = CELL if cell_fn is None else CELL[:1]
     return (with_cell(elevation, size=cell_size, cell_fn=cell_fn)
-            .groupBy(*CELL).agg(F.avg("elevation").alias("avg_elevation")))
+            .groupBy(*cols).agg(F.avg("elevation").alias("avg_elevation")))
 
 
 def bounded_elevation(elevation: DataFrame, places: DataFrame, cell_size: float,

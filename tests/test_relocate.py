@@ -127,3 +127,18 @@ def test_bounded_scan_pushes_box_to_parquet(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(lat), IsNotNull(lon), GreaterThanOrEqual(lat" in plan
     # Only raster points in cells that hold a place survive.
     assert sorted((r.lat, r.lon) for r in b.collect()) == [(0.5, 2.5)]
+
+
+def test_pluggable_cell_function_gives_same_result(spark):
+    # A single string key equivalent to the square grid, passed as cell_fn.
+    def cell_fn(lat, lon):
+        return F.concat_ws(":", F.floor(lat / F.lit(1.0)).cast("string"),
+                           F.floor(lon / F.lit(1.0)).cast("string"))
+    nodes = [place(1, "town", "100", 0.5, 3.5, "Low"), place(2, "city", "1000", 0.5, 5.5, "High"),
+             place(3, "village", "10", 0.5, 0.5, "Low2"), harbour(50, 0.5, 3.7),
+             place(4, "town", "6", 3.5, 0.5, "Far"), place(5, "city", "500", 3.5, 3.5, "Second")]
+    n = spark.createDataFrame(nodes, NODE)
+    e = spark.createDataFrame(HIGH, ELEV)
+    grid = sorted(tuple(r) for r in relocate.relocations(n, e, 10.0, 1.0).collect())
+    custom = sorted(tuple(r) for r in relocate.relocations(n, e, 10.0, 1.0, cell_fn=cell_fn).collect())
+    assert custom == grid and len(grid) == 3
