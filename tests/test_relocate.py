@@ -142,3 +142,10 @@ def test_pluggable_cell_function_gives_same_result(spark):
     grid = sorted(tuple(r) for r in relocate.relocations(n, e, 10.0, 1.0).collect())
     custom = sorted(tuple(r) for r in relocate.relocations(n, e, 10.0, 1.0, cell_fn=cell_fn).collect())
     assert custom == grid and len(grid) == 3
+
+
+def test_fill_nulls_subset(spark):
+    from floodflow.operators.relational import fill_nulls
+    df = spark.createDataFrame([(None, None, None)], "a long, s string, t string")
+    assert tuple(fill_nulls(df).first()) == (0, "Waterworld", "Waterworld")
+    assert tuple(fill_nulls(df, text_subset=["t"]).first()) == (0, None, "Waterworld")
