@@ -15,11 +15,12 @@ def t(h, m=0, s=0):
 
 
 def test_golden_sample_running_total(spark):
-    # A city at 201077 receives 14 and 6 in one window: next update 201097,
-    # change 20. Another city with one event of 0 reports change 0.
+    # Fixed values (the published stream sample): a city at 201077 receives 14
+    # and 6 in one window: next update 201097, change 20. Another city with
+    # one event of 0 reports change 0.
     ev = spark.createDataFrame([
-        (t(0, 5), 1, 7, "Anqing", 201077), (t(1, 10), 2, 7, "Anqing", 14), (t(1, 20), 3, 7, "Anqing", 6),
-        (t(1, 30), 4, 9, "Melbourne", 0)], EV)
+        (t(0, 5), 1, 7, "River", 201077), (t(1, 10), 2, 7, "River", 14), (t(1, 20), 3, 7, "River", 6),
+        (t(1, 30), 4, 9, "Bay", 0)], EV)
     rows = {(r.city_id, r.window_start.hour): (r.refugees, r.change)
             for r in totals.dense_window_totals(ev, "1 hour").collect()}
     assert rows[(7, 1)] == (201097, 20)
