@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodflow.llm import decontaminate, jaccard_join, quality_rules, repeats
-from floodflow.llm.base import table
+from floodflow.llm import decontaminate, jaccard_join, packing, quality_rules, repeats, token_index
+from floodflow.llm.base import materialize, table
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +24,25 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = materialize(packing.pieces(table(spark, sf_dir, "documents")), "pack-pieces")
+    cut = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32",
+                                    "sequence_id", "offset")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_join.join_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op9_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    manifest = token_index.write(docs)
+    out = token_index.lookup(spark, manifest, docs.select("doc_id"))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"),
                               table(spark, sf_dir, "labels"))
@@ -39,7 +53,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op9_token_index": op9_token_index,
     "op10_quality_rules": op10_quality_rules,
 }
 
