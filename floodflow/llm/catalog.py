@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodflow.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules, repeats, token_index
+from floodflow.llm import (chat, classifier, decontaminate, jaccard_join, line_dedup, packing,
+                           quality_rules, repeats, secrets, token_index)
 from floodflow.llm.base import materialize, table
 
 
@@ -17,6 +18,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -41,6 +46,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "end", F.sha2("candidate", 256).alias("candidate_sha256"),
+                      "assigned", "score", "secret")
+
+
+def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
+    return out.select("conv_id", "speaker", "segment", "n_turns",
+                      F.sha2("text", 256).alias("text_sha256"), spans.alias("mask"))
+
+
 def op9_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = token_index.write(docs)
@@ -57,12 +75,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_decontaminate": op3_decontaminate,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_chat_perspectives": op8_chat_perspectives,
     "op9_token_index": op9_token_index,
     "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+_OP8 = """
+WITH t AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN role IS NULL OR role = '' THEN 'unknown' ELSE role END AS who,
+         replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, who AS speaker FROM t WHERE who <> 'system'),
+r AS (
+  SELECT p.conv_id, speaker, coalesce(CAST(floor(turn / 512) AS BIGINT), -1) AS segment, turn, who, text,
+         '<|im_start|>' || CASE WHEN who = 'system' THEN 'system' WHEN who = speaker THEN 'assistant'
+                                ELSE 'user name=' || who END || chr(10) AS head,
+         text || '<|im_end|>' AS body
+  FROM t JOIN p ON t.conv_id = p.conv_id),
+o AS (
+  SELECT *, sum(length(head) + length(body) + 1) OVER (
+           PARTITION BY conv_id, speaker, segment ORDER BY turn, who, text
+           ROWS UNBOUNDED PRECEDING) - length(body) - 1 AS start FROM r)
+SELECT conv_id, speaker, segment, count(*) AS n_turns,
+       sha256(string_agg(head || body || chr(10), '' ORDER BY turn, who, text)) AS text_sha256,
+       coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(body) AS BIGINT), ','
+                           ORDER BY turn, who, text) FILTER (who = speaker), '') AS mask
+FROM o GROUP BY conv_id, speaker, segment
+"""
+
+SQL: dict[str, str] = {"op8_chat_perspectives": _OP8}
