@@ -19,13 +19,13 @@ anchored suffixes are sorted, about one in forty positions.
    a maximal repeat, its first occurrence stays, and the others yield spans.
 4. Spans are merged per document and cut out of the bytes.
 
-Equality of contexts in steps 1 and 2 is taken from 64-bit gram and 64-bit
-context hashes together; step 3 compares bytes.
+Equality of contexts in steps 1 and 2 is taken from
+40-bit gram and 64-bit context hashes together; step 3 compares bytes.
 
 Defined cases: a null text is empty; texts shorter than ``MIN_BYTES`` keep all
 bytes; a null doc_id sorts before all others; rows that repeat id and text are
-one document and get equal rows; rows that share only the id are ordered by a
-hash of the text. Extra columns are ignored.
+one document and get equal rows; rows that share only the id are told apart
+and ordered by a 32-bit hash of the text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from floodflow.llm.base import materialize, row_key
+from floodflow.llm.base import materialize
 from floodflow.llm.blocks import Block, batches, mix
 
 MIN_BYTES = 100
@@ -95,7 +95,7 @@ def merge_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
 
 
 _ROWS = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()),
-                   ("sub", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+                   ("sub", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def _local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +112,7 @@ def _local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             left = np.maximum(pos - REACH, block.starts[text])
             right = np.minimum(pos + MIN_BYTES, block.ends[text])
-            gram = block.range_hash(pos, pos + GRAM)
+            gram = block.range_hash(pos, pos + GRAM) >> np.uint64(24)  # 40 bits: contexts decide
             ctx = mix(block.range_hash(left, right) ^ mix(
                 ((pos - left).astype(np.uint64) << np.uint64(32)) | (right - pos).astype(np.uint64)))
             base = block.starts[text]
@@ -130,13 +130,13 @@ def _local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rank = np.unique(np.stack((doc[again], sub[again])), axis=1, return_inverse=True)
             who, start, end = merge_spans(rank[1].ravel(), left[again], right[again])
             doc_s, sub_s = rank[0][0][who], rank[0][1][who]
-            yield _rows(mix(sub_s.astype(np.uint64) ^ start.astype(np.uint64)), np.zeros(len(who), np.int64),
+            yield _rows(mix(doc_s.astype(np.uint64) ^ start.astype(np.uint64)) | np.uint64(1 << 63), np.zeros(len(who), np.int64),
                         doc_s, sub_s, start, end)
 
 
 def _rows(gram, ctx, doc, sub, start, end) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(gram.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc), pa.array(sub),
+        [pa.array(gram.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc), pa.array(sub.astype(np.int32)),
          pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], schema=_ROWS)
 
 
@@ -209,7 +209,7 @@ def _diverse(group: list[int], suffixes: list[tuple[bytes, bytes]], right: int)
     return len(seen) > 1 or b"" in seen
 
 
-_CTX = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()), ("pos", pa.int32()),
+_CTX = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("sub", pa.int32()), ("pos", pa.int32()),
                   ("left", pa.binary()), ("right", pa.binary())])
 
 
@@ -252,7 +252,7 @@ def _key(gram: int, part: bytes) -> int:
                                           ).digest(), "little", signed=True)
 
 
-_SPANS = pa.schema([("doc", pa.int64()), ("sub", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+_SPANS = pa.schema([("doc", pa.int64()), ("sub", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def _group_spans(rows: list[tuple], out: list[tuple]) -> None:
@@ -296,12 +296,14 @@ _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         out: list[tuple] = []
-        for key, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
-            text = text or b""
+        for key, text, spans in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(),
+                                    batch.column("spans"), strict=True):
             n = len(text)
-            if spans:
-                a = np.array([s["start"] for s in spans], np.int64)
-                e = np.minimum([s["end"] for s in spans], n)
+            key = None if key == _NO_ID else key
+            if spans.is_valid:
+                packed = spans.values.to_numpy(zero_copy_only=False)
+                a = packed >> 32
+                e = np.minimum(packed & 0xFFFFFFFF, n)
                 _, a, e = merge_spans(np.zeros(len(a), np.int64), np.maximum(a, 0), e)
                 ends = [0, *e.tolist()]
                 kept = b"".join(text[x:y] for x, y in zip(ends, [*a.tolist(), n], strict=True))
@@ -316,7 +318,7 @@ def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Spans (doc, sub, start, end) of bytes to remove, not merged. ``docs`` has
     doc (never null), sub (tells rows of one doc apart) and text as bytes."""
-    rows = docs.mapInArrow(_local, "gram long, ctx long, doc long, sub long, start int, end int")
+    rows = docs.mapInArrow(_local, "gram long, ctx long, doc long, sub int, start int, end int")
     order = Window.partitionBy("gram").orderBy("ctx", "doc", "sub", "start")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.lag(F.struct("ctx", "doc", "sub", "start")).over(order)
@@ -334,9 +336,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spots = (rows.where(F.col("end") == 0).groupBy("doc", "sub")
              .agg(F.collect_set(F.struct("start", "gram", "many")).alias("spots")))
     around = (docs.join(spots, ["doc", "sub"])
-              .mapInArrow(_contexts, "key long, doc long, sub long, pos int, left binary, right binary"))
+              .mapInArrow(_contexts, "key long, doc long, sub int, pos int, left binary, right binary"))
     found = (around.repartition(F.col("key")).sortWithinPartitions("key", "doc", "sub", "pos")
-             .mapInArrow(_tree, "doc long, sub long, start int, end int"))
+             .mapInArrow(_tree, "doc long, sub int, start int, end int"))
     return known.unionByName(found)
 
 
@@ -344,11 +346,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans and
     the remaining bytes ``kept``."""
     base = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"),
-        row_key("doc_id", "text").alias("sub"), F.col("doc_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.hash("text").alias("sub"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    spans = repeated_spans(base.select("doc", "sub", "text"))
-    per = spans.groupBy("sub").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    per = materialize(per, "repeat-spans")
-    return (base.select("doc_id", "sub", "text").join(per, "sub", "left")
-            .select("doc_id", "text", "spans").mapInArrow(_cut, _KEPT))
+    packed = F.shiftleft(F.greatest("start", F.lit(0)).cast("long"), 32).bitwiseOR(F.col("end").cast("long"))
+    per = repeated_spans(base).groupBy("doc", "sub").agg(F.collect_list(packed).alias("spans"))
+    return base.join(per, ["doc", "sub"], "left").select("doc", "text", "spans").mapInArrow(_cut, _KEPT)
