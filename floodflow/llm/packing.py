@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, cut: str | None = "spa
         task, enc, end = TaskContext.get().partitionId(), None, np.array([end_id], "<u4").tobytes()
         ranks = [0] * (seq_len + 1)
         for batch in it:
-            enc = enc or Encoder(path, cut)
+            enc = enc or Encoder.shared(path, cut)
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 rows: list[tuple] = []

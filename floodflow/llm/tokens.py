@@ -14,6 +14,8 @@ is at every space and line break. ``cut=None``: every text is encoded whole.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterable
 
 import numpy as np
@@ -22,14 +24,46 @@ import numpy as np
 MEMO_PIECES = 600_000
 
 
+#: Marks that are a pre-token of their own after a word.
+_MARKS = ".,;:!?"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Printable stand-ins of bytes in byte-level vocabularies, for str.translate
+    of a text decoded as Latin-1 (fixed by the file format: printable bytes stand
+    for themselves, the others for U+0100 and up, in order)."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
+    """``Encoder.shared`` keeps one per worker process, which serves many tasks."""
+
+    @classmethod
+    def shared(cls, path: str, cut: str | None, dtype: str = "<u4") -> Encoder:
+        state = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))
+        key = f"{path}|{cut}|{dtype}"
+        if key not in vars(state):
+            setattr(state, key, cls(path, cut, dtype))
+        return getattr(state, key)
+
     def __init__(self, path: str, cut: str | None, dtype: str = "<u4"):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.cut, self.dtype = cut, dtype
         self.after: dict[str, bytes | None] = {}
         self.first: dict[str, bytes | None] = {}
+        self.letters = _byte_letters()
         self.line = self._pack(["\n"])[0]
+        self.marks = dict(zip(_MARKS, self._pack(list(_MARKS)), strict=True))
+
+    def _word(self, lead: str, word: str) -> bytes:
+        """Ids of one word of letters: a single pre-token, straight from the model."""
+        if self.cut == "space_drop":
+            word = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
+        text = (lead + word).encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(text)], self.dtype).tobytes()
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -45,6 +79,17 @@ class Encoder:
                 if not p or p[0].isspace() or p[-1].isspace():
                     memo[p] = None
             new = [p for p in new if p not in memo]
+        rest = []
+        for p in new:
+            core, mark = (p[:-1], p[-1]) if p[-1:] in self.marks else (p, "")
+            if core.isalpha() and (core.isascii() or max(core) < "\u0590"):
+                if core not in memo:
+                    memo[core] = self._word(lead, core)
+                if mark:
+                    memo[p] = memo[core] + self.marks[mark]
+            else:
+                rest.append(p)
+        new = rest
         for i in range(0, len(new), 5000):
             part = new[i:i + 5000]
             memo.update(zip(part, self._pack([lead + p for p in part]), strict=True))
