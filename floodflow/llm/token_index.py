@@ -99,6 +99,11 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def _vocabulary(path: str) -> int:
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
 _MANIFEST = ("task int, ids_file string, index_file string, low long, high long, n_docs long, n_ids long")
 
 
@@ -120,15 +125,13 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer: str | None = No
             if not batch.num_rows:
                 continue
             if out is None:
-                enc = Encoder(path, cut)
-                width = 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-                enc.dtype = f"<u{width}"
-                enc.line = b""
+                width = 2 if _vocabulary(path) <= 1 << 16 and end_id < 1 << 16 else 4
+                enc = Encoder.shared(path, cut, f"<u{width}")
                 fs, root = _open(folder)
                 fs.create_dir(root, recursive=True)
                 name = f"{root}/shard-{uuid.uuid4().hex}"
                 out = fs.open_output_stream(name + ".ids")
-                end = np.array([end_id], enc.dtype).tobytes()
+                end = np.array([end_id], f"<u{width}").tobytes()
             docs_.append(batch.column("doc").to_numpy())
             for lo in range(0, batch.num_rows, 500):
                 texts = [t or "" for t in batch.column("text").slice(lo, 500).to_pylist()]
