@@ -3,7 +3,7 @@
 Only the histogram of piece lengths (at most ``seq_len`` numbers) reaches the
 driver. There, patterns of two and three lengths that fill a sequence exactly
 are enumerated, their repeat counts are fitted to the histogram by non-negative
-least squares on an active set, rounded down, and what remains is packed best
+least squares on an active set, rounded, and what remains is packed best
 fit, longest first, on counts of equal lengths. The plan says for every length
 which rank goes to which sequence and offset; its size depends on ``seq_len``,
 not on the number of documents, so broadcasting it is safe at any scale.
@@ -88,16 +88,18 @@ def exact_patterns(have: np.ndarray, seq_len: int) -> np.ndarray:
 
 
 def fit(patterns: np.ndarray, hist: np.ndarray) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - hist|, by an active set of the
-    patterns with the steepest gradient and coordinate descent on that set."""
+    """Repeat counts x >= 0 that minimise the squares of A x - hist, weighted by the
+    square of the length (long pieces are hardest to place later), by an active
+    set of the patterns with the steepest gradient and coordinate descent on it."""
     x = np.zeros(len(patterns))
     if not len(patterns):
         return x
+    weight = (np.arange(len(hist)) / len(hist)) ** 2
     left = hist.astype(float)
     left[0] = 0.0
     active: np.ndarray = np.empty(0, np.int64)
     for _ in range(_ROUNDS):
-        slope = left[patterns].sum(1)
+        slope = (weight * left)[patterns].sum(1)
         slope[active] = -np.inf
         new = np.argsort(-slope, kind="stable")[:_ACTIVE]
         active = np.concatenate((active, new[slope[new] > 0]))
@@ -105,8 +107,8 @@ def fit(patterns: np.ndarray, hist: np.ndarray) -> np.ndarray:
             moved = 0.0
             for j in active.tolist():
                 p = [v for v in patterns[j].tolist() if v]
-                norm = sum(p.count(v) for v in p)
-                step = max(sum(left[v] for v in p) / norm, -x[j])
+                norm = sum(weight[v] * p.count(v) for v in p)
+                step = max(sum(weight[v] * left[v] for v in p) / norm, -x[j])
                 if step:
                     x[j] += step
                     for v in p:
@@ -154,9 +156,9 @@ def plan(hist: np.ndarray, seq_len: int = SEQ_LEN) -> list[tuple[tuple[int, ...]
         left[seq_len] = 0
     patterns = exact_patterns(np.flatnonzero(left), seq_len)
     x = fit(patterns, left)
-    for j in np.argsort(-x, kind="stable").tolist():
+    for j in np.lexsort((-x, -patterns.max(1, initial=0))).tolist():  # longest piece first
         if x[j] < 0.5:
-            break
+            continue
         p = [v for v in patterns[j].tolist() if v]
         n = min(int(x[j] + 0.5), *(int(left[v]) // p.count(v) for v in p))
         if n:
