@@ -13,7 +13,9 @@ Documents with equal sets form one class and are compared once. Only
 connectivity is asked for, so a bucket of k classes first yields k - 1 pairs
 with its most central class (the one whose prefix is shared most); pairs that
 the links found so far already connect are not compared, and what the stars
-leave unconnected is compared in full. No link between different components is
+leave unconnected is paired in full. Pairs must also pass a parity bitmap: bits
+of the two sets' bitmaps that differ bound the symmetric difference from below,
+so near copies that are not similar enough end there. No link between different components is
 lost, whatever the size of a bucket, and no cap applies.
 
 Shingle hashes have 64 bits; a class is told by a 64-bit hash of its set.
@@ -43,7 +45,8 @@ ORDERS = (0x0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Most frequent shingles that the orders put last: the bound of the only broadcast.
 FREQUENT = 200_000
 _LOCAL = 4  # a map batch reports shingles that so many of its documents share
-_STARS = 3
+_STARS = 2
+_WORDS = 8  # 64-bit words of a parity bitmap
 _NO_ID = -(1 << 63)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -126,24 +129,42 @@ def frequent_shingles(docs: DataFrame) -> Orders:
 
 
 def signatures(docs: DataFrame, orders: Orders) -> DataFrame:
-    """Per row: doc, rk, n (set size), cls (hash of the set), pre (first order's prefix)."""
+    """Per row: doc, rk, n (set size), cls (hash of the set), pre (first order's
+    prefix), score (share of frequent shingles in it) and bits (parity bitmap)."""
     shared = docs.sparkSession.sparkContext.broadcast((orders.hashes, orders.counts))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Orders(*shared.value)
         for batch in it:
-            n, cls, pre = [], [], []
+            n, cls, pre, score, bits = [], [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist()):
                 n.append(len(s))
                 cls.append(int(mix(np.array([mix(s).sum() ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
-                pre.append(own.prefix(s, 0).view(np.int64) if len(s) else s.view(np.int64))
+                front = own.prefix(s, 0) if len(s) else s
+                pre.append(front.view(np.int64))
+                score.append(float((own.frequency(front) > 0).mean()) if len(s) else 0.0)
+                bits.append(parity(s))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), batch.column("rk"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()),
-                 pa.array(pre, pa.list_(pa.int64()))], names=["doc", "rk", "n", "cls", "pre"])
+                 pa.array(pre, pa.list_(pa.int64())), pa.array(score, pa.float64()),
+                 pa.array(bits, pa.list_(pa.int64()))],
+                names=["doc", "rk", "n", "cls", "pre", "score", "bits"])
 
     return (docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"),
                         row_key("doc_id", "text").alias("rk"), _bytes())
-            .mapInArrow(run, "doc long, rk long, n long, cls long, pre array<long>"))
+            .mapInArrow(run, "doc long, rk long, n long, cls long, pre array<long>, score double, bits array<long>"))
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Per bit whether an odd number of the set's shingles hash to it."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * _WORDS - 1), minlength=64 * _WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _near(x: str, y: str, nx: str, ny: str) -> Column:
+    """Whether the parity bitmaps leave the similarity possible."""
+    differ = sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(_WORDS))
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col(nx) + F.col(ny))
 
 
 def _fits(n1: str, p1: str, n2: str, p2: str) -> Column:
@@ -199,38 +220,26 @@ def join_components(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     orders = frequent_shingles(docs)
     rows = materialize(signatures(docs, orders), "shingle-sets")
-    classes = (rows.where("n > 0").groupBy("cls", "n")
-               .agg(F.min(F.struct("doc", "rk")).alias("rep"), F.first("pre").alias("pre")))
-    tokens = materialize(classes.select("cls", "n", F.col("rep.rk").alias("rk"), "pre"), "shingle-classes")
-    spots = tokens.select("cls", "n", F.posexplode("pre").alias("pos", "t"))
-
-    # buckets of two and more classes, and how much of its prefix a class shares
-    busy = spots.groupBy("t").agg(F.count("*").alias("k")).where("k > 1")
-    spots = materialize(spots.join(busy, "t").select("t", "cls", "n", "pos"), "shingle-buckets")
-    score = spots.groupBy("cls", "n").agg(F.count("*").alias("c"))
-    score = score.select("cls", (F.col("c") / (F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + 1))
-                         .alias("score"))
-    wanted = spots.select("cls").distinct()
+    named = rows.select("doc", "rk", "n", "cls")
+    reps = rows.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc", "rk")).alias("rep"))
+    reps = reps.select("cls", F.col("rep.rk").alias("rk"))
+    classes = (rows.where("n > 0").join(reps, ["cls", "rk"], "left_semi").dropDuplicates(["cls"])
+               .select("cls", "rk", "n", "pre", "score", "bits"))
+    classes = materialize(classes, "shingle-classes")
+
+    # buckets of two and more classes
+    spots = classes.select("cls", "n", "score", F.posexplode("pre").alias("pos", "t"))
+    busy = spots.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t")
+    open_ = materialize(spots.join(busy, "t").withColumn("comp", F.col("cls")), "shingle-buckets")
+    wanted = classes.join(open_.select("cls").distinct(), "cls", "left_semi").select("cls", "rk")
     texts = materialize(
-        docs.select(row_key("doc_id", "text").alias("rk"), _bytes())
-        .join(tokens.join(wanted, "cls", "left_semi").select("cls", "rk"), "rk").dropDuplicates(["cls"])
-        .select("cls", "text"), "shingle-texts")
-    spots = materialize(spots.join(score, "cls"), "shingle-scored")
+        docs.select(row_key("doc_id", "text").alias("rk"), _bytes()).join(wanted, "rk")
+        .select("cls", "text"), "shingle-texts").dropDuplicates(["cls"])
+    marks = classes.select("cls", "n", "bits")
 
-    edges, tried = None, None
+    edges = tried = comp = None
     for turn in range(_STARS + 1):
-        open_ = spots
-        if edges is not None:
-            comp = materialize(components(edges), "shingle-components")
-            known = spots.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-            known = known.withColumn("comp", F.coalesce("comp", "cls"))
-            split = known.groupBy("t").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b")
-            open_ = materialize(known.join(split.select("t"), "t"), "shingle-open")
-            if open_.isEmpty():
-                break
-        else:
-            open_ = open_.withColumn("comp", F.col("cls"))
-        pairs = _star_pairs(open_, turn) if turn < _STARS else _all_pairs(open_)
+        pairs = _star_pairs(open_, marks, turn) if turn < _STARS else _all_pairs(open_, marks)
         if tried is not None:
             pairs = pairs.join(tried, [F.least(pairs.hub, pairs.cls) == tried.x,
                                        F.greatest(pairs.hub, pairs.cls) == tried.y], "left_anti")
@@ -239,13 +248,16 @@ def join_components(docs: DataFrame) -> DataFrame:
         tried = ends if tried is None else tried.unionByName(ends)
         new = materialize(verified(pairs, texts, orders), "shingle-links")
         edges = new if edges is None else edges.unionByName(new)
+        comp = materialize(components(edges), "shingle-components").withColumnRenamed("node", "cls")
+        if turn < _STARS:  # links only join components: a bucket that is one stays one
+            known = open_.drop("comp").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+            split = known.groupBy("t").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b")
+            open_ = materialize(known.join(split.select("t"), "t"), "shingle-open")
+            if open_.isEmpty():
+                break
 
-    comp = materialize(components(edges), "shingle-components")
-    named = (rows.where("n > 0").select("doc", "rk", "n", "cls")
-             .join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-             .withColumn("comp", F.coalesce("comp", "cls")))
-    least = (named.groupBy("cls", "comp").agg(F.min("doc").alias("low"))
-             .groupBy("comp").agg(F.min("low").alias("component")))
+    named = (named.where("n > 0").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    least = named.groupBy("comp").agg(F.min("doc").alias("component"))
     linked = named.join(least, "comp").select("rk", "doc", "n", "component")
     alone = rows.where("n = 0").select("rk", "doc", "n", F.col("doc").alias("component"))
     null = F.lit(None).cast("long")
@@ -255,31 +267,34 @@ def join_components(docs: DataFrame) -> DataFrame:
         F.when(F.col("component") != _NO_ID, F.col("component")).otherwise(null).alias("component_id"))
 
 
-def _star_pairs(spots: DataFrame, turn: int) -> DataFrame:
+def _star_pairs(spots: DataFrame, marks: DataFrame, turn: int) -> DataFrame:
     """Every class with the hub that most of its buckets agree on.
 
-    A bucket's hub is its most central class; later turns look among the
-    classes outside the component of the bucket's most central one, and pair
-    either side of that border.
+    A bucket's hub is its most central class; in later turns, the most central
+    one outside the component of that.
     """
-    rank = F.struct(F.col("score"), F.col("cls"), F.col("n"), F.col("pos"), F.col("comp"))
+    rank = F.struct("score", "cls", "n", "pos", "comp")
     hubs = spots.groupBy("t").agg(F.max(rank).alias("hub"))
     if turn % 2:
         rest = spots.join(hubs, "t").where(F.col("comp") != F.col("hub.comp")).drop("hub")
         hubs = rest.groupBy("t").agg(F.max(rank).alias("hub"))
-    near = (spots.join(hubs, "t").where(F.col("comp") != F.col("hub.comp"))
-            .select("cls", "n", "pos", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hn"),
-                    F.col("hub.pos").alias("hpos"), F.col("hub.score").alias("hscore"))
-            .where(_fits("n", "pos", "hn", "hpos")))
-    votes = near.groupBy("cls", "hub").agg(F.count("*").alias("c"), F.first("hscore").alias("s"))
-    return (votes.groupBy("cls").agg(F.max(F.struct("c", "s", "hub")).alias("b"))
+    votes = (spots.join(hubs, "t").where(F.col("comp") != F.col("hub.comp"))
+             .select("cls", "n", "pos", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hn"),
+                     F.col("hub.pos").alias("hpos"), F.col("hub.score").alias("hscore"))
+             .where(_fits("n", "pos", "hn", "hpos"))
+             .groupBy("cls", "hub").agg(F.count("*").alias("c"), F.max("hscore").alias("s")))
+    own = marks.select("cls", "n", "bits")
+    hub = marks.select(F.col("cls").alias("hub"), F.col("n").alias("hn"), F.col("bits").alias("hbits"))
+    return (votes.join(own, "cls").join(hub, "hub").where(_near("bits", "hbits", "n", "hn"))
+            .groupBy("cls").agg(F.max(F.struct("c", "s", "hub")).alias("b"))
             .select(F.col("b.hub").alias("hub"), "cls"))
 
 
-def _all_pairs(spots: DataFrame) -> DataFrame:
-    """All pairs of a bucket that lie in different components."""
-    a = spots.select("t", F.col("cls").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"),
-                     F.col("comp").alias("hcomp"))
-    return (a.join(spots.select("t", "cls", "n", "pos", "comp"), "t")
-            .where((F.col("hub") < F.col("cls")) & (F.col("comp") != F.col("hcomp")))
-            .where(_fits("n", "pos", "hn", "hpos")).select("hub", "cls").distinct())
+def _all_pairs(spots: DataFrame, marks: DataFrame) -> DataFrame:
+    """All pairs of a bucket that lie in different components and may be similar."""
+    b = spots.select("t", "cls", "pos", "comp").join(marks, "cls")
+    a = b.select("t", F.col("cls").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"),
+                 F.col("comp").alias("hcomp"), F.col("bits").alias("hbits"))
+    return (a.join(b, (a["t"] == b["t"]) & (F.col("hub") < F.col("cls")) & (F.col("comp") != F.col("hcomp"))
+                   & _fits("n", "pos", "hn", "hpos") & _near("bits", "hbits", "n", "hn"))
+            .select("hub", "cls").distinct())
