@@ -5,16 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A 32-bit multiplicative hash (Knuth) turns a key into a
-# uniform draw u in (0, 1).
-HASH_MUL = 2654435761
-HASH_MOD = 4294967296
-
-
 def uniform_from_key(key: Column, seed: int) -> Column:
-    """Deterministic u in (0, 1) from an integer key and a seed."""
-    h = F.pmod(key.cast("long") * F.lit(HASH_MUL) + F.lit(seed), F.lit(HASH_MOD))
-    return (h.cast("double") + F.lit(0.5)) / F.lit(float(HASH_MOD))
+    """Deterministic u in (0, 1) from a key and a seed: 53 bits of a seeded hash,
+    so nearby keys and nearby seeds draw independently and no id overflows."""
+    h = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11)
+    return (h.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
 def weighted_sample(df: DataFrame, key: str, weight: Column | str, k: int, seed: int = 42) -> DataFrame:

@@ -184,15 +184,6 @@ SQL["orc_sink"] = SQL["relocations"]
 SQL["sampling_weight"] = with_base("""
 SELECT id, population, population * CAST(floor(sqrt(CAST(population AS DOUBLE))) AS BIGINT) AS weight
 FROM places""")
-SQL["weighted_sample"] = with_base("""
-SELECT id, name, population FROM (
-  SELECT id, name, population,
-         -ln((CAST((id * 2654435761 + 42) % 4294967296 AS DOUBLE) + CAST(0.5 AS DOUBLE))
-             / CAST(4294967296 AS DOUBLE))
-         / CAST(population * CAST(floor(sqrt(CAST(population AS DOUBLE))) AS BIGINT) AS DOUBLE) AS k
-  FROM places
-  WHERE population * CAST(floor(sqrt(CAST(population AS DOUBLE))) AS BIGINT) > 0)
-ORDER BY k, id LIMIT 10""")
 SQL["key_casts"] = """
 SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS key_text,
        CAST(CAST(c_custkey AS VARCHAR) AS BIGINT) AS id_back FROM customer"""

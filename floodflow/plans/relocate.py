@@ -93,7 +93,8 @@ def bounded_elevation(elevation: DataFrame, places: DataFrame, cell_size: float,
     """Only raster points in cells that hold a place matter. First a range
     filter on the places' bounding box, widened to whole cells (it reaches the
     Parquet reader as pushed filters), then a semi join with the occupied
-    cells when their exact count allows a broadcast (no raster shuffle)."""
+    cells, which their exact count broadcasts or shuffles; the rows are the
+    same either way."""
     b = places.agg(F.min("cy"), F.max("cy"), F.min("cx"), F.max("cx"),
                    F.count_distinct("cy", "cx")).first()
     if b[0] is None:
@@ -105,11 +106,10 @@ def bounded_elevation(elevation: DataFrame, places: DataFrame, cell_size: float,
         (F.col("lat") >= F.lit((b[0] - 1) * s)) & (F.col("lat") < F.lit((b[1] + 2) * s)) &
         (F.col("lon") >= F.lit((b[2] - 1) * s)) & (F.col("lon") < F.lit((b[3] + 2) * s)))
     occupied = places.select(*CELL).distinct()
-    n = b[4]
-    if n > broadcast_rows:
-        return boxed
+    if b[4] <= broadcast_rows:
+        occupied = F.broadcast(occupied)
     return (with_cell(boxed, size=cell_size)
-            .join(F.broadcast(occupied), CELL, "left_semi")
+            .join(occupied, CELL, "left_semi")
             .drop(*CELL))
 
 

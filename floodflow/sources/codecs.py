@@ -16,9 +16,10 @@ CORRUPT = "_corrupt_record"
 
 
 def encode_record(df: DataFrame, key: str, value_cols: list[str]) -> DataFrame:
-    """(key, value): key = the id as text, value = the JSON object."""
+    """(key, value): key = the id as text, value = the JSON object; null fields
+    are written as null, not left out."""
     return df.select(F.col(key).cast("string").alias("key"),
-                     F.to_json(F.struct(*value_cols)).alias("value"))
+                     F.to_json(F.struct(*value_cols), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def decode_strict(text: Column | str, schema: T.StructType = schemas.EVENT) -> Column:

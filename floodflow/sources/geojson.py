@@ -40,7 +40,7 @@ def write_collections(features: DataFrame, path: str, order_cols: list[str],
                .sortWithinPartitions(*order_cols))
     # One group per partition: bounded by FEATURES_PER_FILE rows.
     # Zero-padded document number: documents sort by path in key order.
-    docs = (ordered.withColumn("_part", F.lpad(F.spark_partition_id().cast("string"), 6, "0"))
+    docs = (ordered.withColumn("_part", F.lpad(F.spark_partition_id().cast("string"), 10, "0"))
             .groupBy("_part")
             .agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order_cols],
                                                       F.col("feature")))).alias("fs"))

@@ -149,3 +149,13 @@ def test_fill_nulls_subset(spark):
     df = spark.createDataFrame([(None, None, None)], "a long, s string, t string")
     assert tuple(fill_nulls(df).first()) == (0, "Waterworld", "Waterworld")
     assert tuple(fill_nulls(df, text_subset=["t"]).first()) == (0, None, "Waterworld")
+
+
+def test_bounded_elevation_is_the_same_under_any_broadcast_bound(spark):
+    from floodflow.plans import relocate as R
+    from floodflow.functions.columns import with_cell
+    raster = spark.range(400).selectExpr("(id % 20) * 0.4 AS lat", "floor(id / 20) * 0.4 AS lon",
+                                         "cast(id AS double) AS elevation")
+    places = with_cell(spark.createDataFrame([(0.1, 0.1), (7.0, 7.0)], "lat double, lon double"), size=0.5)
+    got = [sorted(tuple(r) for r in R.bounded_elevation(raster, places, 0.5, n).collect()) for n in (0, 1000)]
+    assert got[0] == got[1] and 0 < len(got[0]) < 20

@@ -31,3 +31,12 @@ def test_weighted_sample_is_deterministic_and_skips_zero_weights(spark):
     a = [r.id for r in weighted_sample(df, "id", "w", k=20, seed=3).collect()]
     b = [r.id for r in weighted_sample(df, "id", "w", k=20, seed=3).collect()]
     assert a == b and len(set(a)) == 20 and all(i % 5 for i in a)
+
+
+def test_weighted_sample_follows_seed_and_weights(spark):
+    rows = [(10_000_000_000 + i, 9.0 if i % 2 else 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, w double")
+    draws = [frozenset(r.id for r in weighted_sample(df, "id", "w", k=20, seed=s).collect()) for s in range(12)]
+    assert len(set(draws)) == len(draws)
+    heavy = sum(i % 2 for d in draws for i in d) / (20 * len(draws))
+    assert 0.8 < heavy < 0.97  # nine to one by weight
