@@ -9,10 +9,11 @@ stay.
 Words are ordered by rarity: their counts over all documents in
 ``BUCKETS`` hash buckets, a table of one byte each that is part of the plan and
 whose size is fixed. Any total order gives the same result; a finer table only
-saves candidates. The join takes each line's first ``n - ceil(t * n) + 1``
+saves candidates. The join takes 31 hash bits of each line's first ``n - ceil(t * n) + 1``
 words, with the length filter, the positional filter and a filter on parity
-bitmaps (bits that differ bound the symmetric difference from below); surviving
-pairs are verified on the words' hashes (64 bits) of both whole lines. Lines with equal word
+bitmaps of 64 bits (bits that differ bound the symmetric difference from below),
+then of ``64 * PARTS`` bits; surviving pairs are verified on the words' hashes
+(64 bits) of both whole lines. Lines with equal word
 sets are one class; only its first line takes part in the join.
 
 All steps are DataFrame functions.
@@ -24,6 +25,8 @@ rows; empty lines stay. Extra columns are passed on.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,7 @@ from floodflow.llm.base import let, materialize, row_key, split_words
 MIN_WORDS = 5
 PERCENT = 80
 BUCKETS = 1 << 16
+PARTS = 4  # longs of the wide parity bitmap, a power of two
 _NO_ID = -(1 << 63)
 
 
@@ -59,23 +63,32 @@ def _ordered(line: Column, rarity: bytes) -> Column:
     return F.transform(F.sort_array(ranked), lambda x: x["h"])
 
 
+def _parity(h: Column, part: int) -> Column:
+    """Parity bitmap of the words that a second slice of the hash puts into ``part``."""
+    mine = F.filter(h, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(PARTS - 1)) == part)
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
 def line_sets(docs: DataFrame, rarity: bytes) -> DataFrame:
-    """Lines with enough words: doc, rk, no, set (hash of the word set), n, bits, pre."""
+    """Lines with enough words: doc, rk, no, set (hash of the word set), n, wide
+    (parity bitmap), bits (the same folded to one long), pre."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"),
                        row_key("doc_id", "text").alias("rk"), F.posexplode(_lines(F.col("text"))).alias("no", "line"))
     made = let(_ordered(F.col("line"), rarity), lambda h: F.struct(
         F.xxhash64(h).alias("set"), F.size(h).alias("n"),
-        F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(
-            F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-        .alias("bits"),
-        F.slice(h, 1, F.size(h) - F.ceil(F.size(h) * PERCENT / 100).cast("int") + 1).alias("pre")))
+        F.array(*[_parity(h, k) for k in range(PARTS)]).alias("wide"),
+        F.transform(F.slice(h, 1, F.size(h) - F.ceil(F.size(h) * PERCENT / 100).cast("int") + 1),
+                    lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("pre")))
+    bits = reduce(Column.bitwiseXOR, [F.col("s.wide")[k] for k in range(PARTS)])
     return (base.where(F.length("line") >= 2 * MIN_WORDS - 1)
             .select("doc", "rk", "no", F.explode(F.array(made)).alias("s"))
-            .select("doc", "rk", "no", "s.set", "s.n", "s.bits", "s.pre").where(F.col("n") >= MIN_WORDS))
+            .select("doc", "rk", "no", "s.set", "s.n", "s.wide", bits.alias("bits"), "s.pre")
+            .where(F.col("n") >= MIN_WORDS))
 
 
 def _candidates(lines: DataFrame) -> DataFrame:
@@ -90,33 +103,56 @@ def _candidates(lines: DataFrame) -> DataFrame:
                    & ((100 + PERCENT) * reach >= PERCENT * both)
                    & ((100 + PERCENT) * F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
                       <= (100 - PERCENT) * both))
-            .select(F.col("a.set").alias("x"), F.col("b.set").alias("y")).distinct())
+            .select(F.col("a.set").alias("x"), F.col("b.set").alias("y"),
+                    both.alias("both")).distinct())
+
+
+def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """Classes ``late`` that reach the similarity with ``early`` of their pair."""
+    e = words.select(F.col("set").alias("early"), F.col("w").alias("we"))
+    l = words.select(F.col("set").alias("late"), F.col("w").alias("wl"))
+    same = F.size(F.array_intersect("we", "wl"))
+    return (pairs.join(e, "early").join(l, "late")
+            .where((100 + PERCENT) * same >= PERCENT * (F.size("we") + F.size("wl")))
+            .select("late").distinct())
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """One row per document key ``rk`` with the numbers ``gone`` of its removed lines."""
     lines = materialize(line_sets(docs, _rarity(docs)), "line-sets")
-    pairs = materialize(_candidates(lines), "line-pairs")
-
-    firsts = lines.groupBy("set").agg(F.min(F.struct("doc", "rk", "no")).alias("first"))
-    wanted = pairs.select(F.col("x").alias("set")).union(pairs.select("y")).distinct()
-    spots = (firsts.join(wanted, "set", "left_semi").select("set", "first", F.col("first.rk").alias("rk"))
-             .groupBy("rk").agg(F.collect_list(F.struct("set", "first")).alias("spots")))
+    first = F.min(F.struct("doc", "no", "rk", "wide")).alias("first")
+    firsts = lines.groupBy("set").agg(first)
+    pairs = (_candidates(lines).select(F.col("x").alias("set"), "y", "both").join(firsts, "set")
+             .select(F.col("set").alias("x"), F.col("first").alias("fx"), F.col("y").alias("set"), "both")
+             .join(firsts, "set"))
+    far = sum(F.bit_count(F.col("fx.wide")[k].bitwiseXOR(F.col("first.wide")[k])) for k in range(PARTS))
+    before = F.struct("fx.doc", "fx.no", "fx.rk") < F.struct("first.doc", "first.no", "first.rk")
+    fx = F.struct("x", "fx.no", "fx.rk")
+    fy = F.struct(F.col("set").alias("x"), "first.no", "first.rk")
+    pairs = (pairs.where((100 + PERCENT) * far <= (100 - PERCENT) * F.col("both"))
+             .select(F.when(before, fx).otherwise(fy).alias("a"), F.when(before, fy).otherwise(fx).alias("b"),
+                     far.alias("far")))
+    pairs = materialize(pairs.select(F.col("a.x").alias("early"), F.col("b.x").alias("late"), "far",
+                                     F.array("a", "b").alias("ends")), "line-pairs")
+
+    wanted = pairs.select(F.inline("ends")).distinct()
+    spots = wanted.groupBy("rk").agg(F.collect_list(F.struct(F.col("x").alias("set"), "no")).alias("spots"))
     keyed = docs.select(row_key("doc_id", "text").alias("rk"), "text").dropDuplicates(["rk"])
     words = (keyed.join(spots, "rk")
              .select(_lines(F.col("text")).alias("lines"), F.explode("spots").alias("s"))
-             .select("s.set", "s.first", _hashes(F.element_at("lines", F.col("s.first.no") + 1)).alias("w")))
+             .select("s.set", _hashes(F.element_at("lines", F.col("s.no") + 1)).alias("w")))
     words = materialize(words, "line-words")
-    x = words.select(F.col("set").alias("x"), F.col("first").alias("fx"), F.col("w").alias("wx"))
-    y = words.select(F.col("set").alias("y"), F.col("first").alias("fy"), F.col("w").alias("wy"))
-    same = F.size(F.array_intersect("wx", "wy"))
-    near = (pairs.join(x, "x").join(y, "y")
-            .where((100 + PERCENT) * same >= PERCENT * (F.size("wx") + F.size("wy")))
-            .select(F.when(F.col("fx") < F.col("fy"), F.col("y")).otherwise(F.col("x")).alias("set"))
-            .distinct().withColumn("late", F.lit(True)))
-    state = firsts.join(near, "set", "left")
+
+    # One match is enough to remove a line: its likeliest partner is verified
+    # first, all its others only where that one fails.
+    likely = pairs.groupBy("late").agg(F.min(F.struct("far", "early")).alias("b")).select("late", "b.early")
+    hit = materialize(_verified(likely, words), "line-hits")
+    rest = pairs.select("early", "late").join(hit, "late", "left_anti")
+    near = (hit.union(_verified(rest, words)).select(F.col("late").alias("set")).distinct()
+            .withColumn("late", F.lit(True)))
+    state = lines.groupBy("set").agg(F.min(F.struct("doc", "no", "rk")).alias("first")).join(near, "set", "left")
     gone = (lines.select("doc", "rk", "no", "set").join(state, "set")
-            .where(F.col("late") | (F.struct("doc", "rk", "no") != F.col("first"))))
+            .where(F.col("late") | (F.struct("doc", "no", "rk") != F.col("first"))))
     return gone.groupBy("rk").agg(F.collect_set("no").alias("gone"))
 
 
