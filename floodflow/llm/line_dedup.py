@@ -42,8 +42,8 @@ _NO_ID = -(1 << 63)
 def _rarity(docs: DataFrame) -> bytes:
     """One byte per bucket: its count over all documents on a logarithmic scale."""
     words = F.explode(split_words(F.lower("text"))).alias("w")
-    scale = F.least(F.lit(255), F.floor(8 * F.log2(F.count("*") + 1))).cast("int")
-    rows = (docs.select(words).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b"))
+    scale = F.least(F.lit(127), F.floor(4 * F.log2(F.count("*") + 1))).cast("int")
+    rows = (docs.select(words).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
             .agg(scale.alias("r")).collect())  # BUCKETS rows at most
     out = bytearray(BUCKETS)
     for r in rows:
@@ -57,10 +57,12 @@ def _hashes(line: Column) -> Column:
 
 
 def _ordered(line: Column, rarity: bytes) -> Column:
+    """The words as numbers whose order is rarity, then hash: 7 bits and 56 bits."""
     table = F.lit(bytearray(rarity))
-    ranked = F.transform(_hashes(line), lambda h: F.struct(
-        F.substring(table, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"), 1).alias("r"), h.alias("h")))
-    return F.transform(F.sort_array(ranked), lambda x: x["h"])
+    rank = lambda h: F.ascii(F.substring(
+        table, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"), 1).cast("string")).cast("long")
+    return F.sort_array(F.transform(_hashes(line), lambda h: F.shiftleft(rank(h), 56).bitwiseOR(
+        F.shiftrightunsigned(h, 8))))
 
 
 def _parity(h: Column, part: int) -> Column:
