@@ -13,7 +13,11 @@ saves candidates. The join takes 31 hash bits of each line's first ``n - ceil(t
 words, with the length filter, the positional filter and a filter on parity
 bitmaps of 64 bits (bits that differ bound the symmetric difference from below),
 then of ``64 * PARTS`` bits; surviving pairs are verified on the words' hashes
-(64 bits) of both whole lines. Lines with equal word
+(64 bits) of both whole lines. Before it, each line is compared with the first
+line of its ``BANDS`` groups of equal ``LEAST`` first words under other word orders; a line
+that matches there is settled, and the join leaves out pairs of settled lines, so
+a large group of near copies does not form all its pairs. No pair that could
+settle an open line is left out. Lines with equal word
 sets are one class; only its first line takes part in the join.
 
 All steps are DataFrame functions.
@@ -36,7 +40,10 @@ MIN_WORDS = 5
 PERCENT = 80
 BUCKETS = 1 << 16
 PARTS = 4  # longs of the wide parity bitmap, a power of two
+BANDS = 3  # leaders a line is compared with first
+LEAST = 3  # words that lines with one leader have in common
 _NO_ID = -(1 << 63)
+_MASKS = [0x9E3779B97F4A7C15 * (k + 1) & ((1 << 56) - 1) for k in range(BANDS)]
 
 
 def _rarity(docs: DataFrame) -> bytes:
@@ -72,85 +79,114 @@ def _parity(h: Column, part: int) -> Column:
         F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def _least_words(h: Column, band: int) -> Column:
+    """Hash of the words that come first in a further order of all words."""
+    other = F.transform(h, lambda x: x.bitwiseAND(F.lit((1 << 56) - 1)).bitwiseXOR(F.lit(_MASKS[band])))
+    return F.hash(F.lit(band), F.slice(F.sort_array(other), 1, LEAST))
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
 def line_sets(docs: DataFrame, rarity: bytes) -> DataFrame:
     """Lines with enough words: doc, rk, no, set (hash of the word set), n, wide
-    (parity bitmap), bits (the same folded to one long), pre."""
+    (parity bitmap), bits (the same folded to one long), pre, sigs."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"),
                        row_key("doc_id", "text").alias("rk"), F.posexplode(_lines(F.col("text"))).alias("no", "line"))
     made = let(_ordered(F.col("line"), rarity), lambda h: F.struct(
         F.xxhash64(h).alias("set"), F.size(h).alias("n"),
         F.array(*[_parity(h, k) for k in range(PARTS)]).alias("wide"),
         F.transform(F.slice(h, 1, F.size(h) - F.ceil(F.size(h) * PERCENT / 100).cast("int") + 1),
-                    lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("pre")))
+                    lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("pre"),
+        F.array(*[_least_words(h, k) for k in range(BANDS)]).alias("sigs")))
     bits = reduce(Column.bitwiseXOR, [F.col("s.wide")[k] for k in range(PARTS)])
     return (base.where(F.length("line") >= 2 * MIN_WORDS - 1)
             .select("doc", "rk", "no", F.explode(F.array(made)).alias("s"))
-            .select("doc", "rk", "no", "s.set", "s.n", "s.wide", bits.alias("bits"), "s.pre")
+            .select("doc", "rk", "no", "s.set", "s.n", "s.wide", bits.alias("bits"), "s.pre", "s.sigs")
             .where(F.col("n") >= MIN_WORDS))
 
 
-def _candidates(lines: DataFrame) -> DataFrame:
-    """Pairs of classes that pass all filters."""
-    classes = lines.groupBy("set", "n", "bits").agg(F.first("pre").alias("pre"))
-    spots = classes.select(F.posexplode("pre").alias("pos", "t"), "set", "n", "bits")
+def _leaders(lines: DataFrame) -> DataFrame:
+    """Pairs (early, late): each class and the first class of each of its ``sigs``."""
+    rows = lines.select("set", "doc", "no", "rk", "n", "bits", F.explode("sigs").alias("s"))
+    lead = (rows.groupBy("s").agg(F.min(F.struct("doc", "no", "rk", "set", "n", "bits")).alias("lead"),
+                                  F.min("set").alias("lo"), F.max("set").alias("hi"))
+            .where("lo < hi").select("s", "lead"))
+    both = F.col("n") + F.col("lead.n")
+    far = F.bit_count(F.col("bits").bitwiseXOR(F.col("lead.bits")))
+    return (rows.select("set", "n", "bits", "s").join(lead, "s")
+            .where((F.col("set") != F.col("lead.set"))
+                   & (100 * F.least("n", "lead.n") >= PERCENT * F.greatest("n", "lead.n"))
+                   & ((100 + PERCENT) * far <= (100 - PERCENT) * both))
+            .select(F.col("lead.set").alias("early"), F.col("set").alias("late")).distinct())
+
+
+def _far(x: str, y: str) -> Column:
+    """Differing bits of two wide bitmaps, at most the size of the symmetric difference."""
+    return sum(F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(PARTS))
+
+
+def _candidates(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of classes that pass the filters, one class of each not yet in ``found``."""
+    known = found.select(F.col("late").alias("set"), F.lit(False).alias("open"))
+    classes = (lines.groupBy("set").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("pre").alias("pre"))
+               .join(known, "set", "left").withColumn("open", F.coalesce("open", F.lit(True))))
+    spots = classes.select(F.posexplode("pre").alias("pos", "t"), "set", "n", "bits", "open")
     a, b = spots.alias("a"), spots.alias("b")
     both = F.col("a.n") + F.col("b.n")
     reach = (F.least("a.pos", "b.pos") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")))
     return (a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.set") < F.col("b.set"))
+                   & (F.col("a.open") | F.col("b.open"))
                    & (100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n"))
                    & ((100 + PERCENT) * reach >= PERCENT * both)
                    & ((100 + PERCENT) * F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
                       <= (100 - PERCENT) * both))
-            .select(F.col("a.set").alias("x"), F.col("b.set").alias("y"),
-                    both.alias("both")).distinct())
+            .select(F.col("a.set").alias("x"), F.col("b.set").alias("y"), both.alias("both")).distinct())
 
 
-def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """Classes ``late`` that reach the similarity with ``early`` of their pair."""
+def _ordered_pairs(lines: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (early, late) that pass the wide filter, without those whose late class is in ``found``."""
+    firsts = lines.groupBy("set").agg(F.min(F.struct("doc", "no", "rk", "wide")).alias("first"))
+    pairs = (pairs.select(F.col("x").alias("set"), "y", "both").join(firsts, "set")
+             .select(F.col("set").alias("x"), F.col("first").alias("fx"), F.col("y").alias("set"), "both")
+             .join(firsts, "set"))
+    before = F.struct("fx.doc", "fx.no", "fx.rk") < F.struct("first.doc", "first.no", "first.rk")
+    return (pairs.where((100 + PERCENT) * _far("fx.wide", "first.wide") <= (100 - PERCENT) * F.col("both"))
+            .select(F.when(before, F.col("x")).otherwise(F.col("set")).alias("early"),
+                    F.when(before, F.col("set")).otherwise(F.col("x")).alias("late"))
+            .join(found, "late", "left_anti"))
+
+
+def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """Classes ``late`` that reach the similarity with the ``early`` one of a pair."""
+    pairs = materialize(pairs, f"line-{name}-pairs")
+    wanted = pairs.select(F.col("early").alias("set")).union(pairs.select("late")).distinct()
+    firsts = lines.groupBy("set").agg(F.min(F.struct("doc", "no", "rk")).alias("first"))
+    spots = (firsts.join(wanted, "set", "left_semi").select("set", "first.no", "first.rk")
+             .groupBy("rk").agg(F.collect_list(F.struct("set", "no")).alias("spots")))
+    keyed = docs.select(row_key("doc_id", "text").alias("rk"), "text").dropDuplicates(["rk"])
+    words = (keyed.join(spots, "rk")
+             .select(_lines(F.col("text")).alias("lines"), F.explode("spots").alias("s"))
+             .select("s.set", _hashes(F.element_at("lines", F.col("s.no") + 1)).alias("w")))
+    words = materialize(words, f"line-{name}-words")
     e = words.select(F.col("set").alias("early"), F.col("w").alias("we"))
-    l = words.select(F.col("set").alias("late"), F.col("w").alias("wl"))
+    y = words.select(F.col("set").alias("late"), F.col("w").alias("wl"))
     same = F.size(F.array_intersect("we", "wl"))
-    return (pairs.join(e, "early").join(l, "late")
+    hits = (pairs.join(e, "early").join(y, "late")
             .where((100 + PERCENT) * same >= PERCENT * (F.size("we") + F.size("wl")))
             .select("late").distinct())
+    return materialize(hits, f"line-{name}-hits")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """One row per document key ``rk`` with the numbers ``gone`` of its removed lines."""
     lines = materialize(line_sets(docs, _rarity(docs)), "line-sets")
-    first = F.min(F.struct("doc", "no", "rk", "wide")).alias("first")
-    firsts = lines.groupBy("set").agg(first)
-    pairs = (_candidates(lines).select(F.col("x").alias("set"), "y", "both").join(firsts, "set")
-             .select(F.col("set").alias("x"), F.col("first").alias("fx"), F.col("y").alias("set"), "both")
-             .join(firsts, "set"))
-    far = sum(F.bit_count(F.col("fx.wide")[k].bitwiseXOR(F.col("first.wide")[k])) for k in range(PARTS))
-    before = F.struct("fx.doc", "fx.no", "fx.rk") < F.struct("first.doc", "first.no", "first.rk")
-    fx = F.struct("x", "fx.no", "fx.rk")
-    fy = F.struct(F.col("set").alias("x"), "first.no", "first.rk")
-    pairs = (pairs.where((100 + PERCENT) * far <= (100 - PERCENT) * F.col("both"))
-             .select(F.when(before, fx).otherwise(fy).alias("a"), F.when(before, fy).otherwise(fx).alias("b"),
-                     far.alias("far")))
-    pairs = materialize(pairs.select(F.col("a.x").alias("early"), F.col("b.x").alias("late"), "far",
-                                     F.array("a", "b").alias("ends")), "line-pairs")
-
-    wanted = pairs.select(F.inline("ends")).distinct()
-    spots = wanted.groupBy("rk").agg(F.collect_list(F.struct(F.col("x").alias("set"), "no")).alias("spots"))
-    keyed = docs.select(row_key("doc_id", "text").alias("rk"), "text").dropDuplicates(["rk"])
-    words = (keyed.join(spots, "rk")
-             .select(_lines(F.col("text")).alias("lines"), F.explode("spots").alias("s"))
-             .select("s.set", _hashes(F.element_at("lines", F.col("s.no") + 1)).alias("w")))
-    words = materialize(words, "line-words")
-
-    # One match is enough to remove a line: its likeliest partner is verified
-    # first, all its others only where that one fails.
-    likely = pairs.groupBy("late").agg(F.min(F.struct("far", "early")).alias("b")).select("late", "b.early")
-    hit = materialize(_verified(likely, words), "line-hits")
-    rest = pairs.select("early", "late").join(hit, "late", "left_anti")
-    near = (hit.union(_verified(rest, words)).select(F.col("late").alias("set")).distinct()
+    # One match is enough to remove a line. Leaders settle large groups of near
+    # copies in linear work; the join below leaves out pairs of settled classes.
+    found = _verified(docs, lines, _leaders(lines), "leader")
+    rest = _ordered_pairs(lines, _candidates(lines, found), found)
+    near = (found.union(_verified(docs, lines, rest, "join")).select(F.col("late").alias("set")).distinct()
             .withColumn("late", F.lit(True)))
     state = lines.groupBy("set").agg(F.min(F.struct("doc", "no", "rk")).alias("first")).join(near, "set", "left")
     gone = (lines.select("doc", "rk", "no", "set").join(state, "set")
