@@ -23,9 +23,19 @@ def encode_record(df: DataFrame, key: str, value_cols: list[str]) -> DataFrame:
 
 
 def decode_strict(text: Column | str, schema: T.StructType = schemas.EVENT) -> Column:
-    """Strict decode: any malformed record fails the query."""
+    """Strict decode: a malformed record, and one without a number that the
+    schema names, fails the query. Texts may be null."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.from_json(c, schema, {"mode": "FAILFAST"})
+    numbers = [f.name for f in schema.fields if isinstance(f.dataType, T.NumericType)]
+
+    def whole(e: Column) -> Column:
+        lacks = F.lit(False)
+        for name in numbers:
+            lacks = lacks | e[name].isNull()
+        return F.when(lacks, F.raise_error(F.lit("record without " + " or ".join(numbers)))).otherwise(e)
+
+    # transform of a one-element array parses the text once for all its uses.
+    return F.transform(F.array(F.from_json(c, schema, {"mode": "FAILFAST"})), whole)[0]
 
 
 def _u64(c: Column) -> Column:

@@ -11,10 +11,11 @@ from floodflow import schemas
 
 
 def read_orc(spark: SparkSession, path: str | list[str], schema: StructType,
-             ignore_corrupt: bool = True) -> DataFrame:
-    """ORC scan with a declared schema; globs allowed. Corrupt files are
-    skipped per read (not through a global setting). ORC predicate pushdown
-    is on by default."""
+             ignore_corrupt: bool = False) -> DataFrame:
+    """ORC scan with a declared schema; globs allowed. Corrupt files fail the
+    read; ``ignore_corrupt`` skips them for this read only (not through a
+    global setting), which loses their rows. ORC predicate pushdown is on by
+    default."""
     paths = [path] if isinstance(path, str) else list(path)
     return (spark.read.schema(schema)
             .option("ignoreCorruptFiles", str(ignore_corrupt).lower())
@@ -22,7 +23,7 @@ def read_orc(spark: SparkSession, path: str | list[str], schema: StructType,
 
 
 def read_parquet(spark: SparkSession, path: str | list[str], schema: StructType,
-                 ignore_corrupt: bool = True) -> DataFrame:
+                 ignore_corrupt: bool = False) -> DataFrame:
     paths = [path] if isinstance(path, str) else list(path)
     return (spark.read.schema(schema)
             .option("ignoreCorruptFiles", str(ignore_corrupt).lower())

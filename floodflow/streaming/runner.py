@@ -78,9 +78,11 @@ def kafka_available(spark: SparkSession) -> bool:
 
 def start_kafka_job(spark: SparkSession, servers: str, window_seconds: int, checkpoint: str,
                     events_topic: str = "events", updates_topic: str = "updates",
-                    time_mode: str = "ProcessingTime", delay: str = "0 seconds"):
+                    time_mode: str = "ProcessingTime", delay: str = "0 seconds",
+                    starting_offsets: str = "earliest"):
     """Production wiring: events topic -> keyed-state updates -> updates
-    topic (key = city id as text, value = JSON). Needs the Kafka connector on
+    topic (key = city id as text, value = JSON). A first start reads the events
+    topic from ``starting_offsets``; later starts go on from the checkpoint. Needs the Kafka connector on
     the classpath; raises a clear error otherwise."""
     from floodflow.session import DEFAULT_CONF
     from floodflow.sources.codecs import events_from_records
@@ -91,7 +93,8 @@ def start_kafka_job(spark: SparkSession, servers: str, window_seconds: int, chec
     spark.conf.set(key, DEFAULT_CONF[key])
     records = (spark.readStream.format("kafka")
                .option("kafka.bootstrap.servers", servers)
-               .option("subscribe", events_topic).load())
+               .option("subscribe", events_topic)
+               .option("startingOffsets", starting_offsets).load())
     updates = windowed_updates(events_from_records(records), window_seconds, time_mode, delay)
     return (encode_updates(updates).writeStream.format("kafka")
             .option("kafka.bootstrap.servers", servers).option("topic", updates_topic)
@@ -109,8 +112,12 @@ def run_table(spark: SparkSession, folder: str, table_glob: str, window_seconds:
     spark.conf.set(key, DEFAULT_CONF[key])
     out = out or shared_dir(spark, "updates")
     ckpt = ckpt or shared_dir(spark, "updates-ckpt")
-    schema = spark.read.option("pathGlobFilter", table_glob).parquet(folder).schema
-    src = spark.readStream.schema(schema).option("pathGlobFilter", table_glob).parquet(folder)
+    table = spark.read.parquet(f"{folder}/{table_glob}")
+    # A stream reads folders: a table that is one file is picked from its folder by name.
+    one_file = all(f.rstrip("/").rsplit("/", 2)[-2] == folder.rstrip("/").rsplit("/", 1)[-1] for f in table.inputFiles())
+    reader = spark.readStream.schema(table.schema)
+    src = (reader.option("pathGlobFilter", table_glob).parquet(folder) if one_file
+           else reader.parquet(f"{folder}/{table_glob}"))
     events = src.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
                         F.col("user_id").alias("city_id"), F.col("event_type").alias("city_name"),
                         F.round(F.col("value") * F.lit(100.0)).cast("long").alias("refugees"),

@@ -205,4 +205,4 @@ def encode_updates(updates: DataFrame) -> DataFrame:
     """(key, value) records for a message bus: key = city id as text."""
     return updates.select(
         F.col("city_id").cast("string").alias("key"),
-        F.to_json(F.struct("city_id", "city_name", "refugees", "change")).alias("value"))
+        F.to_json(F.struct("city_id", "city_name", "refugees", "change"), {"ignoreNullFields": "false"}).alias("value"))

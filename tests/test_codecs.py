@@ -25,6 +25,14 @@ def test_strict_decode_fails_on_bad_record(spark):
         df.select(codecs.decode_strict("value", schemas.EVENT)).collect()
 
 
+@pytest.mark.parametrize("text", ['{"city_id": 1}', '{"timestamp": 1, "city_id": 2, "city_name": "a"}',
+                                  '{"timestamp": 1, "city_id": null, "city_name": "a", "refugees": 3}'])
+def test_strict_decode_fails_without_a_number(spark, text):
+    df = spark.createDataFrame([(text,)], "value string")
+    with pytest.raises(Exception, match="record without"):
+        df.select(codecs.decode_strict("value", schemas.EVENT)).collect()
+
+
 def test_encode_keeps_nulls(spark):
     df = spark.createDataFrame([(3, None)], "count long, change long")
     assert df.select(codecs.encode_json("count", "change")).first()[0] == '{"count":3,"change":null}'

@@ -3,6 +3,7 @@ wall-clock ticks, streaming enrichment, key/value decoding, corrupt files."""
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from floodflow.plans import totals
@@ -83,7 +84,9 @@ def test_corrupt_files_are_skipped(spark, tmp_path):
     d = tmp_path / "e"
     spark.createDataFrame([(1.0, 2.0, 3)], "lat double, lon double, elevation int").write.parquet(str(d))
     (d / "part-99999-garbage.parquet").write_bytes(b"not a parquet file")
-    assert read_parquet(spark, str(d), schemas.ELEVATION).count() == 1
+    assert read_parquet(spark, str(d), schemas.ELEVATION, ignore_corrupt=True).count() == 1
+    with pytest.raises(Exception):
+        read_parquet(spark, str(d), schemas.ELEVATION).count()
 
 
 def test_kafka_job_is_gated(spark, tmp_path):
@@ -142,3 +145,12 @@ def test_watermark_delay_accepts_earlier_events(spark, tmp_path):
     want = sorted(tuple(r) for r in totals.dense_window_totals(ev, "1 hour", until_us=until).collect())
     assert got == want
     assert {r[1] for r in got if r[0] == 3} == {"C0"}
+
+
+def test_events_table_as_a_folder_of_files(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    one = runner.run_table(spark, "/root/testdata/sf0.001", "events.parquet", 3600)
+    many = runner.run_table(spark, str(tmp_path), "events.parquet", 3600)
+    assert one.count() == many.count() > 0
+    assert one.exceptAll(many).isEmpty()
