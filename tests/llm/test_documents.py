@@ -290,3 +290,24 @@ def test_op2_odd_rows(spark, docs):
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
                for r in rows)
+
+
+def test_op6_large_group_of_near_lines(spark):
+    """Edited lines on both sides of the threshold: leaders settle some, the join the rest."""
+    rng = np.random.default_rng(6)
+    base, rows = [f"w{i}" for i in range(40)], []
+    for d in range(200):
+        w = list(base)
+        for at in rng.choice(40, rng.integers(0, 7), replace=False):
+            w[at] = f"z{rng.integers(0, 30)}"
+        rows.append((d, " ".join(w) + "\n" + " ".join(w[::-1][:30])))
+    seen, want = [], {}
+    for d, t in rows:
+        for no, line in enumerate(t.split("\n")):
+            w = set(line.split())
+            want[d, no] = any(5 * len(w & o) >= 4 * len(w | o) for o in seen)
+            seen.append(w)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = {r["doc_id"]: r["text"] for r in got}
+    assert kept == {d: "\n".join(x for no, x in enumerate(t.split("\n")) if not want[d, no]) for d, t in rows}
+    assert 0 < sum(not x for x in want.values()) < len(want)
