@@ -1,10 +1,12 @@
 """Secret scans: pattern candidates, filtered by a random forest.
 
-Candidates are long tokens with digits and values assigned to credential names.
+Candidates are values of eight characters and more assigned to credential names,
+and runs of sixteen token characters and more, each of them whole: neither has an
+upper length, and letters alone will do.
 A forest tells secrets from false positives by length, character transitions
 (mean log probability of character pairs under the corpus dictionary), share of
-characters covered by dictionary words, path-like context and neighbouring
-words. It learns from labelled findings; ``seed_findings`` makes them from rules
+characters covered by dictionary words, absence of digits, path-like context and
+neighbouring words. It learns from labelled findings; ``seed_findings`` makes them from rules
 that leave no doubt either way, for corpora without any.
 
 The dictionary holds the ``DICTIONARY`` most frequent words by counts over all
@@ -32,15 +34,17 @@ from floodflow.llm.base import materialize, split_words
 DICTIONARY = 5000
 MAX_TRAIN_ROWS = 20_000
 NEIGHBOURS = 3
+LEAST_RUN = 16
 _BUCKETS = 8
 _ASSIGNED = re.compile(
-    r"(?i)(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{8,200})")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_\-+/=.@])[A-Za-z0-9_\-+/=]{16,400}(?![A-Za-z0-9_\-+/=@])")
+    r"(?i)(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*+[=:]\s*+[\"']?([^\s\"',;]{8,}+)")
+_TOKEN = re.compile(rf"[A-Za-z0-9_\-+/=]{{{LEAST_RUN},}}+")
 _VENDOR = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{32,}")
 _PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|placeholder|change|your|xxxx|0000|1234|test")
 _CREDENTIAL = re.compile(r"(?i)password|passwd|secret|token|key|credential|auth")
 FEATURES = ("length", "entropy", "transitions", "coverage", "digits", "upper", "lower", "marks", "changes",
             "longest_run", "hex", "slashes", "path_depth", "path_test", "assigned", "credential_near",
+            "no_digit", "joined_before", "joined_after",
             *(f"near{i}" for i in range(_BUCKETS)))
 
 
@@ -52,19 +56,23 @@ def dictionary(docs: DataFrame) -> list[str]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, bool]]:
-    """(start, end, assigned) of the candidates, without overlaps."""
-    taken = []
-    for m in _ASSIGNED.finditer(text):
-        if any(c.isdigit() for c in m.group(1)):
-            taken.append((m.start(1), m.end(1), True))
+    """(start, end, assigned) of the candidates, without overlaps.
+
+    Token characters are value characters too, so a run that meets a value ends
+    with or in it; what stands before the value's name is a run of its own.
+    """
+    taken = [(m.start(), m.start(1), m.end(1)) for m in _ASSIGNED.finditer(text)]
     k = 0
     for m in _TOKEN.finditer(text):
         a, b = m.span()
-        while k < len(taken) and taken[k][1] <= a:
+        while k < len(taken) and taken[k][2] <= a:
             k += 1
-        if not (k < len(taken) and taken[k][0] < b) and any(c.isdigit() for c in m.group()):
+        if k < len(taken) and taken[k][1] < b:
+            b = taken[k][0]
+        if b - a >= LEAST_RUN:
             yield a, b, False
-    yield from taken
+    for _, a, b in taken:
+        yield a, b, True
 
 
 class Describer:
@@ -113,7 +121,8 @@ class Describer:
             sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, float(most),
             sum(c in "0123456789abcdefABCDEF" for c in s) / n, float(s.count("/")), float(path.count("/")),
             float(bool(re.search(r"(?i)test|example|sample|doc", path))), float(assigned),
-            float(bool(_CREDENTIAL.search(before[-40:]))), *near]
+            float(bool(_CREDENTIAL.search(before[-40:]))), float("d" not in kinds),
+            float(before.endswith((".", "@"))), float(after.startswith("@")), *near]
 
 
 @dataclass
@@ -217,15 +226,20 @@ def find(docs: DataFrame, words: list[str], path: str | None = "source") -> Data
 def seed_findings(found: DataFrame) -> DataFrame:
     """Findings that rules settle: ``x`` and ``label``.
 
-    1: a vendor's key format, or a value of hexadecimal or mixed characters
-    assigned to a credential name; 0: placeholders, one character repeated,
-    and values that are mostly words or numbers. The rest is left open.
+    1: a vendor's key format, or a value of hexadecimal or mixed characters with
+    digits assigned to a credential name; 0: placeholders, one character repeated,
+    and candidates that are mostly words or numbers. The rest is left open, values
+    of letters alone included: a password may be a word.
     """
     c = F.col("candidate")
     hold = c.rlike(_PLACEHOLDER.pattern) | c.rlike(r"(.)\1{7,}")
     vendor = c.rlike(f"^({_VENDOR.pattern})$")
-    value = F.col("assigned") & (c.rlike(r"^[0-9a-f]{16,}$") | (c.rlike("[A-Z]") & c.rlike("[a-z]")))
-    plain = c.rlike(r"^[0-9.+/=_-]+$") | c.rlike(r"^[A-Za-z]+([-_/][A-Za-z]+)*[-_/]?[0-9]{0,4}$")
+    digit = c.rlike("[0-9]")
+    value = F.col("assigned") & digit & (c.rlike(r"^[0-9a-f]{16,}$") | (c.rlike("[A-Z]") & c.rlike("[a-z]")))
+    # possessive, since Java's matcher recurses at every turn of a group it may give back
+    words = F.when(digit, c.rlike(r"^[A-Za-z]++(?:[-_/][A-Za-z]++)*+[-_/]?[0-9]{0,4}$")).otherwise(
+        ~F.col("assigned") & c.rlike(r"^(?:[-_/]*+(?:[A-Z]?[a-z]++|[A-Z]++))(?:[-_/]++(?:[A-Z]?[a-z]++|[A-Z]++))*+[-_/]*+$"))
+    plain = c.rlike(r"^[0-9.+/=_-]+$") | words
     label = F.when(hold | (plain & ~vendor), 0).when(vendor | value, 1)
     return found.select("x", label.alias("label")).where(F.col("label").isNotNull())
 

@@ -85,3 +85,30 @@ def test_pipeline_keeps_one_of_each_group(spark):
                                  "doc_id long, text string")
     got = pipeline_stages.ngram_jaccard_join(spark, docs, SF)
     assert {r["doc_id"] for r in got.collect()} == {1, 2, None}
+
+
+def test_op7_candidates_are_whole():
+    for n in (8, 16, 201, 401, 5000):
+        value = ("a1B2-c3d4/" * 500)[:n]
+        for text in (f"password={value}", f'{{"password": "{value}"}}', f"token    :    '{value}'", f"x secret={value}, y"):
+            a = text.index(value)
+            assert list(secrets.candidates(text)) == [(a, a + n, True)]
+        if n >= 16:
+            for text in (value, f"key {value} end", f"head.{value}.tail", f"me:{value}@host"):
+                a = text.index(value)
+                assert list(secrets.candidates(text)) == [(a, a + n, False)]
+    run = "Zm9v" * 150
+    assert list(secrets.candidates(f"{run}/token=abcdefgh")) == [(0, 601, False), (607, 615, True)]
+
+
+def test_op7_scores_long_values_and_letters(spark):
+    key = "".join("ABcdEFghIJ0123456789+/"[i * i * 7 % 22] for i in range(5000))
+    path = "a-" * 10_000  # as many groups for the seeds' patterns
+    rows = [(i, f"some words here password=e3b3ed3cc854892{i:03x} and more") for i in range(30)]
+    rows += [(100 + i, f"path build-artifacts-number-{i:03d} of words") for i in range(30)]
+    rows += [(200 + n, f"password={key[:n]}") for n in (201, 401, 5000)] + [(1, f"run {key[:401]} end")]
+    rows += [(300, '{"password": "CorrectHorseBattery"}'), (301, "secret: tromboneq"), (302, path)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), path=None).collect()
+    found = {(r["doc_id"], r["candidate"]) for r in got if 0 <= r["score"] <= 1}
+    assert {(200 + n, key[:n]) for n in (201, 401, 5000)} | {(1, key[:401])} <= found
+    assert {(300, "CorrectHorseBattery"), (301, "tromboneq"), (302, path)} <= found
