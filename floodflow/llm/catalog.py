@@ -42,7 +42,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_words=1)
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 

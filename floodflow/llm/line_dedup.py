@@ -1,10 +1,12 @@
 """Line dedup: exact set-similarity join of lines, removing later matches.
 
-A line is the set of its lower-cased words. A line of ``MIN_WORDS`` different
-words or more is removed when an earlier line (smaller doc_id, then smaller
-place in the text) reaches Jaccard similarity ``PERCENT`` / 100 with it;
+A line is the set of its lower-cased words. A line of ``min_words`` different
+words or more is removed when an earlier line of as many (smaller doc_id, then
+smaller place in the text) reaches Jaccard similarity ``PERCENT`` / 100 with it;
 earlier lines count whether or not they are removed themselves. Shorter lines
-stay.
+stay. With ``min_words`` 1, as op6 and the pipeline call it, that leaves out only
+lines without a word; sets too small to be similar to any but an equal one are
+classes without a part in the join.
 
 Words are ordered by rarity: their counts over all documents in
 ``BUCKETS`` hash buckets, a table of one byte each that is part of the plan and
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from floodflow.llm.base import let, materialize, row_key, split_words
 
-MIN_WORDS = 5
+MIN_WORDS = 5  # default of the functions; the query and the pipeline pass 1
 PERCENT = 80
 BUCKETS = 1 << 16
 PARTS = 4  # longs of the wide parity bitmap, a power of two
@@ -89,7 +91,7 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def line_sets(docs: DataFrame, rarity: bytes) -> DataFrame:
+def line_sets(docs: DataFrame, rarity: bytes, min_words: int = MIN_WORDS) -> DataFrame:
     """Lines with enough words: doc, rk, no, set (hash of the word set), n, wide
     (parity bitmap), bits (the same folded to one long), pre, sigs."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"),
@@ -101,10 +103,10 @@ def line_sets(docs: DataFrame, rarity: bytes) -> DataFrame:
                     lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("pre"),
         F.array(*[_least_words(h, k) for k in range(BANDS)]).alias("sigs")))
     bits = reduce(Column.bitwiseXOR, [F.col("s.wide")[k] for k in range(PARTS)])
-    return (base.where(F.length("line") >= 2 * MIN_WORDS - 1)
+    return (base.where(F.length("line") >= 2 * min_words - 1)
             .select("doc", "rk", "no", F.explode(F.array(made)).alias("s"))
             .select("doc", "rk", "no", "s.set", "s.n", "s.wide", bits.alias("bits"), "s.pre", "s.sigs")
-            .where(F.col("n") >= MIN_WORDS))
+            .where(F.col("n") >= max(min_words, 1)))
 
 
 def _leaders(lines: DataFrame) -> DataFrame:
@@ -179,14 +181,16 @@ def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, name: str) ->
     return materialize(hits, f"line-{name}-hits")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document key ``rk`` with the numbers ``gone`` of its removed lines."""
-    lines = materialize(line_sets(docs, _rarity(docs)), "line-sets")
+    lines = materialize(line_sets(docs, _rarity(docs), min_words), "line-sets")
+    # Two different sets reach the similarity at best when one has a word more.
+    able = lines.where(100 * F.col("n") >= PERCENT * (F.col("n") + 1))
     # One match is enough to remove a line. Leaders settle large groups of near
     # copies in linear work; the join below leaves out pairs of settled classes.
-    found = _verified(docs, lines, _leaders(lines), "leader")
-    rest = _ordered_pairs(lines, _candidates(lines, found), found)
-    near = (found.union(_verified(docs, lines, rest, "join")).select(F.col("late").alias("set")).distinct()
+    found = _verified(docs, able, _leaders(able), "leader")
+    rest = _ordered_pairs(able, _candidates(able, found), found)
+    near = (found.union(_verified(docs, able, rest, "join")).select(F.col("late").alias("set")).distinct()
             .withColumn("late", F.lit(True)))
     state = lines.groupBy("set").agg(F.min(F.struct("doc", "no", "rk")).alias("first")).join(near, "set", "left")
     gone = (lines.select("doc", "rk", "no", "set").join(state, "set")
@@ -194,10 +198,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("rk").agg(F.collect_set("no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the removed lines cut from ``text``, and ``n_lines`` and
-    ``n_removed`` added."""
-    gone = removed_lines(docs)
+    ``n_removed`` added. Lines of fewer than ``min_words`` different words stay."""
+    gone = removed_lines(docs, min_words)
     rows = docs.select(F.struct("*").alias("_doc"), row_key("doc_id", "text").alias("rk")).join(gone, "rk", "left")
     lines = F.col("_l")
     kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("gone"), i), x)),

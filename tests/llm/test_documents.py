@@ -311,3 +311,35 @@ def test_op6_large_group_of_near_lines(spark):
     kept = {r["doc_id"]: r["text"] for r in got}
     assert kept == {d: "\n".join(x for no, x in enumerate(t.split("\n")) if not want[d, no]) for d, t in rows}
     assert 0 < sum(not x for x in want.values()) < len(want)
+
+
+def test_op6_short_lines(spark, odd_docs, tmp_path):
+    """The query has no least number of words: one to four count like others."""
+    short = spark.createDataFrame(
+        [(20, "All rights reserved.\na b c d\n\n \t\nunique"), (21, "all  RIGHTS reserved.\na b c d e\n\nother"),
+         (22, "go go go go\nd c b a\nall rights"), (23, "go\n" * 50 + "e d c b a"), (24, "c a b"), (25, "a b c")],
+        "doc_id long, text string")
+    made = short.unionByName(odd_docs.select("doc_id", "text"))
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    for sf in (str(tmp_path), SF):
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        seen, firsts, gone = [], set(), {}
+        for d, t in texts(docs):
+            for no, line in enumerate(t.split("\n") if t is not None else []):
+                w = frozenset(WORD.findall(line.lower()))
+                if w:
+                    gone[d, t, no] = w in firsts or any(5 * len(w & o) >= 4 * len(w | o) for o in seen)
+                    if w not in firsts:
+                        seen.append(w)
+                    firsts.add(w)
+
+        def want(d, t):
+            if t is None:
+                return 0, 0, None
+            lines = t.split("\n")
+            kept = [x for no, x in enumerate(lines) if not gone.get((d, t, no))]
+            return len(lines), len(lines) - len(kept), "\n".join(kept)
+
+        check(docs, catalog.QUERIES["op6_line_dedup"](spark, sf), ("n_lines", "n_removed", "text"), want)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(short, min_words=1).collect()}
+    assert got[21] == "\nother" and got[22] == "go go go go\nall rights" and got[23] == "" and got[25] == ""
