@@ -216,7 +216,8 @@ def verified(pairs: DataFrame, texts: DataFrame, orders: Orders) -> DataFrame:
 
 
 def join_components(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, rk, n_shingles, component_id."""
+    """Per row of ``docs`` (doc_id, text): doc_id, rk, n_shingles, component_id, and
+    ``first``, the key of the component's row with the smallest (id, rk)."""
     docs = docs.select("doc_id", "text")
     orders = frequent_shingles(docs)
     rows = materialize(signatures(docs, orders), "shingle-sets")
@@ -257,14 +258,15 @@ def join_components(docs: DataFrame) -> DataFrame:
                 break
 
     named = (named.where("n > 0").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
-    least = named.groupBy("comp").agg(F.min("doc").alias("component"))
-    linked = named.join(least, "comp").select("rk", "doc", "n", "component")
-    alone = rows.where("n = 0").select("rk", "doc", "n", F.col("doc").alias("component"))
+    least = named.groupBy("comp").agg(F.min(F.struct("doc", "rk")).alias("least"))
+    linked = named.join(least, "comp").select(
+        "rk", "doc", "n", F.col("least.doc").alias("component"), F.col("least.rk").alias("first"))
+    alone = rows.where("n = 0").select("rk", "doc", "n", F.col("doc").alias("component"), F.col("rk").alias("first"))
     null = F.lit(None).cast("long")
     return linked.unionByName(alone).select(
         F.when(F.col("doc") != _NO_ID, F.col("doc")).otherwise(null).alias("doc_id"), "rk",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("component") != _NO_ID, F.col("component")).otherwise(null).alias("component_id"))
+        F.when(F.col("component") != _NO_ID, F.col("component")).otherwise(null).alias("component_id"), "first")
 
 
 def _star_pairs(spots: DataFrame, marks: DataFrame, turn: int) -> DataFrame:

@@ -34,11 +34,11 @@ def line_dedup_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents.
-    Documents without an id have nothing to be named by and all stay."""
+    """One document of each group of linked documents: the one with the smallest
+    id, no id before all others, and among texts of one id the one with the smallest
+    row key. Rows that repeat it are one document."""
     found = jaccard_join.join_components(docs.select("doc_id", "text"))
-    drop = found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    kept = drop.select("rk").distinct()
+    kept = found.where("rk = first").select("rk").distinct()
     rows = docs.withColumn("_rk", row_key("doc_id", "text"))
     return rows.join(kept, rows["_rk"] == kept["rk"], "left_semi").dropDuplicates(["_rk"]).drop("_rk")
 

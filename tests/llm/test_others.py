@@ -112,3 +112,17 @@ def test_op7_scores_long_values_and_letters(spark):
     found = {(r["doc_id"], r["candidate"]) for r in got if 0 <= r["score"] <= 1}
     assert {(200 + n, key[:n]) for n in (201, 401, 5000)} | {(1, key[:401])} <= found
     assert {(300, "CorrectHorseBattery"), (301, "tromboneq"), (302, path)} <= found
+
+
+def test_pipeline_keeps_one_row_of_groups_with_null_or_tied_ids(spark):
+    def words(k, tail=""):
+        return " ".join(f"{k}{i}" for i in range(60)) + tail
+
+    rows = [(1, words("a")), (2, words("a", " end")), (None, words("a", " more")), (None, words("a", " last")),
+            (5, words("b")), (5, words("b", " end")), (6, words("b")), (5, words("b")),
+            (None, words("c")), (None, words("d")), (None, ""), (8, ""), (9, words("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in pipeline_stages.ngram_jaccard_join(spark, docs, SF).collect()]
+    per = {k: [d for d, t in got if t.startswith(f"{k}0 ")] for k in "abcde"}
+    assert per == {"a": [None], "b": [5], "c": [None], "d": [None], "e": [9]}
+    assert len(got) == 7 and set(got) <= set(rows)
