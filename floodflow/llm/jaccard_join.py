@@ -39,7 +39,7 @@ from floodflow.llm.base import materialize, row_key
 from floodflow.llm.blocks import Block, batches, mix, word_spans
 from floodflow.llm.components import components
 
-SHINGLE = 4
+SHINGLE = 4  # op5's contract
 PERCENT = 85
 ORDERS = (0x0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Most frequent shingles that the orders put last: the bound of the only broadcast.
@@ -79,10 +79,14 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray
 
 
 class Orders:
-    """The global token orders; ``hashes`` (sorted) are the frequent shingles."""
+    """The global token orders; ``hashes`` (sorted) are the frequent shingles of
+    ``size`` words, and prefixes are those of ``percent``."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        self.hashes, self.counts = hashes, counts
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, size: int = SHINGLE, percent: int = PERCENT):
+        self.hashes, self.counts, self.size, self.percent = hashes, counts, size, percent
+
+    def sets(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        return shingle_sets(texts, self.size)
 
     def frequency(self, s: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -93,7 +97,7 @@ class Orders:
     def prefix(self, s: np.ndarray, order: int, freq: np.ndarray | None = None) -> np.ndarray:
         n = len(s)
         freq = self.frequency(s) if freq is None else freq
-        take = n - (PERCENT * n + 99) // 100 + 1
+        take = n - (self.percent * n + 99) // 100 + 1
         rare = s[freq == 0]
         if len(rare) >= take:  # the usual case needs no full sort
             k = mix(rare ^ np.uint64(ORDERS[order]))
@@ -106,38 +110,38 @@ def _bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary").alias("text")
 
 
-def _count_frequent(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_frequent(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        sets = list(shingle_sets(batch.column("text").to_pylist()))
+        sets = list(shingle_sets(batch.column("text").to_pylist(), size))
         h, c = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
         many = c >= _LOCAL
         yield pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(c[many])], names=["h", "c"])
 
 
-def frequent_shingles(docs: DataFrame) -> Orders:
+def frequent_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Orders:
     """The ``FREQUENT`` shingles that most documents share, counted over all.
 
     Only shingles that ``_LOCAL`` documents of one map batch share are counted;
     this bounds the shuffle, and any order gives the same result.
     """
-    rows = (docs.select(_bytes()).mapInArrow(_count_frequent, "h long, c long")
+    rows = (docs.select(_bytes()).mapInArrow(lambda it: _count_frequent(it, size), "h long, c long")
             .groupBy("h").agg(F.sum("c").alias("c"))
             .orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow())
     h = rows.column("h").to_numpy().view(np.uint64)
     o = np.argsort(h)
-    return Orders(h[o], rows.column("c").to_numpy()[o].astype(np.int64))
+    return Orders(h[o], rows.column("c").to_numpy()[o].astype(np.int64), size, percent)
 
 
 def signatures(docs: DataFrame, orders: Orders) -> DataFrame:
     """Per row: doc, rk, n (set size), cls (hash of the set), pre (first order's
     prefix), score (share of frequent shingles in it) and bits (parity bitmap)."""
-    shared = docs.sparkSession.sparkContext.broadcast((orders.hashes, orders.counts))
+    shared = docs.sparkSession.sparkContext.broadcast((orders.hashes, orders.counts, orders.size, orders.percent))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Orders(*shared.value)
         for batch in it:
             n, cls, pre, score, bits = [], [], [], [], []
-            for s in shingle_sets(batch.column("text").to_pylist()):
+            for s in own.sets(batch.column("text").to_pylist()):
                 n.append(len(s))
                 cls.append(int(mix(np.array([mix(s).sum() ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
                 front = own.prefix(s, 0) if len(s) else s
@@ -161,18 +165,18 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _near(x: str, y: str, nx: str, ny: str) -> Column:
+def _near(x: str, y: str, nx: str, ny: str, percent: int) -> Column:
     """Whether the parity bitmaps leave the similarity possible."""
     differ = sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(_WORDS))
-    return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col(nx) + F.col(ny))
+    return (100 + percent) * differ <= (100 - percent) * (F.col(nx) + F.col(ny))
 
 
-def _fits(n1: str, p1: str, n2: str, p2: str) -> Column:
+def _fits(n1: str, p1: str, n2: str, p2: str, percent: int) -> Column:
     """Length bound and positional bound of a shared token at places p1 and p2."""
     a, b, i, j = (F.col(x) for x in (n1, n2, p1, p2))
     reach = F.least(i, j) + 1 + F.least(a - i, b - j) - 1
-    return ((100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
-            & ((100 + PERCENT) * reach >= PERCENT * (a + b)))
+    return ((100 * F.least(a, b) >= percent * F.greatest(a, b))
+            & ((100 + percent) * reach >= percent * (a + b)))
 
 
 def _verify(it: Iterator[pa.RecordBatch], orders: Orders) -> Iterator[pa.RecordBatch]:
@@ -181,7 +185,7 @@ def _verify(it: Iterator[pa.RecordBatch], orders: Orders) -> Iterator[pa.RecordB
     for batch in it:
         hubs, roles, cls = (batch.column(c).to_pylist() for c in ("hub", "role", "cls"))
         u, v = [], []
-        for h, role, c, s in zip(hubs, roles, cls, shingle_sets(batch.column("text").to_pylist()), strict=True):
+        for h, role, c, s in zip(hubs, roles, cls, orders.sets(batch.column("text").to_pylist()), strict=True):
             freq = orders.frequency(s)
             if role == 0:
                 hub, own = h, s
@@ -193,7 +197,7 @@ def _verify(it: Iterator[pa.RecordBatch], orders: Orders) -> Iterator[pa.RecordB
                        for k, f in zip(range(1, len(ORDERS)), fronts, strict=True)):
                 continue
             both = int(np.isin(s, own, assume_unique=True).sum())
-            if 100 * both >= PERCENT * (len(s) + len(own) - both):
+            if 100 * both >= orders.percent * (len(s) + len(own) - both):
                 u.append(h)
                 v.append(c)
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -202,7 +206,7 @@ def _verify(it: Iterator[pa.RecordBatch], orders: Orders) -> Iterator[pa.RecordB
 def verified(pairs: DataFrame, texts: DataFrame, orders: Orders) -> DataFrame:
     """The pairs (hub, cls) that link. A hub's text travels once for every part
     of about 200 partners, so no group of partners is one task's alone."""
-    shared = texts.sparkSession.sparkContext.broadcast((orders.hashes, orders.counts))
+    shared = texts.sparkSession.sparkContext.broadcast((orders.hashes, orders.counts, orders.size, orders.percent))
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("k"))
     pairs = (pairs.join(sizes, "hub").withColumn(
         "part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("k") / 200))).drop("k"))
@@ -215,11 +219,12 @@ def verified(pairs: DataFrame, texts: DataFrame, orders: Orders) -> DataFrame:
             .mapInArrow(lambda it: _verify(it, Orders(*shared.value)), "u long, v long"))
 
 
-def join_components(docs: DataFrame) -> DataFrame:
+def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, rk, n_shingles, component_id, and
-    ``first``, the key of the component's row with the smallest (id, rk)."""
+    ``first``, the key of the component's row with the smallest (id, rk). Rows link
+    when their sets of ``size`` words a shingle reach ``percent``."""
     docs = docs.select("doc_id", "text")
-    orders = frequent_shingles(docs)
+    orders = frequent_shingles(docs, size, percent)
     rows = materialize(signatures(docs, orders), "shingle-sets")
     named = rows.select("doc", "rk", "n", "cls")
     reps = rows.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc", "rk")).alias("rep"))
@@ -240,7 +245,8 @@ def join_components(docs: DataFrame) -> DataFrame:
 
     edges = tried = comp = None
     for turn in range(_STARS + 1):
-        pairs = _star_pairs(open_, marks, turn) if turn < _STARS else _all_pairs(open_, marks)
+        pairs = (_star_pairs(open_, marks, turn, percent) if turn < _STARS
+                 else _all_pairs(open_, marks, percent))
         if tried is not None:
             pairs = pairs.join(tried, [F.least(pairs.hub, pairs.cls) == tried.x,
                                        F.greatest(pairs.hub, pairs.cls) == tried.y], "left_anti")
@@ -269,7 +275,7 @@ def join_components(docs: DataFrame) -> DataFrame:
         F.when(F.col("component") != _NO_ID, F.col("component")).otherwise(null).alias("component_id"), "first")
 
 
-def _star_pairs(spots: DataFrame, marks: DataFrame, turn: int) -> DataFrame:
+def _star_pairs(spots: DataFrame, marks: DataFrame, turn: int, percent: int) -> DataFrame:
     """Every class with the hub that most of its buckets agree on.
 
     A bucket's hub is its most central class; in later turns, the most central
@@ -283,20 +289,20 @@ def _star_pairs(spots: DataFrame, marks: DataFrame, turn: int) -> DataFrame:
     votes = (spots.join(hubs, "t").where(F.col("comp") != F.col("hub.comp"))
              .select("cls", "n", "pos", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hn"),
                      F.col("hub.pos").alias("hpos"), F.col("hub.score").alias("hscore"))
-             .where(_fits("n", "pos", "hn", "hpos"))
+             .where(_fits("n", "pos", "hn", "hpos", percent))
              .groupBy("cls", "hub").agg(F.count("*").alias("c"), F.max("hscore").alias("s")))
     own = marks.select("cls", "n", "bits")
     hub = marks.select(F.col("cls").alias("hub"), F.col("n").alias("hn"), F.col("bits").alias("hbits"))
-    return (votes.join(own, "cls").join(hub, "hub").where(_near("bits", "hbits", "n", "hn"))
+    return (votes.join(own, "cls").join(hub, "hub").where(_near("bits", "hbits", "n", "hn", percent))
             .groupBy("cls").agg(F.max(F.struct("c", "s", "hub")).alias("b"))
             .select(F.col("b.hub").alias("hub"), "cls"))
 
 
-def _all_pairs(spots: DataFrame, marks: DataFrame) -> DataFrame:
+def _all_pairs(spots: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """All pairs of a bucket that lie in different components and may be similar."""
     b = spots.select("t", "cls", "pos", "comp").join(marks, "cls")
     a = b.select("t", F.col("cls").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"),
                  F.col("comp").alias("hcomp"), F.col("bits").alias("hbits"))
     return (a.join(b, (a["t"] == b["t"]) & (F.col("hub") < F.col("cls")) & (F.col("comp") != F.col("hcomp"))
-                   & _fits("n", "pos", "hn", "hpos") & _near("bits", "hbits", "n", "hn"))
+                   & _fits("n", "pos", "hn", "hpos", percent) & _near("bits", "hbits", "n", "hn", percent))
             .select("hub", "cls").distinct())

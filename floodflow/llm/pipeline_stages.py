@@ -34,10 +34,11 @@ def line_dedup_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one with the smallest
+    """One document of each group of linked documents (shingles of five words, a
+    similarity of 0.8; op5's values are its own contract): the one with the smallest
     id, no id before all others, and among texts of one id the one with the smallest
     row key. Rows that repeat it are one document."""
-    found = jaccard_join.join_components(docs.select("doc_id", "text"))
+    found = jaccard_join.join_components(docs.select("doc_id", "text"), size=5, percent=80)
     kept = found.where("rk = first").select("rk").distinct()
     rows = docs.withColumn("_rk", row_key("doc_id", "text"))
     return rows.join(kept, rows["_rk"] == kept["rk"], "left_semi").dropDuplicates(["_rk"]).drop("_rk")

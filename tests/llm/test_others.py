@@ -126,3 +126,14 @@ def test_pipeline_keeps_one_row_of_groups_with_null_or_tied_ids(spark):
     per = {k: [d for d, t in got if t.startswith(f"{k}0 ")] for k in "abcde"}
     assert per == {"a": [None], "b": [5], "c": [None], "d": [None], "e": [9]}
     assert len(got) == 7 and set(got) <= set(rows)
+
+
+def test_pipeline_links_copies_from_four_fifths(spark):
+    """Similarity of shingles of five words, by appended words: 80, 83 and 79 percent."""
+    rows = []
+    for k, (n, more) in enumerate([(84, 20), (104, 20), (83, 21)]):
+        words = [f"{'abc'[k]}{i}" for i in range(n)]
+        rows += [(10 * k + 1, " ".join(words)), (10 * k + 2, " ".join(words + [f"z{k}{i}" for i in range(more)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pipeline_stages.ngram_jaccard_join(spark, docs, SF)
+    assert {r["doc_id"] for r in got.collect()} == {1, 11, 21, 22}
