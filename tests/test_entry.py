@@ -42,3 +42,30 @@ def test_query_matches_duckdb(spark, con, name):
     names = [d[0] for d in cur.description]
     want = sorted((tuple(r[names.index(c)] for c in cols) for r in cur.fetchall()), key=repr)
     assert got == want
+
+
+def test_weighted_sample_matches_brute_force(spark, con):
+    """Every place's draw by hand: the hash of (id, seed), then the smallest keys."""
+    import math
+    mask, p1, p2, p3, p4, p5 = ((1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
+                                0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+
+    def turn(v, n):
+        return ((v << n) | (v >> (64 - n))) & mask
+
+    def mix(h):
+        h = (h ^ (h >> 33)) * p2 & mask
+        h = (h ^ (h >> 29)) * p3 & mask
+        return h ^ (h >> 32)
+
+    def draw(key, seed):
+        h = (42 + p5 + 8) & mask ^ turn((key & mask) * p2 & mask, 31) * p1 & mask
+        h = mix((turn(h, 27) * p1 + p4) & mask)
+        h = (h + p5 + 4) & mask ^ seed * p1 & mask
+        return ((mix((turn(h, 23) * p2 + p3) & mask) >> 11) + 0.5) / 2 ** 53
+
+    rows = con.execute(E.oracle_sql()["sampling_weight"]).fetchall()
+    keys = sorted((-math.log(draw(i, 42)) / w, i, n) for i, n, w in rows if w is not None and w > 0)
+    assert len(keys) > 10
+    got = E.queries()["weighted_sample"](spark, SF).collect()
+    assert sorted((r["id"], r["population"]) for r in got) == sorted((i, n) for _, i, n in keys[:10])
