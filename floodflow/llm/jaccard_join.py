@@ -3,11 +3,12 @@
 A document's set holds its distinct shingles. Two sets that reach the
 similarity must share a token among the first ``n - ceil(t * n) + 1`` tokens of
 both, under *any* order of all tokens. The orders used here put tokens that
-many documents share last (counted over all documents) and break ties by
+many documents share last (counted over all documents, but in a map batch only
+where ``_LOCAL`` of its documents share them) and break ties by
 differently seeded hashes, so boilerplate stays out of the prefixes. The first
 order generates candidates by an equi-join on prefix tokens, with length and
-positional bounds; a candidate must then share a prefix token under every
-other order as well, before the sets themselves are compared.
+positional bounds; the other orders are checked at verification, once both texts
+are at hand, and prune nothing before it.
 
 Documents with equal sets form one class and are compared once. Only
 connectivity is asked for, so a bucket of k classes first yields k - 1 pairs
