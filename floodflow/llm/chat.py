@@ -4,13 +4,16 @@ For every participant the dialogue is rendered with that speaker as the
 assistant, the others as named users and system turns as they are; the mask
 lists the code point spans (the speaker's words and the end mark) to train on.
 
-A dialogue comes in segments of ``SEGMENT_TURNS`` turn numbers, so no row and
-no group grows with the length of a conversation; the segments of a
-perspective, joined in order, are the whole dialogue. Mask spans count from the
-start of their segment. All steps are DataFrame functions.
+A dialogue comes in segments of ``SEGMENT_TURNS`` turn numbers, so rows do not
+grow with the length of a conversation whose turns have numbers of their own.
+Turns without a number and turns that repeat one are not cut: they share a row
+and a group without a limit, as in the SQL twin. The segments of a perspective,
+joined in order, are the whole dialogue. Mask spans count from the start of their
+segment. All steps are DataFrame functions.
 
 Defined cases: a null or empty role is the participant ``unknown``; a null text
-is empty; turns without a number come first, in segment -1; equal turn numbers
+is empty; turns without a number come first in
+segment -1, which they share with the turns -512 to -1; equal turn numbers
 go by role, then text, and rows that repeat are all rendered; rows without a
 conv_id are a conversation each; a conversation of system turns alone has no
 participant and gives no row; the format's marks inside a text are broken up,
@@ -39,8 +42,7 @@ def _head(turn: Column, speaker: Column) -> Column:
 def perspectives(turns: DataFrame) -> DataFrame:
     """``turns`` (conv_id, turn, role, text) to one row per conversation, speaker and
     segment: conv_id, speaker, segment, n_turns, text, mask (start, end)."""
-    clean = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_"), F.lit("<| im_")),
-                      F.lit("\x00"), F.lit(""))
+    clean = F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
     rows = turns.select(
         F.col("conv_id"),
         F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).alias("own"),

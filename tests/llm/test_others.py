@@ -137,3 +137,9 @@ def test_pipeline_links_copies_from_four_fifths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = pipeline_stages.ngram_jaccard_join(spark, docs, SF)
     assert {r["doc_id"] for r in got.collect()} == {1, 11, 21, 22}
+
+
+def test_op8_keeps_nul_characters(spark):
+    df = spark.createDataFrame([(1, 0, "ann", "a\x00b")], "conv_id long, turn int, role string, text string")
+    out = chat.perspectives(df).collect()
+    assert [r["text"] for r in out] == ["<|im_start|>assistant\na\x00b<|im_end|>\n"]
