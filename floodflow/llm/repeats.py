@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from floodflow.llm.base import materialize
+from floodflow.llm.base import materialize, row_key
 from floodflow.llm.blocks import Block, batches, mix
 
 MIN_BYTES = 100
@@ -95,7 +95,7 @@ def merge_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
 
 
 _ROWS = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()),
-                   ("sub", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+                   ("sub", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def _local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def _local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rows(gram, ctx, doc, sub, start, end) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(gram.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc), pa.array(sub.astype(np.int32)),
+        [pa.array(gram.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc), pa.array(sub),
          pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], schema=_ROWS)
 
 
@@ -209,7 +209,7 @@ def _diverse(group: list[int], suffixes: list[tuple[bytes, bytes]], right: int)
     return len(seen) > 1 or b"" in seen
 
 
-_CTX = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("sub", pa.int32()), ("pos", pa.int32()),
+_CTX = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()), ("pos", pa.int32()),
                   ("left", pa.binary()), ("right", pa.binary())])
 
 
@@ -252,7 +252,7 @@ def _key(gram: int, part: bytes) -> int:
                                           ).digest(), "little", signed=True)
 
 
-_SPANS = pa.schema([("doc", pa.int64()), ("sub", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+_SPANS = pa.schema([("doc", pa.int64()), ("sub", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def _group_spans(rows: list[tuple], out: list[tuple]) -> None:
@@ -318,7 +318,7 @@ def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Spans (doc, sub, start, end) of bytes to remove, not merged. ``docs`` has
     doc (never null), sub (tells rows of one doc apart) and text as bytes."""
-    rows = docs.mapInArrow(_local, "gram long, ctx long, doc long, sub int, start int, end int")
+    rows = docs.mapInArrow(_local, "gram long, ctx long, doc long, sub long, start int, end int")
     order = Window.partitionBy("gram").orderBy("ctx", "doc", "sub", "start")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.lag(F.struct("ctx", "doc", "sub", "start")).over(order)
@@ -336,9 +336,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spots = (rows.where(F.col("end") == 0).groupBy("doc", "sub")
              .agg(F.collect_set(F.struct("start", "gram", "many")).alias("spots")))
     around = (docs.join(spots, ["doc", "sub"])
-              .mapInArrow(_contexts, "key long, doc long, sub int, pos int, left binary, right binary"))
+              .mapInArrow(_contexts, "key long, doc long, sub long, pos int, left binary, right binary"))
     found = (around.repartition(F.col("key")).sortWithinPartitions("key", "doc", "sub", "pos")
-             .mapInArrow(_tree, "doc long, sub int, start int, end int"))
+             .mapInArrow(_tree, "doc long, sub long, start int, end int"))
     return known.unionByName(found)
 
 
@@ -346,7 +346,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans and
     the remaining bytes ``kept``."""
     base = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.hash("text").alias("sub"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), row_key("doc_id", "text").alias("sub"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     packed = F.shiftleft(F.greatest("start", F.lit(0)).cast("long"), 32).bitwiseOR(F.col("end").cast("long"))
     per = repeated_spans(base).groupBy("doc", "sub").agg(F.collect_list(packed).alias("spans"))

@@ -343,3 +343,13 @@ def test_op6_short_lines(spark, odd_docs, tmp_path):
         check(docs, catalog.QUERIES["op6_line_dedup"](spark, sf), ("n_lines", "n_removed", "text"), want)
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(short, min_words=1).collect()}
     assert got[21] == "\nother" and got[22] == "go go go go\nall rights" and got[23] == "" and got[25] == ""
+
+
+def test_op1_tells_null_ids_with_one_hash_apart(spark):
+    body = " ".join(f"v{i}" for i in range(60))
+    made = spark.range(300_000).select(F.concat(F.lpad(F.col("id").cast("string"), 8, "0"), F.lit(body)).alias("text"))
+    x, y = (made.groupBy(F.hash("text")).agg(F.min("text").alias("x"), F.max("text").alias("y"))
+            .where("x < y").select("x", "y").first())
+    docs = spark.createDataFrame([(None, x), (None, y)], "doc_id long, text string")
+    got = sorted(r["n_removed"] for r in repeats.remove_repeats(docs).collect())
+    assert got[0] == 0 and got[1] >= len(body)
