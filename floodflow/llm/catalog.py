@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodflow.llm import (chat, classifier, decontaminate, jaccard_join, line_dedup, packing,
-                           quality_rules, repeats, secrets, token_index)
+from floodflow.llm import (chat, classifier, collocations, decontaminate, jaccard_join, line_dedup, packing,
+                           quality_rules, repeats, runs, secrets, token_index, url_filter)
 from floodflow.llm.base import materialize, table
 
 
@@ -73,6 +73,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n_repeat_words", "base_failed", "kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True).drop("n_words")
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -84,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_perspectives": op8_chat_perspectives,
     "op9_token_index": op9_token_index,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_url_filter": op13_url_filter,
 }
 
 _OP8 = """
@@ -108,4 +124,39 @@ SELECT conv_id, speaker, segment, count(*) AS n_turns,
 FROM o GROUP BY conv_id, speaker, segment
 """
 
-SQL: dict[str, str] = {"op8_chat_perspectives": _OP8}
+_OP11 = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                             'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE k > 1),
+cuts AS (
+  SELECT lang, k, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:k], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+scored AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, a, h.f AS l, t.f AS r, n, cut,
+         CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head
+            JOIN f t ON t.lang = cuts.lang AND t.phrase = tail
+            JOIN total ON total.lang = cuts.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_phrases AS (
+  SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))),
+held AS (SELECT lang, phrase, max(a) AS holder FROM inner_phrases GROUP BY lang, phrase),
+ranked AS (
+  SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank,
+         best.phrase, a, l, r, n, score
+  FROM best LEFT JOIN held ON held.lang = best.lang AND held.phrase = best.phrase
+  WHERE holder IS NULL OR 100 * holder < 100 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op8_chat_perspectives": _OP8, "op11_collocations": _OP11}
