@@ -7,6 +7,9 @@ import contextlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Size up to which a table is broadcast; measured before each use.
+BROADCAST_BYTES = 64 << 20
+
 
 def split(df: DataFrame, cond: Column) -> tuple[DataFrame, DataFrame]:
     """(rows where cond is true, rows where cond is false). Rows whose
@@ -44,6 +47,19 @@ def fill_nulls(df: DataFrame, number=0, text: str | None = "Waterworld",
     return out
 
 
+def byte_size(df: DataFrame) -> int:
+    """Bytes of all rows as JSON text, a measure that long texts and arrays count in."""
+    if not df.columns:
+        return 0
+    return int(df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0)
+
+
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES, size: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if its size (measured unless given) is within
+    ``limit``; otherwise as it is, and Spark shuffles or splits the join."""
+    return F.broadcast(df) if (byte_size(df) if size is None else size) <= limit else df
+
+
 @contextlib.contextmanager
 def cached(*dfs: DataFrame):
     """Cache frames that several actions share and always release them."""

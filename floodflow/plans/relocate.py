@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floodflow.functions.columns import CITY_SHARE, HARBOUR_SHARE, tolerant_long, with_cell
-from floodflow.operators.nearest import BROADCAST_ROWS, nearest_join
-from floodflow.operators.relational import fill_nulls, split
+from floodflow.operators.nearest import nearest_join
+from floodflow.operators.relational import BROADCAST_BYTES, fill_nulls, maybe_broadcast, split
+from floodflow.sources.files import materialize
 
 # Fixed values from the reference job.
 PLACE_TAGS = ["city", "town", "village", "hamlet"]
@@ -89,14 +90,15 @@ def cell_elevation(elevation: DataFrame, cell_size: float, cell_fn=None) -> Data
 
 
 def bounded_elevation(elevation: DataFrame, places: DataFrame, cell_size: float,
-                      broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                      broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Only raster points in cells that hold a place matter. First a range
     filter on the places' bounding box, widened to whole cells (it reaches the
     Parquet reader as pushed filters), then a semi join with the occupied
-    cells, which their exact count broadcasts or shuffles; the rows are the
-    same either way."""
-    b = places.agg(F.min("cy"), F.max("cy"), F.min("cx"), F.max("cx"),
-                   F.count_distinct("cy", "cx")).first()
+    cells, which their measured size broadcasts or shuffles; the rows are the
+    same either way. One box for all places suits a regional raster; a raster of
+    the planet is written along a curve (``sources/raster.py``) and read by the
+    intervals that hold places."""
+    b = places.agg(F.min("cy"), F.max("cy"), F.min("cx"), F.max("cx")).first()
     if b[0] is None:
         return elevation.where(F.lit(False))
     s = float(cell_size)
@@ -105,9 +107,7 @@ def bounded_elevation(elevation: DataFrame, places: DataFrame, cell_size: float,
     boxed = elevation.where(
         (F.col("lat") >= F.lit((b[0] - 1) * s)) & (F.col("lat") < F.lit((b[1] + 2) * s)) &
         (F.col("lon") >= F.lit((b[2] - 1) * s)) & (F.col("lon") < F.lit((b[3] + 2) * s)))
-    occupied = places.select(*CELL).distinct()
-    if b[4] <= broadcast_rows:
-        occupied = F.broadcast(occupied)
+    occupied = maybe_broadcast(places.select(*CELL).distinct(), broadcast_bytes)
     return (with_cell(boxed, size=cell_size)
             .join(occupied, CELL, "left_semi")
             .drop(*CELL))
@@ -118,18 +118,21 @@ def stages(nodes: DataFrame, elevation: DataFrame, sea_level: float, cell_size:
     # The node scan and the raster aggregation are the expensive parts; both
     # results are small and are read several times, so they are written once
     # to the shared checkpoint folder (this also cuts the lineage).
-    filtered = filter_nodes(nodes).checkpoint(eager=True)
+    filtered = materialize(filter_nodes(nodes), "nodes")
     places = all_places(filtered, cell_size, cell_fn)
     if bounded and cell_fn is None:
         elevation = bounded_elevation(elevation, places, cell_size)
     elev = cell_elevation(elevation, cell_size, cell_fn)
     cell_cols = CELL if cell_fn is None else ["cy"]
-    safe = elev.where(F.col("avg_elevation") >= F.lit(sea_level)).select(*cell_cols).checkpoint(eager=True)
-    to_relocate = places.join(safe, cell_cols, "left_anti").select("id", "population", "lat", "lon")
-    cities = (places.where(F.col("place") == "city")
-              .join(safe, cell_cols, "inner")
-              .select(F.col("id").alias("destinationId"), F.col("name").alias("destination"),
-                      F.col("population").alias("destinationPopulation"), "lat", "lon"))
+    safe = elev.where(F.col("avg_elevation") >= F.lit(sea_level)).select(*cell_cols)
+    safe = materialize(safe, "safe-cells")
+    # Both are read by each nearest join and by the lookups after it: written once.
+    to_relocate = materialize(places.join(safe, cell_cols, "left_anti")
+                              .select("id", "population", "lat", "lon"), "to-relocate")
+    cities = materialize(places.where(F.col("place") == "city")
+                         .join(safe, cell_cols, "inner")
+                         .select(F.col("id").alias("destinationId"), F.col("name").alias("destination"),
+                                 F.col("population").alias("destinationPopulation"), "lat", "lon"), "safe-cities")
     harbours = filtered.where(_is_harbour()).select("lat", "lon")
     return Stages(filtered, places, elev, safe, to_relocate, cities, harbours)
 
@@ -188,13 +191,12 @@ def relocation_rows(st: Stages) -> DataFrame:
     return whole.unionByName(partial_rows(harbour_nearer))
 
 
-def _city_names(st: Stages, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _city_names(st: Stages, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Safe-city names for lookups. Every harbour row carries id -1, a hot
-    key; broadcasting the (exactly counted) city table keeps that key out of
+    key; broadcasting the (measured) city table keeps that key out of
     any shuffle. Above the bound, AQE splits the skewed partition."""
     dests = st.safe_cities.select("destinationId", "destination", "destinationPopulation")
-    n = dests.count()
-    return F.broadcast(dests) if n <= broadcast_rows else dests
+    return maybe_broadcast(dests, broadcast_bytes)
 
 
 def relocations_from(st: Stages, rows: DataFrame) -> DataFrame:

@@ -7,20 +7,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodflow.functions.columns import change_ratio, map_style
-from floodflow.operators.nearest import BROADCAST_ROWS
+from floodflow.operators.relational import BROADCAST_BYTES, maybe_broadcast
 
 
 def enrich_updates(updates: DataFrame, cities: DataFrame, key: str = "city_id",
-                   broadcast_rows: int = BROADCAST_ROWS, cities_rows: int | None = None) -> DataFrame:
+                   broadcast_bytes: int = BROADCAST_BYTES, cities_bytes: int | None = None) -> DataFrame:
     """Left lookup of each decoded update in the city table. An update without
     an id or with an unknown id keeps its row with a null feature.
 
     Adds ``count`` (= refugees), keeps ``change``, and adds ``feature`` (the
-    city's struct, or null). The city table is broadcast when its exact row
-    count allows it (also for a streaming left side)."""
-    n = cities_rows if cities_rows is not None else cities.count()
-    dim = cities.select(F.col("city_id").alias("_fid"), "feature")
-    dim = F.broadcast(dim) if n <= broadcast_rows else dim
+    city's struct, or null). The city table is broadcast when its measured size
+    (or ``cities_bytes``, if known) allows it, also for a streaming left side."""
+    dim = maybe_broadcast(cities.select(F.col("city_id").alias("_fid"), "feature"), broadcast_bytes, cities_bytes)
     return (updates.join(dim, updates[key] == dim["_fid"], "left")
             .drop("_fid")
             .withColumnRenamed("refugees", "count"))
