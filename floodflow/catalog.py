@@ -16,7 +16,7 @@ from floodflow.operators.nearest import has_nearer
 from floodflow.operators.relational import argmin_rows, fill_nulls, select_distinct
 from floodflow.operators.sample import weighted_sample
 from floodflow.plans import relocate, snapshot, totals
-from floodflow.sources import codecs, files, geojson, tables
+from floodflow.sources import codecs, files, geojson, raster, tables
 from floodflow.sources.tables import CELL_SIZE, SEA_LEVEL, WINDOW
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,14 @@ def bounded_scan(spark, sf):
     return relocate.cell_elevation(elev, CELL_SIZE)
 
 
+@query
+def raster_scan(spark, sf):
+    """The raster written along the curve, read by the intervals that hold places."""
+    path = files.shared_dir(spark, "raster")
+    raster.write_raster(tables.elevation_points(spark, sf), path, CELL_SIZE)
+    return relocate.cell_elevation(raster.read_cells(spark, path, _places(spark, sf), CELL_SIZE), CELL_SIZE)
+
+
 @query
 def threshold_filter(spark, sf):
     return cell_elevation(spark, sf).where(F.col("avg_elevation") >= F.lit(SEA_LEVEL))
@@ -287,6 +295,14 @@ def stream_updates(spark, sf):
     return runner.run_table(spark, sf, "events.parquet", window_seconds=3600)
 
 
+@query
+def stream_topic(spark, sf):
+    """The same job on a message topic that is written, in steps of event time, while
+    the job reads it in several micro-batches."""
+    from floodflow.streaming import runner
+    return runner.run_topic(spark, runner.table_events(tables.table(spark, sf, "events")), window_seconds=3600)
+
+
 def _update_rows(spark, sf):
     return totals.dense_window_totals(_events(spark, sf), WINDOW)
 

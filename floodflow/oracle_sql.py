@@ -311,3 +311,7 @@ FROM latest_n WHERE count > 0""")
 SQL["stream_updates"] = with_events("""
 SELECT city_id, city_name, window_start, refugees, change FROM totals
 WHERE w + 3600000000 <= (SELECT max(epoch_us(ts)) FROM events)""")
+
+# Other ways to the same rows.
+SQL["stream_topic"] = SQL["stream_updates"]
+SQL["raster_scan"] = SQL["bounded_scan"]

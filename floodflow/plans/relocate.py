@@ -26,6 +26,7 @@ from floodflow.functions.columns import CITY_SHARE, HARBOUR_SHARE, tolerant_long
 from floodflow.operators.nearest import nearest_join
 from floodflow.operators.relational import BROADCAST_BYTES, fill_nulls, maybe_broadcast, split
 from floodflow.sources.files import materialize
+from floodflow.sources.raster import read_cells
 
 # Fixed values from the reference job.
 PLACE_TAGS = ["city", "town", "village", "hamlet"]
@@ -113,14 +114,18 @@ def bounded_elevation(elevation: DataFrame, places: DataFrame, cell_size: float,
             .drop(*CELL))
 
 
-def stages(nodes: DataFrame, elevation: DataFrame, sea_level: float, cell_size: float = 0.5,
+def stages(nodes: DataFrame, elevation: DataFrame | str, sea_level: float, cell_size: float = 0.5,
            bounded: bool = True, cell_fn=None) -> Stages:
+    """``elevation``: raster points, or the path of a raster that ``write_raster`` wrote
+    with this cell size, of which only the intervals with places are read."""
     # The node scan and the raster aggregation are the expensive parts; both
     # results are small and are read several times, so they are written once
     # to the shared checkpoint folder (this also cuts the lineage).
     filtered = materialize(filter_nodes(nodes), "nodes")
     places = all_places(filtered, cell_size, cell_fn)
-    if bounded and cell_fn is None:
+    if isinstance(elevation, str):
+        elevation = read_cells(nodes.sparkSession, elevation, places, cell_size)
+    elif bounded and cell_fn is None:
         elevation = bounded_elevation(elevation, places, cell_size)
     elev = cell_elevation(elevation, cell_size, cell_fn)
     cell_cols = CELL if cell_fn is None else ["cy"]
@@ -219,19 +224,19 @@ def destinations_from(st: Stages, rows: DataFrame) -> DataFrame:
         (F.col("destinationPopulation") + F.col("arrivals")).alias("new_population"))
 
 
-def relocations(nodes: DataFrame, elevation: DataFrame, sea_level: float,
+def relocations(nodes: DataFrame, elevation: DataFrame | str, sea_level: float,
                 cell_size: float = 0.5, **kw) -> DataFrame:
     st = stages(nodes, elevation, sea_level, cell_size, **kw)
     return relocations_from(st, relocation_rows(st))
 
 
-def destinations(nodes: DataFrame, elevation: DataFrame, sea_level: float,
+def destinations(nodes: DataFrame, elevation: DataFrame | str, sea_level: float,
                  cell_size: float = 0.5, **kw) -> DataFrame:
     st = stages(nodes, elevation, sea_level, cell_size, **kw)
     return destinations_from(st, relocation_rows(st))
 
 
-def run(nodes: DataFrame, elevation: DataFrame, sea_level: float, out_dir: str,
+def run(nodes: DataFrame, elevation: DataFrame | str, sea_level: float, out_dir: str,
         cell_size: float = 0.5, mode: str = "errorifexists") -> tuple[str, str]:
     """Write both outputs as ORC under ``out_dir``; the shared relocation rows
     are checkpointed once so the two writes do not recompute them."""

@@ -1,8 +1,7 @@
 """JSON codecs and message-bus record shapes for the stream side.
 
-The bus itself is pluggable: tests and the registered queries read JSON text
-files or tables; a deployment passes ``readStream.format("kafka")`` frames,
-which carry the same ``key``/``value`` columns."""
+The bus itself is pluggable: the message log (``sources/messages.py``) and
+``readStream.format("kafka")`` frames carry the same ``key``/``value`` columns."""
 
 from __future__ import annotations
 
@@ -22,20 +21,27 @@ def encode_record(df: DataFrame, key: str, value_cols: list[str]) -> DataFrame:
                      F.to_json(F.struct(*value_cols), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def decode_strict(text: Column | str, schema: T.StructType = schemas.EVENT) -> Column:
-    """Strict decode: a malformed record, and one without a number that the
-    schema names, fails the query. Texts may be null."""
+def decode_strict(text: Column | str, schema: T.StructType = schemas.EVENT,
+                  optional: tuple[str, ...] = ()) -> Column:
+    """Strict decode: a malformed record, one with anything after the object, with a
+    field twice, or without a field that the schema names (null counts as absent,
+    ``optional`` fields aside) fails the query. Texts may be null."""
     c = F.col(text) if isinstance(text, str) else text
-    numbers = [f.name for f in schema.fields if isinstance(f.dataType, T.NumericType)]
+    needed = [f.name for f in schema.fields if f.name not in optional]
+    # from_json stops at the end of the object. Put inside another object, before the
+    # checksum of itself, a text must be one whole value for the checksum to be found.
+    whole = F.try_parse_json(F.concat(F.lit('{"e":'), c, F.lit(',"end":"'), F.md5(c), F.lit('"}')))
+    more = c.isNotNull() & ~F.coalesce(F.try_variant_get(whole, "$.end", "string") == F.md5(c), F.lit(False))
 
-    def whole(e: Column) -> Column:
+    def complete(e: Column) -> Column:
         lacks = F.lit(False)
-        for name in numbers:
+        for name in needed:
             lacks = lacks | e[name].isNull()
-        return F.when(lacks, F.raise_error(F.lit("record without " + " or ".join(numbers)))).otherwise(e)
+        return F.when(more, F.raise_error(F.lit("record is not one whole object"))) \
+            .when(lacks, F.raise_error(F.lit("record without " + " or ".join(needed)))).otherwise(e)
 
     # transform of a one-element array parses the text once for all its uses.
-    return F.transform(F.array(F.from_json(c, schema, {"mode": "FAILFAST"})), whole)[0]
+    return F.transform(F.array(F.from_json(c, schema, {"mode": "FAILFAST"})), complete)[0]
 
 
 def _u64(c: Column) -> Column:
@@ -73,8 +79,9 @@ def encode_json(*cols: Column | str, keep_nulls: bool = True) -> Column:
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false" if keep_nulls else "true"})
 
 
-def events_from_records(records: DataFrame, schema: T.StructType = schemas.EVENT) -> DataFrame:
-    """Strictly decode a key/value record frame (for example
-    ``readStream.format("kafka")`` on the events topic) into event columns."""
-    return (records.select(decode_strict(F.col("value").cast("string"), schema).alias("e"))
+def events_from_records(records: DataFrame, schema: T.StructType = schemas.EVENT,
+                        optional: tuple[str, ...] = ()) -> DataFrame:
+    """Strictly decode a key/value record frame (a topic of the message log, or
+    ``readStream.format("kafka")``) into event columns."""
+    return (records.select(decode_strict(F.col("value").cast("string"), schema, optional).alias("e"))
                    .select("e.*"))

@@ -16,9 +16,12 @@ Two time modes:
 State lives in the RocksDB state store and is checkpointed, so totals
 survive restarts (the reference kept them in memory only).
 
-Before the keyed shuffle a stateless ``mapInPandas`` step folds the events of
-each input partition to one row per (city, window); a city that sends a
-third of all events therefore costs one row per window and partition.
+In event time the counting is Spark's own: a windowed aggregation under the watermark,
+in append mode, gives one row per city and closed window (partial sums before the
+shuffle, open windows in its state). Only those rows reach the Python processor, whose
+part is what an aggregation cannot do: remember every city and report its quiet
+windows. By the wall clock nothing closes, so there a stateless ``mapInPandas`` step
+folds the events of each input partition to one row per city first.
 """
 
 from __future__ import annotations
@@ -43,15 +46,7 @@ OUTPUT = T.StructType([
     T.StructField("change", T.LongType()),
 ])
 
-FOLDED = T.StructType([
-    T.StructField("city_id", T.LongType()),
-    T.StructField("w", T.LongType()),
-    T.StructField("change", T.LongType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("name_ts", T.LongType()),
-    T.StructField("name_eid", T.LongType()),
-    T.StructField("event_time", T.TimestampType()),
-])
+FOLDED = "city_id long, w long, change long, name string, name_ts long, name_eid long"
 
 # The processor also runs in a driver-side Python worker that does not see
 # --py-files, so this module travels by value inside the pickled function.
@@ -59,39 +54,38 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # All state of a key in one value (one read and one write per call through
 # the state server): first name and its order, running total, end of the
-# next window to report, whether anything was reported, and the open
-# windows (start, change) that have data. Open windows lie between the
-# watermark and the newest event, so the arrays stay short.
+# next window to report, whether anything was reported, and the windows (start,
+# change) that have data and are not reported yet. In event time these are the
+# windows that closed in the batch at hand, so the arrays stay short.
 _STATE = ("name string, name_ts long, name_eid long, total long, next_end long, "
           "emitted boolean, ws array<long>, chs array<long>")
 _BIG = 2 ** 62
 
 
-def _fold(window_ms: int):
-    """Per-partition pre-aggregation to (city, window)."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.assign(w=pdf["timestamp"] - pdf["timestamp"] % window_ms,
-                             eid=pdf["event_id"].fillna(_BIG).astype("int64"))
-            pdf = pdf.sort_values(["timestamp", "eid"], kind="stable")
-            g = pdf.groupby(["city_id", "w"], sort=False)
-            first = g.head(1).set_index(["city_id", "w"])
-            out = g.agg(change=("refugees", "sum"), last_ts=("timestamp", "max"))
-            out = out.join(first[["city_name", "timestamp", "eid"]]).reset_index()
-            yield pd.DataFrame({
-                "city_id": out["city_id"].astype("int64"),
-                "w": out["w"].astype("int64"),
-                "change": out["change"].astype("int64"),
-                "name": out["city_name"],
-                "name_ts": out["timestamp"].astype("int64"),
-                "name_eid": out["eid"].astype("int64"),
-                "event_time": pd.to_datetime(out["last_ts"], unit="ms"),
-            })
-
-    return fold
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per-partition pre-aggregation to one row per city."""
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        pdf = pdf.sort_values(["timestamp", "event_id"], kind="stable")
+        g = pdf.groupby("city_id", sort=False)
+        first = g.head(1).set_index("city_id")
+        out = g.agg(change=("refugees", "sum")).join(first[["city_name", "timestamp", "event_id"]]).reset_index()
+        yield pd.DataFrame({
+            "city_id": out["city_id"].astype("int64"), "w": 0, "change": out["change"].astype("int64"),
+            "name": out["city_name"], "name_ts": out["timestamp"].astype("int64"),
+            "name_eid": out["event_id"].astype("int64")})
+
+
+def _closed_windows(events: DataFrame, window_seconds: int, delay: str) -> DataFrame:
+    """One row per city and window that the watermark has passed."""
+    order = F.struct("timestamp", "event_id")
+    return (events.withColumn("event_time", F.timestamp_millis("timestamp")).withWatermark("event_time", delay)
+            .groupBy("city_id", F.window("event_time", f"{window_seconds} seconds").alias("window"))
+            .agg(F.sum("refugees").alias("change"), F.min_by("city_name", order).alias("name"), F.min(order).alias("o"))
+            .select("city_id", F.unix_millis("window.start").alias("w"), "change", "name",
+                    F.col("o.timestamp").alias("name_ts"), F.col("o.event_id").alias("name_eid"),
+                    F.window_time("window").alias("event_time")))
 
 
 class WindowTotals(StatefulProcessor):
@@ -122,13 +116,15 @@ class WindowTotals(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         name, name_ts, name_eid, total, next_end, emitted, open_w = self._load()
-        first_end = next_end
+        first_end, named = next_end, name_ts is not None
         for pdf in rows:
             for r in pdf.itertuples(index=False):
                 w = int(r.w) if self.event_time else 0
                 if self.event_time and emitted and w + self.window_ms < next_end:
                     continue  # late: its window was already reported
-                if name is None or (r.name_ts, r.name_eid) < (name_ts, name_eid):
+                # The first name stays: by event time, or by the wall clock the first to
+                # arrive (of one batch the earliest).
+                if name_ts is None or (not named and (r.name_ts, r.name_eid) < (name_ts, name_eid)):
                     name, name_ts, name_eid = r.name, int(r.name_ts), int(r.name_eid)
                 open_w[w] = open_w.get(w, 0) + int(r.change)
                 if self.event_time and (next_end is None or w + self.window_ms < next_end):
@@ -186,19 +182,17 @@ def windowed_updates(events: DataFrame, window_seconds: int, time_mode: str = "E
 
     ``events`` needs columns timestamp (epoch ms), city_id, city_name,
     refugees and optionally event_id (a tie-break for the first name)."""
-    window_ms = window_seconds * 1000
     ev = events
     if "event_id" not in ev.columns:
         ev = ev.withColumn("event_id", F.lit(None).cast("long"))
-    ev = (ev.select(F.col("timestamp").cast("long"), F.col("city_id").cast("long"), "city_name",
-                    F.col("refugees").cast("long"), F.col("event_id").cast("long"))
+    ev = (ev.select(F.col("timestamp").cast("long").alias("timestamp"), F.col("city_id").cast("long").alias("city_id"),
+                    "city_name", F.coalesce(F.col("refugees").cast("long"), F.lit(0)).alias("refugees"),
+                    F.coalesce(F.col("event_id").cast("long"), F.lit(_BIG)).alias("event_id"))
           .where(F.col("city_id").isNotNull() & F.col("timestamp").isNotNull()))
     event_time = time_mode == "EventTime"
-    if event_time:
-        ev = ev.withColumn("event_time", F.timestamp_millis("timestamp")).withWatermark("event_time", delay)
-    folded = ev.mapInPandas(_fold(window_ms), FOLDED)
-    return (folded.groupBy("city_id")
-            .transformWithStateInPandas(WindowTotals(window_ms, event_time), OUTPUT, "Append", time_mode))
+    rows = _closed_windows(ev, window_seconds, delay) if event_time else ev.mapInPandas(_fold, FOLDED)
+    return (rows.groupBy("city_id").transformWithStateInPandas(
+        WindowTotals(window_seconds * 1000, event_time), OUTPUT, "Append", time_mode))
 
 
 def encode_updates(updates: DataFrame) -> DataFrame:
