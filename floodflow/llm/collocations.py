@@ -6,8 +6,8 @@ length after the other:
 
 1. ``_code``: one pass cuts the texts into blocks of one language, with the block's
    own word numbers and counts. Words of at least ``least`` occurrences get a
-   number; ``_recode`` keeps only those in each block (a join of block dictionaries
-   with the frequent words; no vocabulary is sent around).
+   number; ``_recode`` keeps only those in each block. The vocabulary travels in
+   parts of bounded size, however large it is.
 2. A phrase of k words is a candidate if its first and its last k - 1 words are
    frequent phrases (Apriori-safe) and the sums over blocks reach ``least``.
 3. The candidates of one length are dealt by a hash of their words to double-array
@@ -32,9 +32,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.taskcontext import TaskContext
 
 from floodflow.llm.base import materialize
 from floodflow.llm.blocks import mix
@@ -43,6 +43,8 @@ from floodflow.llm.words import LOWER, Words, blocks, byte_class
 LEAST = 100
 LONGEST = 5
 TOP = 2000
+PART_BYTES = 32 << 20
+SLICE = 1 << 20
 SHARD_PHRASES = 1 << 13
 GROUP_SHARDS = 256
 #: Ranks are taken in parts first, so that no task sorts all phrases of a language.
@@ -54,60 +56,91 @@ _BREAKS = _MARKS | byte_class(b" \t")
 # --- words -----------------------------------------------------------------------
 
 def _code(docs: DataFrame) -> DataFrame:
-    """Blocks: lang, words and counts of the block, and its word numbers (-1 between
-    pieces) as int32."""
+    """One row per language of a batch of texts: its words with their counts, and the
+    word numbers (places in ``words``, -1 between pieces) as int32. Texts are cut in
+    blocks of a few megabytes, which share the numbers."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, made = TaskContext.get().partitionId() << 32, 0
         for batch in it:
             langs = np.array(batch.column("lang").to_pylist(), object)
-            texts = batch.column("text").to_pylist()
             for lang in sorted(set(langs.tolist())):
-                mine = [texts[i].translate(LOWER) for i in np.flatnonzero(langs == lang)]
-                for a, b in blocks(mine):
-                    w = Words(mine[a:b], _BREAKS)
+                texts = batch.column("text").take(pa.array(np.flatnonzero(langs == lang))).to_pylist()
+                number: dict[bytes, int] = {}
+                counts, parts = np.empty(0, np.int64), []
+                for a, b in blocks(texts):
+                    w = Words([t.translate(LOWER) for t in texts[a:b]], _BREAKS)
                     if not len(w.code):
                         continue
+                    own = np.array([number.setdefault(x, len(number)) for x in w.vocabulary.to_pylist()], np.int64)
+                    counts = np.r_[counts, np.zeros(len(number) - len(counts), np.int64)]
+                    counts[own] += np.bincount(w.code, minlength=len(own))
                     marks = np.cumsum(_MARKS[w.data])[w.start]
                     # A text ends with a blank in the joined bytes, which does not break pieces.
-                    cut = np.r_[False, (marks[1:] != marks[:-1]) | (w.text[1:] != w.text[:-1])]
+                    cut = np.r_[True, (marks[1:] != marks[:-1]) | (w.text[1:] != w.text[:-1])]
                     codes = np.full(len(w.code) + int(cut.sum()), -1, np.int32)
-                    codes[np.arange(len(w.code)) + np.cumsum(cut)] = w.code
-                    counts = np.bincount(w.code, minlength=len(w.vocabulary))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([base + made], pa.int64()), pa.array([lang], pa.string()),
-                         pa.ListArray.from_arrays([0, len(counts)], w.vocabulary.cast(pa.binary())),
-                         pa.ListArray.from_arrays([0, len(counts)], pa.array(counts, pa.int64())),
-                         pa.array([codes.tobytes()], pa.binary())],
-                        names=["block", "lang", "words", "counts", "codes"])
-                    made += 1
+                    codes[np.arange(len(w.code)) + np.cumsum(cut)] = own[w.code]
+                    parts.append(codes.tobytes())
+                if not number:
+                    continue
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang], pa.string()), pa.ListArray.from_arrays([0, len(number)], pa.array(number, pa.binary())),
+                     pa.ListArray.from_arrays([0, len(counts)], pa.array(counts)),
+                     pa.array([b"".join(parts)], pa.binary())], names=["lang", "words", "counts", "codes"])
 
     rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "block long, lang string, words array<binary>, counts array<long>, codes binary")
-
+    return rows.mapInArrow(run, "lang string, words array<binary>, counts array<long>, codes binary")
+
+
+def _recode(coded: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:
+    """Codes that count from 1 into ``ids`` (of frequent words), 0 is any other word or
+    a break. The vocabulary of ``size`` bytes is broadcast in parts of about
+    ``PART_BYTES``, each in one pass over the rows."""
+    parts = max(1, -(-size // PART_BYTES))
+    context = coded.sparkSession.sparkContext
+    state = coded.select("lang", "words", "codes", F.lit(None).cast("binary").alias("ids"))
+    words = vocabulary.withColumn("part", F.pmod(F.xxhash64("lang", "word"), F.lit(parts)))
+    for part in range(parts):
+        rows = words.where(F.col("part") == part).select("lang", "word", "id").toArrow()
+        known = context.broadcast([rows.column(c).combine_chunks() for c in rows.column_names])
+        last = part == parts - 1
+
+        def run(it: Iterator[pa.RecordBatch], known=known, last=last) -> Iterator[pa.RecordBatch]:
+            langs, word, number = known.value
+            for batch in it:
+                for lang, own, raw, before in zip(*(batch.column(c) for c in ("lang", "words", "codes", "ids")), strict=True):
+                    mine = pc.equal(langs, lang)
+                    place = pc.index_in(own.values, value_set=word.filter(mine))
+                    ids = pc.fill_null(number.filter(mine).take(place), -1).to_numpy()
+                    if before.is_valid:
+                        ids = np.maximum(ids, np.frombuffer(before.as_buffer(), np.int64))
+                    if not last:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([lang.as_py()], pa.string()), pa.ListArray.from_arrays([0, len(ids)], own.values),
+                             pa.array([raw.as_py()], pa.binary()), pa.array([ids.tobytes()], pa.binary())],
+                            names=["lang", "words", "codes", "ids"])
+                        continue
+                    table = np.zeros(len(ids) + 1, np.int32)  # the last entry, at -1, stays 0
+                    often = ids >= 0
+                    table[:-1][often] = np.arange(1, int(often.sum()) + 1)
+                    codes = table[np.frombuffer(raw.as_buffer(), np.int32)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([codes.tobytes()], pa.binary()), pa.array([ids[often].tobytes()], pa.binary())],
+                        names=["codes", "ids"])
 
-def _recode(coded: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Blocks of frequent words: codes count from 1 into ``ids``, 0 is any other word
-    or a break. Blocks without such a word go."""
-    words = coded.select("block", "lang", F.posexplode("words").alias("code", "word"))
-    own = (words.join(vocabulary.select("lang", "word", "id"), ["lang", "word"])
-           .groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("known")))
+        if last:
+            out = materialize(state.mapInArrow(run, "codes binary, ids binary"), "collocation-codes")
+        else:
+            state = materialize(state.mapInArrow(run, "lang string, words array<binary>, codes binary, ids binary"),
+                                "collocation-parts")
+        known.destroy()
+    return out
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for raw, known in zip(batch.column("codes"), batch.column("known"), strict=True):
-                codes = np.frombuffer(raw.as_buffer(), np.int32)
-                known = known.values
-                code, ids = known.field("code").to_numpy(), known.field("id").to_numpy()
-                table = np.zeros(max(int(codes.max(initial=0)), int(code.max())) + 2, np.int32)
-                table[code] = np.arange(1, len(code) + 1)  # the last entry, at -1, stays 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([table[codes].tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary())],
-                    names=["codes", "ids"])
 
-    return coded.select("block", "codes").join(own, "block").select("codes", "known") \
-        .mapInArrow(run, "codes binary, ids binary")
+def _slices(codes: np.ndarray, more: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Start and codes of slices of ``SLICE`` positions, with ``more`` codes after them."""
+    for start in range(0, len(codes), SLICE):
+        yield start, codes[start:start + SLICE + more]
 
 
 # --- tries -----------------------------------------------------------------------
@@ -230,7 +263,7 @@ def _accept(codes: np.ndarray, ids: np.ndarray, length: int, shards: int, tries)
     """Per trie: positions of a block whose phrase it has, and the phrases' numbers."""
     n = len(codes) - length + 1
     if n <= 0:
-        return
+        return  # no phrase fits, in this slice or any trie
     alive = codes[:n] > 0
     for d in range(1, length):
         alive &= codes[d:n + d] > 0
@@ -269,10 +302,10 @@ def _word_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two frequent words in a row: the candidates of two words."""
     for batch in it:
         for raw, ids in zip(batch.column("codes"), batch.column("ids"), strict=True):
-            codes = np.frombuffer(raw.as_buffer(), np.int32)
-            ids = np.frombuffer(ids.as_buffer(), np.int64)
-            both = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
-            yield _pairs(codes[both], codes[both + 1], np.r_[-1, ids])
+            names = np.r_[-1, np.frombuffer(ids.as_buffer(), np.int64)]
+            for _, codes in _slices(np.frombuffer(raw.as_buffer(), np.int32), 1):
+                both = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
+                yield _pairs(codes[both], codes[both + 1], names)
 
 
 def _count(blocks: DataFrame, phrases: DataFrame, length: int, least: int, grow: bool) -> DataFrame:
@@ -291,32 +324,36 @@ def _count(blocks: DataFrame, phrases: DataFrame, length: int, least: int, grow:
             for batch in it:
                 for raw, ids, before in zip(batch.column("codes"), batch.column("ids"),
                                             batch.column("accepted"), strict=True):
-                    codes = np.frombuffer(raw.as_buffer(), np.int32)
+                    whole = np.frombuffer(raw.as_buffer(), np.int32)
                     names = np.frombuffer(ids.as_buffer(), np.int64)
-                    found = np.full(len(codes) + 1, -1, np.int64)
-                    if before.is_valid:
-                        found[:-1] = np.frombuffer(before.as_buffer(), np.int64)
-                    for place, phrase, own in _accept(codes, names, length, shards, _each(group)):
-                        n = np.bincount(phrase, minlength=len(own))
-                        seen = np.flatnonzero(n)
-                        if last:
-                            yield _rows(0, own[seen], own[seen], n[seen])
-                        found[place] = own[phrase]
+                    old = np.frombuffer(before.as_buffer(), np.int64) if before.is_valid else None
+                    kept = []
+                    for start, codes in _slices(whole, length):
+                        here = min(SLICE, len(whole) - start)
+                        found = np.full(here + 1, -1, np.int64)
+                        if old is not None:
+                            found[:len(old[start:start + here + 1])] = old[start:start + here + 1]
+                        for place, phrase, own in _accept(codes, names, length, shards, _each(group)):
+                            found[place] = own[phrase]
+                            if last:
+                                n = np.bincount(phrase[place < here], minlength=len(own))
+                                seen = np.flatnonzero(n)
+                                yield _rows(0, own[seen], own[seen], n[seen])
+                        if not last:
+                            kept.append(found[:here].tobytes())
+                            continue
+                        if old is not None:  # counts of the groups before this one
+                            seen, n = np.unique(old[start:start + here], return_counts=True)
+                            yield _rows(0, seen[seen >= 0], seen[seen >= 0], n[seen >= 0])
+                        if grow:
+                            both = np.flatnonzero((found[:-1] >= 0) & (found[1:] >= 0))
+                            near, code = np.unique(found[np.r_[both, both + 1]], return_inverse=True)
+                            code = code.reshape(2, -1)
+                            yield _pairs(code[0], code[1], near)
                     if not last:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([raw.as_py()], pa.binary()), pa.array([ids.as_py()], pa.binary()),
-                             pa.array([found[:-1].tobytes()], pa.binary())], names=["codes", "ids", "accepted"])
-                        continue
-                    if before.is_valid:  # the groups before this one
-                        old = np.frombuffer(before.as_buffer(), np.int64)
-                        seen, n = np.unique(old[old >= 0], return_counts=True)
-                        yield _rows(0, seen, seen, n)
-                    if not grow:
-                        continue
-                    both = np.flatnonzero((found[:-1] >= 0) & (found[1:] >= 0))
-                    near, code = np.unique(found[np.r_[both, both + 1]], return_inverse=True)
-                    code = code.reshape(2, -1)
-                    yield _pairs(code[0], code[1], near)
+                             pa.array([b"".join(kept)], pa.binary())], names=["codes", "ids", "accepted"])
 
         if last:
             sums = state.mapInArrow(run, _COUNTS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
@@ -349,7 +386,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     vocabulary = materialize(
         counted.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f"))
         .where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "collocation-words")
-    known = materialize(_recode(coded, vocabulary), "collocation-codes")
+    size = vocabulary.agg(F.sum(F.octet_length("word") + F.octet_length("lang") + 8)).first()[0] or 0
+    known = _recode(coded, vocabulary, size)
     # Phrases of the length at hand: id, lang, words (ids) and text.
     now = vocabulary.select("id", "lang", F.array("id").alias("words"), F.array("word").alias("text"))
     found = vocabulary.select("lang", F.array("word").alias("words"), F.lit(1).alias("k"), "f")
