@@ -111,9 +111,26 @@ nodes AS (
   SELECT id, place, CAST(population AS VARCHAR) AS population_text, name, CAST(NULL AS VARCHAR) AS harbour,
          lat, lon FROM places
   UNION ALL
-  SELECT hid, NULL, NULL, NULL, 'yes', lat, lon FROM harbours)
+  SELECT hid, NULL, NULL, NULL, 'yes', lat, lon FROM harbours),
+mixed AS (
+  SELECT * FROM nodes
+  UNION ALL
+  SELECT 1000000000 + p_partkey,
+         CASE p_partkey % 6 WHEN 0 THEN 'suburb' WHEN 1 THEN 'town' WHEN 2 THEN 'village' WHEN 5 THEN 'hamlet' END,
+         CASE WHEN p_partkey % 6 IN (0, 2, 5) THEN CAST(p_partkey AS VARCHAR) END,
+         CASE WHEN p_partkey % 6 IN (0, 1, 2, 5) THEN p_name END,
+         CASE p_partkey % 6 WHEN 3 THEN 'no' WHEN 4 THEN 'yes' END,
+         CASE WHEN p_partkey % 6 <> 2
+              THEN CAST((p_partkey * 6151) % 1800 AS DOUBLE) / CAST(100 AS DOUBLE) + CAST(40 AS DOUBLE) END,
+         CASE WHEN p_partkey % 6 <> 4 THEN CAST((p_partkey * 3571) % 3600 AS DOUBLE) / CAST(100 AS DOUBLE) END
+  FROM part)
 """
 
+#: The node filter of the job, spelled out.
+FILTERED = """
+FROM mixed WHERE ((place IN ('city', 'town', 'village', 'hamlet') AND population_text IS NOT NULL) OR harbour = 'yes')
+  AND lat IS NOT NULL AND lon IS NOT NULL"""
+
 
 def with_nodes(body: str) -> str:
     return "WITH " + BASE.strip() + ",\n" + NODES.strip() + "\n" + body.strip()
@@ -134,10 +151,10 @@ SELECT cy, cx, lat, lon, elevation FROM (
     SELECT CAST(floor(lat / CAST(0.5 AS DOUBLE)) AS BIGINT) AS cy,
            CAST(floor(lon / CAST(0.5 AS DOUBLE)) AS BIGINT) AS cx, lat, lon, elevation FROM elev))
 WHERE elevation = m""")
-SQL["project"] = with_nodes("SELECT id AS node_id, lat, lon FROM nodes")
-SQL["map_lookup"] = with_nodes("SELECT id, place, population_text, name, harbour FROM nodes")
-SQL["in_list"] = with_nodes("SELECT id FROM nodes WHERE place IN ('city', 'town', 'village', 'hamlet')")
-SQL["place_filter"] = with_nodes("SELECT id, lat, lon FROM nodes")
+SQL["project"] = with_nodes("SELECT id AS node_id, lat, lon" + FILTERED)
+SQL["map_lookup"] = with_nodes("SELECT id, place, population_text, name, harbour FROM mixed")
+SQL["in_list"] = with_nodes("SELECT id FROM mixed WHERE place IN ('city', 'town', 'village', 'hamlet')")
+SQL["place_filter"] = with_nodes("SELECT id, lat, lon" + FILTERED)
 SQL["hidden_column_filter"] = with_base("SELECT id, name FROM places WHERE place = 'city'")
 SQL["select_distinct"] = with_base("SELECT DISTINCT cy, cx FROM places_c")
 SQL["tolerant_cast"] = r"""
@@ -219,9 +236,9 @@ texts AS (
   SELECT ts, event_id, city_id, refugees, event_id % 10 AS k FROM ev),
 decoded AS (
   SELECT ts, event_id,
-         CASE WHEN k <= 5 THEN refugees ELSE refugees END AS refugees,
+         refugees,
          CASE WHEN k <= 5 THEN city_id END AS city_id,
-         CASE WHEN k <= 5 THEN refugees % 100 END AS change
+         CASE WHEN k <= 4 THEN refugees % 100 END AS change
   FROM texts WHERE k <= 5 OR k = 9),
 feats AS (
   SELECT c_custkey AS k, 0 AS version, c_custkey * 1000 + 7 AS population, c_name AS name,
@@ -239,7 +256,8 @@ cities AS (
     FROM feats WHERE population > 400000)
   WHERE rn = 1),
 enriched AS (
-  SELECT t.city_id, t.window_start, t.w, t.refugees AS count, t.change,
+  SELECT t.city_id, t.window_start, t.w,
+         CASE WHEN t.city_id % 7 = 0 THEN 0 ELSE t.refugees END AS count, t.change,
          c.city_id AS fid, c.name AS fname, c.population AS fpop, c.lon AS flon, c.lat AS flat
   FROM totals t LEFT JOIN cities c ON c.city_id = t.city_id),
 latest AS (
@@ -248,7 +266,7 @@ latest AS (
   FROM enriched WHERE fid IS NOT NULL GROUP BY fid),
 latest_n AS (
   SELECT *, CAST(count AS DOUBLE) / CAST((SELECT max(count) FROM latest) AS DOUBLE) AS share,
-         CASE WHEN change IS NULL OR change = 0 THEN CAST(0 AS DOUBLE)
+         CASE WHEN change IS NULL OR change = 0 OR count = 0 THEN CAST(0 AS DOUBLE)
               ELSE CAST(change AS DOUBLE) / CAST(count AS DOUBLE) END AS ratio
   FROM latest)
 """

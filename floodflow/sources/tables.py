@@ -17,6 +17,11 @@ division so both engines produce the same IEEE values):
   harbour from supplier:
     lat = double(s_suppkey * 4093 mod 1800) / 100 + 40
     lon = double(s_suppkey * 2741 mod 3600) / 100
+  further node from part, by k = p_partkey mod 6 (what the node filter must tell apart):
+    id = 1000000000 + p_partkey, position as for places from p_partkey
+    0 place 'suburb' (not listed), 1 place 'town' without population, 2 place 'village'
+    without lat, 3 harbour 'no', 4 harbour 'yes' without lon, 5 place 'hamlet'
+    name = p_name, population = p_partkey where there is one
   elevation cell: 0.5 degrees; sea level: 12
   city stream from events:
     city_id = user_id, city_name = event_type,
@@ -82,9 +87,33 @@ def harbour_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def odd_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes most of which the job's node filter rejects, each kind for one reason."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    k, key = F.col("p_partkey") % F.lit(6), F.col("p_partkey")
+    kind = F.when(k == 0, F.lit("suburb")).when(k == 1, F.lit("town")).when(k == 2, F.lit("village")).otherwise(F.lit("hamlet"))
+    population = F.when(k != 1, key.cast("string"))
+    tags = (F.when(k == 3, F.create_map(F.lit("harbour"), F.lit("no")))
+             .when(k == 4, F.create_map(F.lit("harbour"), F.lit("yes")))
+             .when(k == 1, F.create_map(F.lit("place"), kind, F.lit("name"), F.col("p_name")))
+             .otherwise(F.create_map(F.lit("place"), kind, F.lit("population"), population, F.lit("name"), F.col("p_name"))))
+    return p.select((key + F.lit(1_000_000_000)).alias("id"), tags.alias("tags"),
+                    F.when(k != 2, _coord("p_partkey", 6151, 1800, 40.0)).alias("lat"),
+                    F.when(k != 4, _coord("p_partkey", 3571, 3600, 0.0)).alias("lon"))
+
+
+def mixed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nodes`` and the odd ones."""
+    return _whole(place_nodes(spark, sf_dir).unionByName(harbour_nodes(spark, sf_dir))
+                  .unionByName(odd_nodes(spark, sf_dir)))
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Map nodes in the full 13-column node schema (unused columns null)."""
-    both = place_nodes(spark, sf_dir).unionByName(harbour_nodes(spark, sf_dir))
+    return _whole(place_nodes(spark, sf_dir).unionByName(harbour_nodes(spark, sf_dir)))
+
+
+def _whole(both: DataFrame) -> DataFrame:
     rest = [F.lit(None).cast(f.dataType).alias(f.name)
             for f in schemas.NODES.fields if f.name not in ("id", "tags", "lat", "lon")]
     return both.select("id", "tags", "lat", "lon", *rest).to(schemas.NODES)
@@ -125,16 +154,18 @@ def update_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Update messages as JSON text, with the defects a tolerant reader must
     survive. (ts, event_id, value).
 
-    Fixed rule on k = event_id mod 10: 0-5 a full update (change = refugees
-    mod 100); 6 refugees missing; 7 refugees negative; 8 broken JSON;
-    9 no city id and a null change."""
+    Fixed rule on k = event_id mod 10: 0-4 a full update (change = refugees
+    mod 100); 5 the same with a null change; 6 refugees missing; 7 refugees
+    negative; 8 broken JSON; 9 no city id and a null change."""
     e = city_events(spark, sf_dir)
     k = F.col("event_id") % F.lit(10)
     cid, name = F.col("city_id").cast("string"), F.col("city_name")
     r = F.col("refugees").cast("string")
     full = F.concat(F.lit('{"city_id":'), cid, F.lit(',"city_name":"'), name, F.lit('","refugees":'), r,
                     F.lit(',"change":'), (F.col("refugees") % F.lit(100)).cast("string"), F.lit("}"))
-    text = (F.when(k <= 5, full)
+    quiet = F.concat(F.lit('{"city_id":'), cid, F.lit(',"refugees":'), r, F.lit(',"change":null}'))
+    text = (F.when(k <= 4, full)
+             .when(k == 5, quiet)
              .when(k == 6, F.concat(F.lit('{"city_id":'), cid, F.lit(',"change":1}')))
              .when(k == 7, F.concat(F.lit('{"city_id":'), cid, F.lit(',"refugees":-'),
                                     (F.col("refugees") + F.lit(1)).cast("string"), F.lit(',"change":0}')))
