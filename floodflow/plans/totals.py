@@ -7,8 +7,11 @@ one seen for the city (ordered by event time, then event id).
 
 Plan: events are first reduced to one row per (city, window) with partial
 aggregation before the shuffle, so a city holding a third of all events costs
-one row per window and map task. Everything after that is per (city, window)
-and bounded by the length of the time range, not by the event count.
+one row per window and map task. The dense form is a two-level prefix sum: the time
+range is cut in blocks of ``BLOCK`` windows, block sums are added up per city (one row
+per city and block), and inside a block the windows add up from its carry. No array,
+group or window partition holds more than a block's windows, or a city's blocks, so
+one city with a very long range is shared by many tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from floodflow.sources.files import materialize
+
 US_PER_SECOND = 1_000_000
+#: Windows that are added up together.
+BLOCK = 512
 
 
 def window_us(length: str | int) -> int:
@@ -95,7 +102,7 @@ def dense_window_totals(events: DataFrame, length="1 hour", key: str = "city_id"
     w_us = window_us(length)
     # One row per (key, window): far smaller than the events. Written once so
     # the events are scanned once; both bounds below read this table.
-    pw = per_window(events, w_us, key, name, value, ts, tiebreak).checkpoint(eager=True)
+    pw = materialize(per_window(events, w_us, key, name, value, ts, tiebreak), "windows")
     keys = pw.groupBy(key).agg(F.min("w").alias("w0"),
                                F.min_by("name_w", "first_w").alias(name))
     if until_us is None:
@@ -108,10 +115,25 @@ def dense_window_totals(events: DataFrame, length="1 hour", key: str = "city_id"
         else:
             until = last_w
         until_us = F.lit(until)
-    spine = (keys.where(F.col("w0") <= until_us)
-             .select(key, name, F.explode(F.sequence(F.col("w0"), until_us, F.lit(w_us))).alias("w")))
-    dense = (spine.join(pw.select(key, "w", "change"), [key, "w"], "left")
-             .withColumn("change", F.coalesce(F.col("change"), F.lit(0).cast("long"))))
-    run = Window.partitionBy(key).orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
-    return dense.select(key, name, _ts_out("w").alias("window_start"),
-                        F.sum("change").over(run).alias("refugees"), "change")
+    block_us = F.lit(w_us * BLOCK)
+    block = F.col("w") - F.pmod("w", block_us)
+    # What happened in each block, and the blocks of every key from its first window on.
+    filled = pw.where(F.col("w") <= until_us).groupBy(key, block.alias("block")).agg(
+        F.sum("change").alias("sum"), F.map_from_entries(F.collect_list(F.struct("w", "change"))).alias("changes"))
+    spine = keys.where(F.col("w0") <= until_us).withColumn("until", until_us)
+    spine = spine.select(key, name, "w0", "until", F.explode(F.sequence(
+        F.col("w0") - F.pmod("w0", block_us), F.col("until") - F.pmod("until", block_us), block_us)).alias("block"))
+    before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (spine.join(filled.select(key, "block", "sum"), [key, "block"], "left")
+               .withColumn("carry", F.coalesce(F.sum("sum").over(before), F.lit(0).cast("long"))).drop("sum"))
+    # The changes join the blocks, not the windows: dealt out by (key, block) once, which
+    # the sums below keep. The number is given, as a block is 512 times its row.
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (carried.join(filled.select(key, "block", "changes"), [key, "block"], "left")
+            .repartition(tasks, key, "block")
+            .select(key, name, "block", "carry", "changes", F.explode(F.sequence(
+                F.greatest("w0", "block"), F.least("until", F.col("block") + block_us - w_us), F.lit(w_us))).alias("w"))
+            .withColumn("change", F.coalesce(F.try_element_at("changes", F.col("w")), F.lit(0).cast("long"))))
+    run = Window.partitionBy(key, "block").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(key, name, _ts_out("w").alias("window_start"),
+                       (F.col("carry") + F.sum("change").over(run)).alias("refugees"), "change")

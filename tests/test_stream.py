@@ -55,3 +55,24 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(tuple(r) for r in runner.run_files(spark, path, 3600, files_per_trigger=1).collect())
     want = sorted(tuple(r) for r in totals.dense_window_totals(ev, "1 hour", closed_only=True).collect())
     assert got == want and len(got) > 0
+
+
+def test_one_city_with_a_million_windows(spark):
+    # Two events a million hours apart: no array or window partition may hold them all.
+    far = t(0) + dt.timedelta(hours=1_000_000)
+    ev = spark.createDataFrame([(t(0, 5), 1, 1, "A", 5), (t(0) + dt.timedelta(hours=700), 2, 1, "A", 2),
+                                (far, 3, 1, "A", 1), (far, 4, 2, "B", 9)], EV)
+    df = totals.dense_window_totals(ev, "1 hour")
+    got = df.groupBy("city_id").agg(F.count("*").alias("n"), F.sum("change").alias("c"), F.max("refugees").alias("r"),
+                                    F.count(F.when(F.col("refugees") == 5, 1)).alias("early")).collect()
+    assert {(r.city_id, r.n, r.c, r.r, r.early) for r in got} == {(1, 1_000_001, 8, 8, 700), (2, 1, 9, 9, 0)}
+    size = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert size < 600_000  # one city is shared by several tasks
+
+
+def test_blocks_of_windows_equal_one_sum(spark, monkeypatch):
+    from floodflow.sources import tables
+    ev = tables.city_events(spark, "/root/testdata/sf0.001")
+    want = sorted(map(tuple, totals.dense_window_totals(ev, "1 hour").collect()))
+    monkeypatch.setattr(totals, "BLOCK", 3)
+    assert sorted(map(tuple, totals.dense_window_totals(ev, "1 hour").collect())) == want
