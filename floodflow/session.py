@@ -14,6 +14,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Texts are long: smaller batches keep the memory of Python workers down.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
     # Checkpoint files of collected intermediates are removed by the cleaner.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # transformWithState needs the RocksDB state store.
