@@ -7,6 +7,7 @@ the id are kept apart, and a null id or text needs no special join.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,3 +45,30 @@ def split_words(text: Column, pattern: str = WORD_BREAK) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once per row, however often used."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or as many underscores after it as keep it from clashing with a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver forget frames that are out of use, so that Spark's cleaner removes
+    their shuffle files; otherwise they stay until the driver next needs memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the scratch table that ``materialize`` returned as ``df``: its last reader
+    is done. Nothing else may still be computed from it."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if "/floodflow-" not in folder:
+            raise ValueError("not a scratch table")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

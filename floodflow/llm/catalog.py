@@ -103,25 +103,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _OP8 = """
-WITH t AS (
-  SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN role IS NULL OR role = '' THEN 'unknown' ELSE role END AS who,
+WITH c AS (
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, CAST(turn AS BIGINT) AS turn,
+         replace(translate(CASE WHEN role IS NULL OR role = '' THEN 'unknown' ELSE role END, chr(10) || chr(13), '  '),
+                 '<|im_', '<| im_') AS who,
          replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations),
-p AS (SELECT DISTINCT conv_id, who AS speaker FROM t WHERE who <> 'system'),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, who, text) - 1 AS number FROM c),
+p AS (SELECT DISTINCT conv_id, own, who AS speaker FROM t WHERE who <> 'system'),
 r AS (
-  SELECT p.conv_id, speaker, coalesce(CAST(floor(turn / 512) AS BIGINT), -1) AS segment, turn, who, text,
+  SELECT p.conv_id, p.own, speaker, number // 512 AS segment, number, who,
          '<|im_start|>' || CASE WHEN who = 'system' THEN 'system' WHEN who = speaker THEN 'assistant'
                                 ELSE 'user name=' || who END || chr(10) AS head,
          text || '<|im_end|>' AS body
-  FROM t JOIN p ON t.conv_id = p.conv_id),
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.own IS NOT DISTINCT FROM p.own),
 o AS (
   SELECT *, sum(length(head) + length(body) + 1) OVER (
-           PARTITION BY conv_id, speaker, segment ORDER BY turn, who, text
+           PARTITION BY conv_id, own, speaker, segment ORDER BY number
            ROWS UNBOUNDED PRECEDING) - length(body) - 1 AS start FROM r)
-SELECT conv_id, speaker, segment, count(*) AS n_turns,
-       sha256(string_agg(head || body || chr(10), '' ORDER BY turn, who, text)) AS text_sha256,
+SELECT conv_id, speaker, CAST(segment AS BIGINT) AS segment, count(*) AS n_turns,
+       sha256(string_agg(head || body || chr(10), '' ORDER BY number)) AS text_sha256,
        coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(body) AS BIGINT), ','
-                           ORDER BY turn, who, text) FILTER (who = speaker), '') AS mask
-FROM o GROUP BY conv_id, speaker, segment
+                           ORDER BY number) FILTER (who = speaker), '') AS mask
+FROM o GROUP BY conv_id, own, speaker, segment
 """
 
 _OP11 = """

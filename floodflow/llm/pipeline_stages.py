@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from floodflow.llm import decontaminate, jaccard_join, line_dedup, packing
 from floodflow.llm import quality_rules as rules
-from floodflow.llm.base import materialize, row_key, table
+from floodflow.llm.base import fresh, materialize, row_key, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned list reject. The list
-    is learned from the labelled documents of the stage's input."""
+    is learned from the labelled documents of the stage's input. Null, empty and blank
+    texts fail the base rules; rows that repeat share their fate; no labels, no list."""
     labels = table(spark, sf_dir, "labels")
     known = labels.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
     stats = rules.statistics(docs.select("doc_id", "text").join(known, "doc_id", "left_semi")).drop("text")
@@ -29,7 +30,8 @@ def line_dedup_stage(docs: DataFrame) -> DataFrame:
 
 def line_dedup_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that match an earlier one; a document of which no word
-    is left goes."""
+    is left goes. Null and empty texts have no lines and stay; of equal lines the one
+    with the smallest id, then place, stays; rows that repeat stay equal."""
     return line_dedup_stage(docs).select(*docs.columns)
 
 
@@ -40,18 +42,22 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     row key. Rows that repeat it are one document."""
     found = jaccard_join.join_components(docs.select("doc_id", "text"), size=5, percent=80)
     kept = found.where("rk = first").select("rk").distinct()
-    rows = docs.withColumn("_rk", row_key("doc_id", "text"))
-    return rows.join(kept, rows["_rk"] == kept["rk"], "left_semi").dropDuplicates(["_rk"]).drop("_rk")
+    own = fresh(docs, "_rk")
+    rows = docs.withColumn(own, row_key("doc_id", "text"))
+    return rows.join(kept, rows[own] == kept["rk"], "left_semi").dropDuplicates([own]).drop(own)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contract's rule does not call contaminated."""
+    """Documents that the contract's rule does not call contaminated. Null and empty
+    texts have no words and stay; rows that repeat share their fate."""
     found = decontaminate.judge(docs, table(spark, sf_dir, "benchmark"))
     bad = found.where("contaminated").select("rk").distinct()
-    rows = docs.withColumn("_rk", row_key("doc_id", "text"))
-    return rows.join(bad, rows["_rk"] == bad["rk"], "left_anti").drop("_rk")
+    own = fresh(docs, "_rk")
+    rows = docs.withColumn(own, row_key("doc_id", "text"))
+    return rows.join(bad, rows[own] == bad["rk"], "left_anti").drop(own)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their sequence and offset; ``ids`` are little-endian uint32."""
+    """Pieces with their sequence and offset; ``ids`` are little-endian uint32. A null
+    or empty text is the end id alone; rows that repeat are packed each."""
     return packing.pack(materialize(packing.pieces(docs), "pack-pieces"))

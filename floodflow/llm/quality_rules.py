@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floodflow.llm.base import let, materialize, split_words
+from floodflow.llm.base import fresh, let, materialize, split_words
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -91,13 +91,14 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.regexp_count(text, F.lit(r"[A-ZÀ-ÖØ-Þ]")).alias("upper"),
         F.regexp_count(text, F.lit(r"[!?]")).alias("marks"),
         F.regexp_count(text, F.lit(r"[0-9]")).alias("digits"))
-    df = docs.select("*", F.explode(F.array(counts)).alias("_s"))
+    own = fresh(docs, "_s")
+    df = docs.select("*", F.explode(F.array(counts)).alias(own))
     df = df.withColumns({
-        "n_words": F.col("_s.w.n_words"),
-        "word_chars": F.col("_s.w.word_chars"),
-        "n_symbols": F.col("_s.symbols"),
-        "n_dup_lines": (F.col("_s.l.lines") - F.col("_s.l.distinct")).cast("long"),
-        "n_repeat_words": F.col("_s.w.n_repeat_words"),
+        "n_words": F.col(f"{own}.w.n_words"),
+        "word_chars": F.col(f"{own}.w.word_chars"),
+        "n_symbols": F.col(f"{own}.symbols"),
+        "n_dup_lines": (F.col(f"{own}.l.lines") - F.col(f"{own}.l.distinct")).cast("long"),
+        "n_repeat_words": F.col(f"{own}.w.n_repeat_words"),
     })
 
     def share(a: str, b: str) -> Column:
@@ -106,16 +107,16 @@ def statistics(docs: DataFrame) -> DataFrame:
     return df.withColumns({
         "mean_word": share("word_chars", "n_words"),
         "symbol_share": share("n_symbols", "word_chars"),
-        "dup_line_share": share("n_dup_lines", "_s.l.lines"),
+        "dup_line_share": share("n_dup_lines", f"{own}.l.lines"),
         "repeat_share": share("n_repeat_words", "n_words"),
-        "upper_share": share("_s.upper", "word_chars"),
-        "mark_share": share("_s.marks", "word_chars"),
-        "digit_share": share("_s.digits", "word_chars"),
-        "distinct_share": share("_s.w.types", "n_words"),
-        "words_per_line": share("n_words", "_s.l.lines"),
+        "upper_share": share(f"{own}.upper", "word_chars"),
+        "mark_share": share(f"{own}.marks", "word_chars"),
+        "digit_share": share(f"{own}.digits", "word_chars"),
+        "distinct_share": share(f"{own}.w.types", "n_words"),
+        "words_per_line": share("n_words", f"{own}.l.lines"),
         "base_failed": ((F.col("n_words") < MIN_WORDS)
                         | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))),
-    }).drop("_s")
+    }).drop(own)
 
 
 @dataclass
