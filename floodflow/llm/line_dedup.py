@@ -36,7 +36,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floodflow.llm.base import let, materialize, row_key, split_words
+from floodflow.llm.base import discard, let, materialize, release, row_key, split_words
 
 MIN_WORDS = 5  # default of the functions; the query and the pipeline pass 1
 PERCENT = 80
@@ -178,12 +178,17 @@ def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, name: str) ->
     hits = (pairs.join(e, "early").join(y, "late")
             .where((100 + PERCENT) * same >= PERCENT * (F.size("we") + F.size("wl")))
             .select("late").distinct())
-    return materialize(hits, f"line-{name}-hits")
+    hits = materialize(hits, f"line-{name}-hits")
+    discard(pairs)
+    discard(words)
+    release(docs.sparkSession)
+    return hits
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document key ``rk`` with the numbers ``gone`` of its removed lines."""
     lines = materialize(line_sets(docs, _rarity(docs), min_words), "line-sets")
+    release(docs.sparkSession)
     # Two different sets reach the similarity at best when one has a word more.
     able = lines.where(100 * F.col("n") >= PERCENT * (F.col("n") + 1))
     # One match is enough to remove a line. Leaders settle large groups of near
@@ -195,7 +200,10 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     state = lines.groupBy("set").agg(F.min(F.struct("doc", "no", "rk")).alias("first")).join(near, "set", "left")
     gone = (lines.select("doc", "rk", "no", "set").join(state, "set")
             .where(F.col("late") | (F.struct("doc", "no", "rk") != F.col("first"))))
-    return gone.groupBy("rk").agg(F.collect_set("no").alias("gone"))
+    gone = materialize(gone.groupBy("rk").agg(F.collect_set("no").alias("gone")), "line-gone")
+    discard(lines)
+    release(docs.sparkSession)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
