@@ -355,7 +355,7 @@ def geojson_features(spark, sf):
 
 @query
 def geojson_last_wins(spark, sf):
-    return geojson.cities_strict(_city_features(spark, sf, versions=True)).drop("feature")
+    return geojson.cities_strict(_city_features(spark, sf, versions=True)).drop("feature", "feature_text")
 
 
 def _enriched(spark, sf):
@@ -379,7 +379,7 @@ def enrich_updates(spark, sf):
 
 @query
 def json_encode(spark, sf):
-    return _enriched(spark, sf).select(snapshot.encode_event().alias("event"))
+    return _enriched(spark, sf).select(snapshot.encode_event(whole=True).alias("event"))
 
 
 @query

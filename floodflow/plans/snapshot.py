@@ -18,7 +18,8 @@ def enrich_updates(updates: DataFrame, cities: DataFrame, key: str = "city_id",
     Adds ``count`` (= refugees), keeps ``change``, and adds ``feature`` (the
     city's struct, or null). The city table is broadcast when its measured size
     (or ``cities_bytes``, if known) allows it, also for a streaming left side."""
-    dim = maybe_broadcast(cities.select(F.col("city_id").alias("_fid"), "feature"), broadcast_bytes, cities_bytes)
+    more = [c for c in ("feature_text",) if c in cities.columns]
+    dim = maybe_broadcast(cities.select(F.col("city_id").alias("_fid"), "feature", *more), broadcast_bytes, cities_bytes)
     return (updates.join(dim, updates[key] == dim["_fid"], "left")
             .drop("_fid")
             .withColumnRenamed("refugees", "count"))
@@ -71,6 +72,13 @@ def map_snapshot(enriched: DataFrame, order: list[str], key: str = "city_id") ->
                       style["radius"].alias("radius"), style["fill_opacity"].alias("fill_opacity")))
 
 
-def encode_event() -> Column:
-    """The map event as JSON: count, feature (object or null), change."""
+def encode_event(whole: bool = False) -> Column:
+    """The map event as JSON: count, feature (object or null), change. With ``whole``
+    the feature is the city's text as it was read (column ``feature_text``), with all
+    fields it came with."""
+    if whole:
+        null = F.lit("null")
+        return F.concat(F.lit('{"count":'), F.coalesce(F.col("count").cast("string"), null), F.lit(',"feature":'),
+                        F.coalesce(F.col("feature_text"), null), F.lit(',"change":'),
+                        F.coalesce(F.col("change").cast("string"), null), F.lit("}"))
     return F.to_json(F.struct("count", "feature", "change"), {"ignoreNullFields": "false"})

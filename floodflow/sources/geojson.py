@@ -1,9 +1,9 @@
 """GeoJSON city tables: write a table as FeatureCollection documents and read
 them back.
 
-A FeatureCollection is one JSON document, so it cannot be split inside.
-Writing produces one document per partition, reading takes every document
-as its own task; no single task or driver ever holds the whole table."""
+Writing produces one document per partition; reading takes every document as its own
+task (``read_features``), or cuts huge documents at the beginnings of their features
+(``split_features``), so no task or driver ever holds a whole table."""
 
 from __future__ import annotations
 
@@ -52,58 +52,106 @@ def write_collections(features: DataFrame, path: str, order_cols: list[str],
     docs.write.mode("errorifexists").partitionBy("_part").text(path)
 
 
+COLLECTION = "type string, features array<string>"
+MARK = '{"type":"Feature"'
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """(doc, pos, text) with ``feature`` (the fields the jobs read; null where a field
+    has another shape, so a polygon has no point) and ``whole``, the feature as VARIANT."""
+    return rows.select("doc", "pos", "text", F.from_json("text", schemas.GEO_FEATURE).alias("feature"),
+                       F.parse_json("text").alias("whole"))
+
+
+def _members(kind: F.Column, features: F.Column) -> F.Column:
+    return F.when((kind == "FeatureCollection") & features.isNotNull(), features).otherwise(
+        F.raise_error(F.lit("not a FeatureCollection")))
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, pos, feature): every feature with its document and position."""
-    coll = (spark.read.schema(schemas.GEO_COLLECTION).option("multiLine", "true")
+    """(doc, pos, text, feature, whole): every feature with its document and position;
+    ``text`` is the whole feature as JSON. A document that is no FeatureCollection fails
+    the query. A document is one task's; see ``split_features`` for huge ones."""
+    coll = (spark.read.schema(COLLECTION).option("multiLine", "true")
             .option("mode", "FAILFAST").option("recursiveFileLookup", "true").json(path)
             .withColumn("doc", F.input_file_name()))
-    return coll.select("doc", F.posexplode("features").alias("pos", "feature"))
-
-
-_U64 = "^[0-9]+$"
+    return _parsed(coll.select("doc", F.posexplode(_members(F.col("type"), F.col("features"))).alias("pos", "text")))
+
+
+def split_features(spark: SparkSession, path: str, mark: str = MARK) -> DataFrame:
+    """``read_features`` for documents too large for one task: they are cut by byte
+    ranges at ``mark``, the text that every feature begins with (files differ in blanks
+    and order of fields), so one document of any size is read by many tasks. What is
+    before the first mark must open a FeatureCollection. A mark inside a feature cuts
+    it, which fails the query: nothing is lost silently."""
+    rows = (spark.read.option("lineSep", mark).option("recursiveFileLookup", "true").text(path)
+            .select("value", F.input_file_name().alias("doc"),
+                    F.struct(F.col("_metadata.file_block_start").alias("block"),
+                             F.monotonically_increasing_id().alias("row")).alias("pos")))
+    # A head begins with a brace, the rest of a feature with a comma or the closing brace.
+    head = F.col("value").rlike(r"^\s*\{")
+    kind = F.try_variant_get(F.try_parse_json(F.concat("value", F.lit("]}"))), "$.type", "string")
+    text = F.when(~head, F.concat(F.lit(mark), "value")).when(
+        kind == "FeatureCollection", F.lit(None)).otherwise(F.raise_error(F.lit("not a FeatureCollection")))
+    rows = rows.select("doc", "pos", text.alias("text")).where(F.col("text").isNotNull())
+    # The text goes on to the next mark; a parser stops at the end of the feature.
+    return _parsed(rows).withColumn("text", F.to_json("whole"))
+
+
+def _kind(field: str) -> F.Column:
+    """JSON type of a property, null if it is absent."""
+    return F.schema_of_variant(F.try_variant_get("whole", f"$.properties.{field}", "variant"))
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    """Flatten; ``population`` is null unless it is an unsigned integer."""
+    """Flatten. ``population`` is null unless it is an unsigned whole number (not a text),
+    ``geoname_id`` and ``name`` unless they are texts."""
     p, g = F.col("feature.properties"), F.col("feature.geometry.coordinates")
-    pop = F.when(p["population"].rlike(_U64), p["population"].try_cast("long"))
-    return df.select("doc", "pos", "feature",
-                     p["geoname_id"].alias("geoname_id"), p["name"].alias("name"),
-                     pop.alias("population"), g[0].alias("lon"), g[1].alias("lat"))
+    kind = F.coalesce(_kind("population"), F.lit(""))
+    number = F.try_variant_get("whole", "$.properties.population", "decimal(20,0)")
+    whole = (kind.startswith("BIGINT") | kind.rlike(r"^DECIMAL\([0-9]+,0\)")) & (number >= 0)
+    # Parsed once per row: the checks below read plain columns.
+    return df.select("doc", "pos", "text", "feature", F.explode(F.array(F.struct(
+        F.when(_kind("geoname_id") == "STRING", p["geoname_id"]).alias("geoname_id"),
+        F.when(_kind("name") == "STRING", p["name"]).alias("name"),
+        F.when(whole, number.try_cast("long")).alias("population"), g[0].alias("lon"), g[1].alias("lat")))).alias("f")) \
+        .select("doc", "pos", "text", "feature", "f.*")
+
+
+_U64 = "^[0-9]+$"
 
 
 def cities_lenient(features: DataFrame, min_population: int = 400_000) -> DataFrame:
-    """Features lacking a property are skipped; a non-numeric id fails the
-    query; only cities above ``min_population`` are kept.
+    """Features that lack a property, or have one of another type, are skipped; an id
+    that is not a number fails the query; only cities above ``min_population`` are kept.
     (city_id, name, population, lon, lat)."""
-    f = _flat(features).where(F.col("geoname_id").isNotNull() & F.col("name").isNotNull()
-                              & F.col("population").isNotNull())
-    cid = F.when(F.col("geoname_id").rlike(_U64), F.col("geoname_id").cast("long")) \
+    f = _flat(features)
+    lacks = F.col("geoname_id").isNull() | F.col("name").isNull() | F.col("population").isNull()
+    # The check is part of what the filter reads, so it is made for every complete feature.
+    checked = F.when(lacks, F.lit(None)).when(F.col("geoname_id").rlike(_U64), F.col("population")) \
         .otherwise(F.raise_error(F.concat(F.lit("bad geoname_id: "), F.col("geoname_id"))))
-    return (f.where(F.col("population") > min_population)
-             .select(cid.alias("city_id"), "name", "population", "lon", "lat"))
+    return (f.withColumn("population", checked).where(F.col("population") > min_population)
+             .select(F.col("geoname_id").cast("long").alias("city_id"), "name", "population", "lon", "lat"))
 
 
 def cities_strict(features: DataFrame, min_population: int = 400_000) -> DataFrame:
-    """Every feature must carry a numeric population and a numeric id, else
-    the query fails. Cities above ``min_population`` are kept; for a repeated
-    id the last feature wins (document path, then position).
-    (city_id, name, population, lon, lat, feature)."""
+    """Every feature, also one the filter would drop, must carry an unsigned population
+    and an id that is a text of digits, else the query fails. Cities above
+    ``min_population`` are kept; for a repeated id the last feature wins (document path,
+    then position). (city_id, name, population, lon, lat, feature, feature_text); the
+    text is the whole feature, fields that the jobs do not know included."""
     f = _flat(features)
-    checked = f.select(
-        F.when(F.col("geoname_id").rlike(_U64), F.col("geoname_id").cast("long"))
-         .otherwise(F.raise_error(F.lit("feature without a numeric geoname_id"))).alias("city_id"),
-        F.when(F.col("population").isNotNull(), F.col("population"))
-         .otherwise(F.raise_error(F.lit("feature without a population"))).alias("population"),
-        "name", "lon", "lat", "feature", "doc", "pos")
+    checked = F.when(F.coalesce(F.col("geoname_id").rlike(_U64), F.lit(False)) & F.col("population").isNotNull(),
+                     F.col("population")).otherwise(F.raise_error(F.lit("feature without a numeric geoname_id or population")))
+    rows = f.withColumn("population", checked).where(F.col("population") > min_population)
     order = F.struct("doc", "pos")
     typed = F.struct(
         F.col("feature.type").alias("type"),
         F.struct(F.col("feature.properties.geoname_id").alias("geoname_id"),
                  F.col("name"), F.col("population")).alias("properties"),
         F.col("feature.geometry").alias("geometry"))
-    return (checked.where(F.col("population") > min_population)
-            .withColumn("feature", typed)
+    return (rows.withColumn("city_id", F.col("geoname_id").cast("long")).withColumn("feature", typed)
             .groupBy("city_id")
-            .agg(F.max_by(F.struct("name", "population", "lon", "lat", "feature"), order).alias("c"))
-            .select("city_id", "c.name", "c.population", "c.lon", "c.lat", "c.feature"))
+            .agg(F.max_by(F.struct("name", "population", "lon", "lat", "feature", F.col("text").alias("feature_text")),
+                          order).alias("c"))
+            .select("city_id", "c.name", "c.population", "c.lon", "c.lat", "c.feature", "c.feature_text"))

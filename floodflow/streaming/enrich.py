@@ -18,4 +18,4 @@ def enrich_stream(records: DataFrame, cities: DataFrame, cities_bytes: int | Non
     upd = records.select(F.col("value").cast("string").alias("value"))
     enriched = enrich_updates(decode_tolerant(upd, "value"), cities, cities_bytes=cities_bytes)
     return enriched.select(
-        F.col("feature.properties.geoname_id").alias("key"), encode_event().alias("value"))
+        F.col("feature.properties.geoname_id").alias("key"), encode_event("feature_text" in cities.columns).alias("value"))
