@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from floodflow import schemas
@@ -30,6 +31,19 @@ def read_parquet(spark: SparkSession, path: str | list[str], schema: StructType,
             .parquet(*paths))
 
 
+def unread_files(spark: SparkSession, path: str | list[str], schema: StructType, kind: str = "parquet") -> DataFrame:
+    """(path, length) of the files that a read with ``ignore_corrupt`` gives no row of:
+    the corrupt ones, and valid files without rows. Both sides are distributed: the
+    listing of the folder, and the paths seen while reading."""
+    paths = [path] if isinstance(path, str) else list(path)
+    there = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", f"*.{kind}").load(paths).select("path", "length"))
+    rows = (read_parquet if kind == "parquet" else read_orc)(spark, paths, schema, ignore_corrupt=True)
+    read = rows.select(F.col("_metadata.file_path").alias("path")).distinct()
+    same = F.regexp_replace(there["path"], "^file:/+", "/") == F.regexp_replace(read["path"], "^file:/+", "/")
+    return there.join(read, same, "left_anti")
+
+
 def read_nodes(spark: SparkSession, path) -> DataFrame:
     return read_orc(spark, path, schemas.NODES).to(schemas.NODES)
 

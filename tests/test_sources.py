@@ -48,3 +48,21 @@ def test_cached_releases(spark):
     with cached(df) as d:
         assert d.is_cached and d.count() == 10
     assert not df.is_cached
+
+
+@pytest.mark.parametrize("kind", ["parquet", "orc"])
+def test_skipped_files_are_accounted_for(spark, tmp_path, kind):
+    from floodflow import schemas
+    from floodflow.sources import files
+    folder = tmp_path / "e"
+    df = spark.range(40).selectExpr("double(id) AS lat", "double(id) AS lon", "int(id) AS elevation").repartition(4)
+    getattr(df.write, kind)(str(folder))
+    whole = sorted(folder.glob(f"part-*.{kind}"))
+    torn = folder / f"part-99999-torn.{kind}"
+    torn.write_bytes(whole[0].read_bytes()[:-40])
+    read = files.read_parquet if kind == "parquet" else files.read_orc
+    assert read(spark, str(folder), schemas.ELEVATION, ignore_corrupt=True).count() == 40
+    lost = files.unread_files(spark, str(folder), schemas.ELEVATION, kind).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.length) for r in lost] == [(torn.name, torn.stat().st_size)]
+    with pytest.raises(Exception):
+        read(spark, str(folder), schemas.ELEVATION).count()
