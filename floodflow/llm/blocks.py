@@ -8,11 +8,13 @@ odd base has an inverse.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 BLOCK_BYTES = 1 << 21
+PLAIN_BYTES = 256
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -58,7 +60,10 @@ class Block:
 
     def range_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the bytes start..end, equal for equal bytes anywhere."""
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+        h = mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+        for i in np.flatnonzero(end - start > PLAIN_BYTES).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[start[i]:end[i]], digest_size=8).digest(), "little")
+        return h
 
     def gram_hash(self, size: int) -> np.ndarray:
         """Hash of the ``size`` bytes from every position."""

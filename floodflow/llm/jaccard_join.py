@@ -7,8 +7,10 @@ many documents share last (counted over all documents, but in a map batch only
 where ``_LOCAL`` of its documents share them) and break ties by
 differently seeded hashes, so boilerplate stays out of the prefixes. The first
 order generates candidates by an equi-join on prefix tokens, with length and
-positional bounds; the other orders are checked at verification, once both texts
-are at hand, and prune nothing before it.
+positional bounds. For classes in a bucket with another one, the prefixes under the
+other orders are kept as 31-bit hashes, and a candidate pair must share a token under
+each of them: the filters are intersected on the pairs, before any text is sent to
+be verified.
 
 Documents with equal sets form one class and are compared once. Only
 connectivity is asked for, so a bucket of k classes first yields k - 1 pairs
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floodflow.llm.base import materialize, row_key
+from floodflow.llm.base import discard, materialize, release, row_key
 from floodflow.llm.blocks import Block, batches, mix, word_spans
 from floodflow.llm.components import components
 
@@ -45,6 +47,7 @@ PERCENT = 85
 ORDERS = (0x0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Most frequent shingles that the orders put last: the bound of the only broadcast.
 FREQUENT = 200_000
+_FRONTS = [f"front{k}" for k in range(1, len(ORDERS))]
 _LOCAL = 4  # a map batch reports shingles that so many of its documents share
 _STARS = 2
 _WORDS = 8  # 64-bit words of a parity bitmap
@@ -182,21 +185,16 @@ def _fits(n1: str, p1: str, n2: str, p2: str, percent: int) -> Column:
 
 def _verify(it: Iterator[pa.RecordBatch], orders: Orders) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (hub, part, role): a hub's own text, then its partners."""
-    hub, own, fronts = None, None, []
+    hub, own = None, None
     for batch in it:
         hubs, roles, cls = (batch.column(c).to_pylist() for c in ("hub", "role", "cls"))
         u, v = [], []
         for h, role, c, s in zip(hubs, roles, cls, orders.sets(batch.column("text").to_pylist()), strict=True):
-            freq = orders.frequency(s)
             if role == 0:
                 hub, own = h, s
-                fronts = [orders.prefix(s, k, freq) for k in range(1, len(ORDERS))]
                 continue
             if h != hub:
                 raise ValueError("a partner without its hub")
-            if not all(np.isin(orders.prefix(s, k, freq), f, assume_unique=True).any()
-                       for k, f in zip(range(1, len(ORDERS)), fronts, strict=True)):
-                continue
             both = int(np.isin(s, own, assume_unique=True).sum())
             if 100 * both >= orders.percent * (len(s) + len(own) - both):
                 u.append(h)
@@ -204,6 +202,34 @@ def _verify(it: Iterator[pa.RecordBatch], orders: Orders) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
+def _with_fronts(texts: DataFrame, orders: Orders) -> DataFrame:
+    """``texts`` (cls, text) with the prefixes under all orders but the first."""
+    shared = texts.sparkSession.sparkContext.broadcast((orders.hashes, orders.counts, orders.size, orders.percent))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Orders(*shared.value)
+        for batch in it:
+            fronts: list[list] = [[] for _ in _FRONTS]
+            for s in own.sets(batch.column("text").to_pylist()):
+                freq = own.frequency(s)
+                for k, out in enumerate(fronts, 1):
+                    out.append((own.prefix(s, k, freq) & np.uint64(0x7FFFFFFF)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array(f, pa.list_(pa.int32())) for f in fronts]], names=["cls", "text", *_FRONTS])
+
+    kind = "cls long, text binary, " + ", ".join(f"{f} array<int>" for f in _FRONTS)
+    return texts.mapInArrow(run, kind)
+
+
+def _share(pairs: DataFrame, fronts: DataFrame) -> DataFrame:
+    """The pairs (hub, cls) whose prefixes meet under every other order too."""
+    hub = fronts.select(F.col("cls").alias("hub"), *[F.col(f).alias(f"hub_{f}") for f in _FRONTS])
+    meet = F.lit(True)
+    for f in _FRONTS:
+        meet = meet & F.arrays_overlap(f, f"hub_{f}")
+    return pairs.join(fronts, "cls").join(hub, "hub").where(meet).select("hub", "cls")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, orders: Orders) -> DataFrame:
     """The pairs (hub, cls) that link. A hub's text travels once for every part
     of about 200 partners, so no group of partners is one task's alone."""
@@ -228,21 +254,29 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     orders = frequent_shingles(docs, size, percent)
     rows = materialize(signatures(docs, orders), "shingle-sets")
     named = rows.select("doc", "rk", "n", "cls")
-    reps = rows.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc", "rk")).alias("rep"))
+    named = materialize(named, "shingle-rows")
+    reps = named.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc", "rk")).alias("rep"))
     reps = reps.select("cls", F.col("rep.rk").alias("rk"))
     classes = (rows.where("n > 0").join(reps, ["cls", "rk"], "left_semi").dropDuplicates(["cls"])
                .select("cls", "rk", "n", "pre", "score", "bits"))
     classes = materialize(classes, "shingle-classes")
+    discard(rows)
+    rows = named
+    release(docs.sparkSession)
 
     # buckets of two and more classes
     spots = classes.select("cls", "n", "score", F.posexplode("pre").alias("pos", "t"))
     busy = spots.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t")
     open_ = materialize(spots.join(busy, "t").withColumn("comp", F.col("cls")), "shingle-buckets")
     wanted = classes.join(open_.select("cls").distinct(), "cls", "left_semi").select("cls", "rk")
-    texts = materialize(
-        docs.select(row_key("doc_id", "text").alias("rk"), _bytes()).join(wanted, "rk")
-        .select("cls", "text"), "shingle-texts").dropDuplicates(["cls"])
-    marks = classes.select("cls", "n", "bits")
+    # Rows of one key are one text; they meet in the join's partition.
+    texts = docs.select(row_key("doc_id", "text").alias("rk"), _bytes()).join(wanted, "rk").dropDuplicates(["rk"])
+    texts = materialize(_with_fronts(texts.select("cls", "text"), orders), "shingle-texts")
+    fronts = texts.select("cls", *_FRONTS)
+    texts = texts.select("cls", "text")
+    marks = materialize(classes.select("cls", "n", "bits"), "shingle-marks")
+    discard(classes)
+    release(docs.sparkSession)
 
     edges = tried = comp = None
     for turn in range(_STARS + 1):
@@ -251,12 +285,13 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         if tried is not None:
             pairs = pairs.join(tried, [F.least(pairs.hub, pairs.cls) == tried.x,
                                        F.greatest(pairs.hub, pairs.cls) == tried.y], "left_anti")
-        pairs = materialize(pairs, "shingle-pairs")
+        pairs = materialize(_share(pairs, fronts), "shingle-pairs")
         ends = pairs.select(F.least("hub", "cls").alias("x"), F.greatest("hub", "cls").alias("y"))
         tried = ends if tried is None else tried.unionByName(ends)
         new = materialize(verified(pairs, texts, orders), "shingle-links")
         edges = new if edges is None else edges.unionByName(new)
         comp = materialize(components(edges), "shingle-components").withColumnRenamed("node", "cls")
+        release(docs.sparkSession)
         if turn < _STARS:  # links only join components: a bucket that is one stays one
             known = open_.drop("comp").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
             split = known.groupBy("t").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b")

@@ -10,9 +10,10 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from floodflow.llm import (catalog, classifier, decontaminate, jaccard_join, line_dedup, packing,
+from floodflow.llm import (catalog, classifier, decontaminate, jaccard_join, line_dedup, packing, pipeline_stages,
                            quality_rules, repeats, token_index)
 from floodflow.llm.base import materialize
+from floodflow.llm.blocks import Block
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -353,3 +354,46 @@ def test_op1_tells_null_ids_with_one_hash_apart(spark):
     docs = spark.createDataFrame([(None, x), (None, y)], "doc_id long, text string")
     got = sorted(r["n_removed"] for r in repeats.remove_repeats(docs).collect())
     assert got[0] == 0 and got[1] >= len(body)
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_op5_words_made_to_collide_stay_apart(spark):
+    for n in (1024, 4096):
+        word = thue_morse(n)
+        other = word.translate(str.maketrans("ab", "ba"))
+        b = Block([word.encode(), other.encode(), word.encode()])
+        h = b.range_hash(b.starts, b.ends)
+        assert h[0] != h[1] and h[0] == h[2]
+    docs = spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_components(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_op5_pairs_meet_under_every_order_before_texts_move(spark, monkeypatch):
+    seen = []
+    share = jaccard_join._share
+
+    def counted(pairs, fronts):
+        out = share(pairs, fronts)
+        seen.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_share", counted)
+    jaccard_join.join_components(spark.read.parquet(f"{SF}/documents.parquet")).count()
+    assert all(a >= b for a, b in seen) and sum(b for _, b in seen) > 0
+
+
+def test_clashing_helper_columns_survive(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l", "x", "y", "z")],
+                                 "doc_id long, text string, _s string, _rk string, _doc string")
+    got = quality_rules.statistics(docs)
+    assert got.columns[:5] == docs.columns and got.first()["_s"] == "x" and got.first()["n_words"] == 12
+    for stage in (pipeline_stages.ngram_jaccard_join, pipeline_stages.benchmark_decontamination):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.first()["_rk"] == "y"
