@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from floodflow.llm.base import materialize
+from floodflow.llm.base import discard, materialize, release
 from floodflow.llm.blocks import mix
 from floodflow.llm.words import LOWER, Words, blocks, byte_class
 
@@ -44,6 +44,7 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 PART_BYTES = 32 << 20
+BATCH_BYTES = 32 << 20
 SLICE = 1 << 20
 SHARD_PHRASES = 1 << 13
 GROUP_SHARDS = 256
@@ -55,13 +56,26 @@ _BREAKS = _MARKS | byte_class(b" \t")
 
 # --- words -----------------------------------------------------------------------
 
+def _gathered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches joined up to about ``BATCH_BYTES``: fewer dictionaries, fewer counts."""
+    kept, size = [], 0
+    for batch in it:
+        kept.append(batch)
+        size += batch.nbytes
+        if size >= BATCH_BYTES:
+            yield pa.Table.from_batches(kept)
+            kept, size = [], 0
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
 def _code(docs: DataFrame) -> DataFrame:
     """One row per language of a batch of texts: its words with their counts, and the
     word numbers (places in ``words``, -1 between pieces) as int32. Texts are cut in
     blocks of a few megabytes, which share the numbers."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in _gathered(it):
             langs = np.array(batch.column("lang").to_pylist(), object)
             for lang in sorted(set(langs.tolist())):
                 texts = batch.column("text").take(pa.array(np.flatnonzero(langs == lang))).to_pylist()
@@ -363,6 +377,8 @@ def _count(blocks: DataFrame, phrases: DataFrame, length: int, least: int, grow:
                                 "collocation-states")
         for b in group:
             b.destroy()
+    discard(tries)
+    release(spark)
     return out
 
 
@@ -388,11 +404,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         .where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "collocation-words")
     size = vocabulary.agg(F.sum(F.octet_length("word") + F.octet_length("lang") + 8)).first()[0] or 0
     known = _recode(coded, vocabulary, size)
+    total = materialize(total, "collocation-totals")
+    discard(coded)
+    release(docs.sparkSession)
     # Phrases of the length at hand: id, lang, words (ids) and text.
     now = vocabulary.select("id", "lang", F.array("id").alias("words"), F.array("word").alias("text"))
     found = vocabulary.select("lang", F.array("word").alias("words"), F.lit(1).alias("k"), "f")
     pairs = materialize(known.mapInArrow(_word_pairs, _COUNTS).groupBy("a", "b").agg(F.sum("n").alias("n"))
                         .where(F.col("n") >= least), "collocation-pairs")
+    release(docs.sparkSession)
     for k in range(2, longest + 1):
         a, b = now.alias("a"), now.alias("b")
         grown = (pairs.join(a, F.col("a") == F.col("a.id")).join(b, F.col("b") == F.col("b.id"))

@@ -59,14 +59,14 @@ def brute_collocations(rows, least, longest, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard,group", [(1 << 13, 256), (50, 2)])
+@pytest.mark.parametrize("shard,group", [(1 << 13, 256), (400, 2)])
 def test_op11_matches_brute_force(spark, monkeypatch, shard, group):
     # The second case needs several tries a length and several passes over the blocks.
     monkeypatch.setattr(collocations, "SHARD_PHRASES", shard)
     monkeypatch.setattr(collocations, "GROUP_SHARDS", group)
     if group == 2:  # slices much shorter than a text, and a vocabulary in several parts
         monkeypatch.setattr(collocations, "SLICE", 997)
-        monkeypatch.setattr(collocations, "PART_BYTES", 2000)
+        monkeypatch.setattr(collocations, "PART_BYTES", 12_000)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["lang"], r["text"]) for r in docs.collect()]
     got = collocations.collocations(docs, least=12, top=40).collect()
