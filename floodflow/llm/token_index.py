@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 from floodflow.llm.base import materialize, row_key, shared_dir
 from floodflow.llm.blocks import mix
 from floodflow.llm.tokens import Encoder, default_tokenizer
+from floodflow.llm.words import blocks
 
 END_ID = 2
 _NO_ID = -(1 << 63)
 _LOAD = 1.6  # bits per key of a level
 _BLOCK = 512
+_READ = 1 << 20  # ids read at once
 _PRINT_SEED = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -114,18 +116,18 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer: str | None = No
     folder = folder or shared_dir(spark, "token-index")
     path = tokenizer or default_tokenizer("word_bpe_49k.json")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"),
-                       row_key("doc_id", "text").alias("rk"), "text")
+                       row_key("doc_id", "text").alias("rk"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    width = 2 if _vocabulary(path) <= 1 << 16 and end_id < 1 << 16 else 4
     rows = rows.repartitionByRange(F.col("doc"), F.col("rk")).sortWithinPartitions("doc", "rk")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         enc, out, fs, name = None, None, None, ""
-        docs_, sizes, width = [], [], 4
+        docs_, sizes = [], []
         for batch in it:
             if not batch.num_rows:
                 continue
             if out is None:
-                width = 2 if _vocabulary(path) <= 1 << 16 and end_id < 1 << 16 else 4
                 enc = Encoder.shared(path, cut, f"<u{width}")
                 fs, root = _open(folder)
                 fs.create_dir(root, recursive=True)
@@ -133,15 +135,20 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer: str | None = No
                 out = fs.open_output_stream(name + ".ids")
                 end = np.array([end_id], f"<u{width}").tobytes()
             docs_.append(batch.column("doc").to_numpy())
-            for lo in range(0, batch.num_rows, 500):
-                texts = [t or "" for t in batch.column("text").slice(lo, 500).to_pylist()]
-                for ids in enc.encode(texts):
-                    sizes.append(len(ids) // width + 1)
-                    out.write(ids + end)
+            texts = batch.column("text").to_pylist()
+            for lo, hi in blocks(texts):
+                if cut == "space_drop":
+                    ids, many = enc.encode_words(texts[lo:hi], end_id)
+                    out.write(ids)
+                else:
+                    parts = enc.encode([t.decode() for t in texts[lo:hi]])
+                    many = np.array([len(x) // width + 1 for x in parts], np.int64)
+                    out.write(end.join([*parts, b""]))
+                sizes.append(many)
         if out is None:
             return
         out.close()
-        doc, size = np.concatenate(docs_), np.array(sizes, np.int64)
+        doc, size = np.concatenate(docs_), np.concatenate(sizes)
         keys, first = np.unique(doc, return_index=True)
         starts = np.concatenate(([0], np.cumsum(size)))
         hashed = mix(keys.view(np.uint64))
@@ -193,13 +200,30 @@ class Shard:
         slot[(slot >= 0) & (self.prints[slot] != fingerprint(hashed))] = -1
         return slot
 
-    def records(self, slot: int) -> Iterator[tuple[int, bytes]]:
-        """(offset in ids, ids as little-endian uint32) of a slot's records."""
-        at, first = int(self.offsets[slot]), int(self.firsts[slot])
-        for n in self.lengths[first:first + int(self.counts[slot])].tolist():
-            raw = self.ids.read_at(n * self.width, at * self.width)
-            yield at, np.frombuffer(raw, f"<u{self.width}").astype("<u4").tobytes()
-            at += n
+    def records(self, slots: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        """(index in ``slots``, offset in ids, ids as little-endian uint32) of all records
+        of the slots. Records that follow each other in the file are read at once, up
+        to ``_READ`` ids or one longer record."""
+        run: list[tuple[int, int, int]] = []
+
+        def read() -> Iterator[tuple[int, int, bytes]]:
+            start, size = run[0][1], sum(n for _, _, n in run)
+            raw = np.frombuffer(self.ids.read_at(size * self.width, start * self.width), f"<u{self.width}").astype("<u4")
+            for i, at, n in run:
+                yield i, at, raw[at - start:at - start + n].tobytes()
+
+        for i, slot in enumerate(slots.tolist()):
+            if slot < 0:
+                continue
+            at, first = int(self.offsets[slot]), int(self.firsts[slot])
+            for n in self.lengths[first:first + int(self.counts[slot])].tolist():
+                if run and (run[-1][1] + run[-1][2] != at or at + n - run[0][1] > _READ):
+                    yield from read()
+                    run = []
+                run.append((i, at, n))
+                at += n
+        if run:
+            yield from read()
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, keys: DataFrame) -> DataFrame:
@@ -231,19 +255,19 @@ def lookup(spark: SparkSession, manifest: DataFrame, keys: DataFrame) -> DataFra
             for lo, hi in zip(cuts, [*cuts[1:], len(where)], strict=True):
                 if where[lo] != now:
                     now, shard = int(where[lo]), Shard(*files[where[lo]])
-                for k, slot in zip(key[lo:hi].tolist(), shard.find(key[lo:hi]).tolist(), strict=True):
-                    if slot < 0:
-                        continue
-                    for at, ids in shard.records(slot):
-                        rows.append((None if k == _NO_ID else k, int(start[now]) + at, len(ids) // 4, ids))
-                        if len(rows) >= 1000:
-                            yield _records(rows)
-                            rows = []
+                for i, at, ids in shard.records(shard.find(key[lo:hi])):
+                    k = int(key[lo + i])
+                    rows.append((None if k == _NO_ID else k, int(start[now]) + at, len(ids) // 4, ids))
+                    if len(rows) >= 1000:
+                        yield _records(rows)
+                        rows = []
             if rows:
                 yield _records(rows)
 
     asked = keys.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc")).distinct()
-    return (asked.mapInArrow(route, "shard long, doc long").repartition(F.col("shard"))
+    # As many tasks as shards: a payload is some hundred times its key, so the size of the
+    # keys says nothing about the work.
+    return (asked.mapInArrow(route, "shard long, doc long").repartition(max(len(files), 1), F.col("shard"))
             .sortWithinPartitions("shard", "doc")
             .mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary"))
 

@@ -16,16 +16,21 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Iterable
+from array import array
+from collections.abc import Collection, Iterable
 
 import numpy as np
+import pyarrow as pa
+
+from floodflow.llm.words import Words, byte_class
 
 #: Pieces kept; the memo starts anew when full, which costs time only.
-MEMO_PIECES = 600_000
+MEMO_PIECES = 1_000_000
 
 
 #: Marks that are a pre-token of their own after a word.
 _MARKS = ".,;:!?"
+_CUTS = byte_class(b" \n")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,6 +57,7 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.cut, self.dtype = cut, dtype
+        self.code = "H" if np.dtype(dtype).itemsize == 2 else "I"
         self.after: dict[str, bytes | None] = {}
         self.first: dict[str, bytes | None] = {}
         self.letters = _byte_letters()
@@ -60,16 +66,18 @@ class Encoder:
 
     def _word(self, lead: str, word: str) -> bytes:
         """Ids of one word of letters: a single pre-token, straight from the model."""
+        plain = word.isascii()
         if self.cut == "space_drop":
-            word = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
-        text = (lead + word).encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(text)], self.dtype).tobytes()
+            word = word.lower() if plain else self.tokenizer.normalizer.normalize_str(word)
+        # Letters of ASCII stand for themselves.
+        text = word if plain and not lead else (lead + word).encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in got]
+        return [array(self.code, e.ids).tobytes() for e in got]
 
-    def _learn(self, memo: dict[str, bytes | None], pieces: set[str], lead: str) -> None:
+    def _learn(self, memo: dict[str, bytes | None], pieces: Collection[str], lead: str) -> None:
         new = [p for p in pieces if p not in memo]
         if len(memo) + len(new) > MEMO_PIECES:
             memo.clear()
@@ -94,6 +102,26 @@ class Encoder:
             part = new[i:i + 5000]
             memo.update(zip(part, self._pack([lead + p for p in part]), strict=True))
 
+    def encode_words(self, texts: list[bytes], end_id: int) -> tuple[bytes, np.ndarray]:
+        """For ``space_drop``: ids of the texts (UTF-8), each with the end id, one after
+        the other, and how many each text has. Every different word of the texts is
+        looked up once, whatever its count."""
+        w = Words(texts, _CUTS)
+        words = w.vocabulary.cast(pa.large_string()).to_pylist()
+        self._learn(self.after, words, "")
+        ids = [self.after[x] for x in words]
+        ids.append(np.array([end_id], self.dtype).tobytes())
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // np.dtype(self.dtype).itemsize
+        first = np.cumsum(size, dtype=np.int32) - size
+        code = np.full(len(w.code) + len(texts), len(words), np.int32)
+        code[np.arange(len(w.code)) + w.text] = w.code  # the places left are the ends
+        many = size[code]
+        place = np.repeat(first[code] - (np.cumsum(many, dtype=np.int32) - many), many)
+        place += np.arange(len(place), dtype=np.int32)
+        per = np.bincount(w.text, size[w.code], len(texts)).astype(np.int64) + 1
+        return flat[place].tobytes(), per
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Packed ids of each text."""
         texts = list(texts)
