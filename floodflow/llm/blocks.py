@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 PLAIN_BYTES = 256
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -25,7 +25,7 @@ Equality of contexts in steps 1 and 2 is taken from
 Defined cases: a null text is empty; texts shorter than ``MIN_BYTES`` keep all
 bytes; a null doc_id sorts before all others; rows that repeat id and text are
 one document and get equal rows; rows that share only the id are told apart
-and ordered by a 32-bit hash of the text. Extra columns are ignored.
+and ordered by a 64-bit hash of id and text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ from floodflow.llm.blocks import Block, batches, mix
 MIN_BYTES = 100
 GRAM = 24
 REACH = MIN_BYTES - GRAM  # bytes a string can have before its anchor
+#: Text whose anchors are sorted and emitted at once.
+EMIT_BYTES = 1 << 23
 HOT = 2000  # contexts of one gram that are dealt out further
 _NO_ID = -(1 << 63)
 
@@ -101,37 +103,45 @@ _ROWS = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()
 def _local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors (end 0, start is the place) and spans known to repeat."""
     for batch in it:
-        texts = [t or b"" for t in batch.column("text").to_pylist()]
+        texts = batch.column("text").to_pylist()
         ids = batch.column("doc").to_numpy(zero_copy_only=False)
         subs = batch.column("sub").to_numpy(zero_copy_only=False)
-        parts = []
-        for a, b in batches(texts):
-            block = Block(texts[a:b])
-            pos, text = anchors(block)
-            if not len(pos):
-                continue
-            left = np.maximum(pos - REACH, block.starts[text])
-            right = np.minimum(pos + MIN_BYTES, block.ends[text])
-            gram = block.range_hash(pos, pos + GRAM) >> np.uint64(24)  # 40 bits: contexts decide
-            ctx = mix(block.range_hash(left, right) ^ mix(
-                ((pos - left).astype(np.uint64) << np.uint64(32)) | (right - pos).astype(np.uint64)))
-            base = block.starts[text]
-            parts.append((gram, ctx, ids[a + text], subs[a + text], pos - base, left - base, right - base))
-        if not parts:
+        for first, last in batches(texts, EMIT_BYTES):
+            yield from _local_part(texts[first:last], ids[first:last], subs[first:last])
+        # The worker goes on to later stages: what Arrow holds for reuse goes back.
+        del texts
+        pa.default_memory_pool().release_unused()
+
+
+def _local_part(texts: list[bytes], ids: np.ndarray, subs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    parts = []
+    for a, b in batches(texts):
+        block = Block(texts[a:b])
+        pos, text = anchors(block)
+        if not len(pos):
             continue
-        gram, ctx, doc, sub, pos, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
-        o = np.lexsort((pos, sub, doc, ctx, gram))
-        gram, ctx, doc, sub, pos, left, right = (x[o] for x in (gram, ctx, doc, sub, pos, left, right))
-        same = np.r_[False, (gram[1:] == gram[:-1]) & (ctx[1:] == ctx[:-1])]
-        first = np.flatnonzero(~same)[np.cumsum(~same) - 1]
-        again = same & ((doc != doc[first]) | (sub != sub[first]) | (pos != pos[first]))
-        yield _rows(gram[~same], ctx[~same], doc[~same], sub[~same], pos[~same], np.zeros_like(pos[~same]))
-        if again.any():
-            rank = np.unique(np.stack((doc[again], sub[again])), axis=1, return_inverse=True)
-            who, start, end = merge_spans(rank[1].ravel(), left[again], right[again])
-            doc_s, sub_s = rank[0][0][who], rank[0][1][who]
-            yield _rows(mix(doc_s.astype(np.uint64) ^ start.astype(np.uint64)) | np.uint64(1 << 63), np.zeros(len(who), np.int64),
-                        doc_s, sub_s, start, end)
+        left = np.maximum(pos - REACH, block.starts[text])
+        right = np.minimum(pos + MIN_BYTES, block.ends[text])
+        gram = block.range_hash(pos, pos + GRAM) >> np.uint64(24)  # 40 bits: contexts decide
+        ctx = mix(block.range_hash(left, right) ^ mix(
+            ((pos - left).astype(np.uint64) << np.uint64(32)) | (right - pos).astype(np.uint64)))
+        base = block.starts[text]
+        parts.append((gram, ctx, ids[a + text], subs[a + text], pos - base, left - base, right - base))
+    if not parts:
+        return
+    gram, ctx, doc, sub, pos, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+    o = np.lexsort((pos, sub, doc, ctx, gram))
+    gram, ctx, doc, sub, pos, left, right = (x[o] for x in (gram, ctx, doc, sub, pos, left, right))
+    same = np.r_[False, (gram[1:] == gram[:-1]) & (ctx[1:] == ctx[:-1])]
+    first = np.flatnonzero(~same)[np.cumsum(~same) - 1]
+    again = same & ((doc != doc[first]) | (sub != sub[first]) | (pos != pos[first]))
+    yield _rows(gram[~same], ctx[~same], doc[~same], sub[~same], pos[~same], np.zeros_like(pos[~same]))
+    if again.any():
+        rank = np.unique(np.stack((doc[again], sub[again])), axis=1, return_inverse=True)
+        who, start, end = merge_spans(rank[1].ravel(), left[again], right[again])
+        doc_s, sub_s = rank[0][0][who], rank[0][1][who]
+        yield _rows(mix(doc_s.astype(np.uint64) ^ start.astype(np.uint64)) | np.uint64(1 << 63), np.zeros(len(who), np.int64),
+                    doc_s, sub_s, start, end)
 
 
 def _rows(gram, ctx, doc, sub, start, end) -> pa.RecordBatch:
@@ -223,12 +233,11 @@ def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     half = REACH // 2
     for batch in it:
         out: list[tuple] = []
-        for doc, sub, text, spots in zip(*(batch.column(c).to_pylist() for c in ("doc", "sub", "text", "spots")),
-                                         strict=True):
-            for s in spots:
-                pos, gram = s["start"], s["gram"]
+        for doc, sub, text, spots in zip(*(batch.column(c) for c in ("doc", "sub", "text", "spots")), strict=True):
+            doc, sub, text, spots = doc.as_py(), sub.as_py(), text.as_py(), spots.values
+            for pos, gram, many in zip(*(spots.field(c).to_numpy().tolist() for c in ("start", "gram", "many")), strict=True):
                 left, right = text[max(0, pos - REACH):pos][::-1], text[pos:pos + MIN_BYTES]
-                if s["many"] <= HOT:
+                if many <= HOT:
                     out.append((gram, doc, sub, pos, left, right))
                     continue
                 if len(right) >= MIN_BYTES - half:
@@ -256,13 +265,19 @@ _SPANS = pa.schema([("doc", pa.int64()), ("sub", pa.int64()), ("start", pa.int32
 
 
 def _group_spans(rows: list[tuple], out: list[tuple]) -> None:
-    """Spans that repeat an earlier occurrence in one gram's contexts."""
+    """Spans that repeat an earlier occurrence in one gram's contexts. All spans of one
+    occurrence hold its anchor, so their union is one span: one row an occurrence, however
+    many repeats it is part of."""
     if len(rows) < 2:
         return
+    reach: dict[int, tuple[int, int]] = {}
     for left, right, members in repeat_groups([(r[4], r[5]) for r in rows]):
         for i in members[1:]:  # the first occurrence stays
-            _, doc, sub, pos, _, _ = rows[i]
-            out.append((doc, sub, pos - left, pos + right))
+            before = reach.get(i, (0, 0))
+            reach[i] = (max(before[0], left), max(before[1], right))
+    for i, (left, right) in reach.items():
+        _, doc, sub, pos, _, _ = rows[i]
+        out.append((doc, sub, pos - left, pos + right))
 
 
 def _tree(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
