@@ -1,6 +1,7 @@
 """Relocation semantics on small hand-written frames (ties, empty sides,
 missing elevation, rounding, names)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from floodflow.plans import relocate
@@ -159,3 +160,34 @@ def test_bounded_elevation_is_the_same_under_any_broadcast_bound(spark):
     places = with_cell(spark.createDataFrame([(0.1, 0.1), (7.0, 7.0)], "lat double, lon double"), size=0.5)
     got = [sorted(tuple(r) for r in R.bounded_elevation(raster, places, 0.5, n).collect()) for n in (0, 1000)]
     assert got[0] == got[1] and 0 < len(got[0]) < 20
+
+
+@pytest.mark.parametrize("piece", [1, 7, 100_000])
+def test_ties_are_counted_and_written_out_last(spark, monkeypatch, piece):
+    monkeypatch.setattr(relocate, "PIECE_ROWS", piece)
+    monkeypatch.setattr(relocate, "TASK_ROWS", 50)
+    nodes = [place(1, "town", "41", 0.5, 3.5, "P"), place(2, "town", "10", 0.5, 6.9, "Q")]
+    nodes += [place(100 + i, "city", "10", 0.5, 5.5, f"C{i}") for i in range(12)]
+    nodes += [harbour(500 + i, 0.5, 3.4) for i in range(25)]
+    st = relocate.stages(spark.createDataFrame(nodes, NODE), spark.createDataFrame(HIGH, ELEV), 10.0, 1.0)
+    moves = relocate.moves(st)
+    assert sorted((r.id, r.cities, r.harbours) for r in moves.collect()) == [(1, 12, 25), (2, 12, 25)]
+    rows = relocate.relocation_rows(st)
+    want = {(1, 31, 100 + i): 25 for i in range(12)} | {(2, 10, 100 + i): 25 for i in range(12)} | {(1, 10, -1): 300}
+    assert {tuple(r)[:3]: r["count"] for r in rows.groupBy("id", "num_evacuees", "destinationId").count().collect()} == want
+    # Nothing is dealt by a row's own columns once the ties are written out.
+    named = relocate.named_relocations(st, moves)
+    assert sorted(map(tuple, named.collect()), key=str) == sorted(map(tuple, relocate.relocations_from(st, rows).collect()), key=str)
+    plan = named._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan and "SortMergeJoin" not in plan
+    totals = rows.groupBy("destinationId").agg(F.sum("num_evacuees").alias("arrivals"))
+    assert sorted(map(tuple, relocate.arrivals(st, moves).collect())) == sorted(map(tuple, totals.collect()))
+
+
+def test_cities_beyond_the_broadcast_bound_give_the_same_pairs(spark, monkeypatch):
+    from floodflow.operators import nearest
+    monkeypatch.setattr(nearest, "SALT_ROWS", 3)
+    right = spark.createDataFrame([(i, 1.0, 2.0 + i % 2) for i in range(10)], "r long, lat double, lon double")
+    left = spark.createDataFrame([("a", 1.0, 2.0), ("b", 1.0, 3.0), ("c", 1.0, 9.0)], "k string, rlat double, rlon double")
+    got = [sorted((r.k, r.r) for r in nearest.at_locations(left, right, broadcast_bytes=n).collect()) for n in (0, 1 << 20)]
+    assert got[0] == got[1] == [("a", i) for i in range(0, 10, 2)] + [("b", i) for i in range(1, 10, 2)]
