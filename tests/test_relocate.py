@@ -191,3 +191,17 @@ def test_cities_beyond_the_broadcast_bound_give_the_same_pairs(spark, monkeypatc
     left = spark.createDataFrame([("a", 1.0, 2.0), ("b", 1.0, 3.0), ("c", 1.0, 9.0)], "k string, rlat double, rlon double")
     got = [sorted((r.k, r.r) for r in nearest.at_locations(left, right, broadcast_bytes=n).collect()) for n in (0, 1 << 20)]
     assert got[0] == got[1] == [("a", i) for i in range(0, 10, 2)] + [("b", i) for i in range(1, 10, 2)]
+
+
+def test_sink_writes_the_rows_without_a_copy_of_them(spark, tmp_path):
+    import os
+    nodes = [place(1, "town", "41", 0.5, 3.5, "P"), place(2, "city", "10", 0.5, 5.5, "East"),
+             place(3, "city", "10", 0.5, 1.5, "West"), harbour(8, 0.5, 3.4), harbour(9, 0.5, 3.4)]
+    n, e = spark.createDataFrame(nodes, NODE), spark.createDataFrame(HIGH + [(0.5, 1.5, 50)], ELEV)
+    shared = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = {d for d in os.listdir(shared) if d.startswith("rdd-")}
+    rel, dst = relocate.run(n, e, 10.0, str(tmp_path / "out"), 1.0)
+    assert {d for d in os.listdir(shared) if d.startswith("rdd-")} <= before
+    want_rel, want_dst = run(spark, nodes, HIGH + [(0.5, 1.5, 50)])
+    assert sorted(map(tuple, spark.read.orc(rel).collect())) == want_rel and len(want_rel) == 8
+    assert sorted(map(tuple, spark.read.orc(dst).collect())) == want_dst
