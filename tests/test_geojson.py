@@ -85,3 +85,18 @@ def test_a_mark_inside_a_feature_fails_loudly(spark, tmp_path):
     assert geojson.read_features(spark, path).count() == 1
     with pytest.raises(Exception):
         geojson.split_features(spark, path).collect()
+
+
+def _bytes_read(spark):
+    return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+
+def test_a_document_is_read_once_and_its_texts_are_exact(spark, tmp_path):
+    odd = [' { "type" : "Feature",\n "geometry":{"type":"Point","coordinates":[4.50, 5.225e1]},'
+           '"properties":{"geoname_id":"%d","name":"\\u00dcn\u00ef","population":500000.0}}' % i for i in range(3000)]
+    text = '\n{ "features": [' + ",".join(odd) + '],"type":"FeatureCollection"}\n'
+    (tmp_path / "a.json").write_text(text, encoding="utf-8")
+    before = _bytes_read(spark)
+    got = geojson.read_features(spark, str(tmp_path)).select("pos", "text").collect()
+    assert _bytes_read(spark) - before < 3 * len(text.encode())
+    assert [r.text for r in sorted(got, key=lambda r: r.pos)] == [o.strip() for o in odd]
