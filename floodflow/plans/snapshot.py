@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodflow.functions.columns import change_ratio, map_style
-from floodflow.operators.relational import BROADCAST_BYTES, maybe_broadcast
+from floodflow.operators.relational import BROADCAST_BYTES, byte_size
 
 
 def enrich_updates(updates: DataFrame, cities: DataFrame, key: str = "city_id",
@@ -19,7 +19,11 @@ def enrich_updates(updates: DataFrame, cities: DataFrame, key: str = "city_id",
     city's struct, or null). The city table is broadcast when its measured size
     (or ``cities_bytes``, if known) allows it, also for a streaming left side."""
     more = [c for c in ("feature_text",) if c in cities.columns]
-    dim = maybe_broadcast(cities.select(F.col("city_id").alias("_fid"), "feature", *more), broadcast_bytes, cities_bytes)
+    dim = cities.select(F.col("city_id").alias("_fid"), "feature", *more)
+    size = byte_size(dim) if cities_bytes is None else cities_bytes
+    # Beyond the bound each task hashes its share of the cities (one row each); the
+    # updates, many for a city, are not sorted.
+    dim = F.broadcast(dim) if size <= broadcast_bytes else dim.hint("shuffle_hash")
     return (updates.join(dim, updates[key] == dim["_fid"], "left")
             .drop("_fid")
             .withColumnRenamed("refugees", "count"))
@@ -41,12 +45,26 @@ def latest_state(enriched: DataFrame, order: list[str], key: str = "city_id") ->
     """(key, name, count, change) per city with a feature: latest count and
     latest non-null change."""
     f = (enriched.where(F.col("feature").isNotNull())
-         .withColumn("_k", F.col("feature.properties.geoname_id").cast("long")))
-    o = F.struct(*order)
-    return (f.groupBy("_k")
-            .agg(F.max_by(F.col("feature.properties.name"), o).alias("name"),
-                 F.max_by(F.col("count"), o).alias("count"),
-                 F.max_by(F.col("change"), F.when(F.col("change").isNotNull(), o)).alias("change"))
+         .withColumn("_k", F.col("feature.properties.geoname_id").cast("long"))
+         .withColumn("_name", F.col("feature.properties.name")))
+    if len(order) > 1:
+        f = f.withColumn("_o", F.struct(*order))
+        nulls = F.lit(False)
+    else:
+        f = f.withColumn("_o", F.col(order[0]))
+        nulls = F.max("_o").isNull()
+    known = F.when(F.col("change").isNotNull(), F.col("_o"))
+    # First by name as well: with one order column all buffers have a fixed width, so the
+    # updates are hashed where they are instead of sorted, and a row a city and name moves.
+    rows = f.groupBy("_k", "_name").agg(
+        F.max("_o").alias("_o"), F.max(known).alias("_ko"),
+        F.when(nulls, F.max("count")).otherwise(F.max_by("count", "_o")).alias("count"),
+        F.when(F.max(known).isNull(), F.max("change")).otherwise(F.max_by("change", known)).alias("change"))
+    # A row without an order value is older than any other.
+    last = F.struct(F.col("_o").isNotNull(), "_o")
+    known = F.when(F.col("change").isNotNull(), F.struct(F.col("_ko").isNotNull(), "_ko"))
+    return (rows.groupBy("_k").agg(F.max_by("_name", last).alias("name"), F.max_by("count", last).alias("count"),
+                                   F.max_by("change", known).alias("change"))
             .withColumnRenamed("_k", key))
 
 

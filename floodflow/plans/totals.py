@@ -24,6 +24,8 @@ from floodflow.sources.files import materialize
 US_PER_SECOND = 1_000_000
 #: Windows that are added up together.
 BLOCK = 512
+#: Rows of the dense form that one task sorts.
+WINDOWS_PER_TASK = 250_000
 
 
 def window_us(length: str | int) -> int:
@@ -126,9 +128,14 @@ def dense_window_totals(events: DataFrame, length="1 hour", key: str = "city_id"
     before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (spine.join(filled.select(key, "block", "sum"), [key, "block"], "left")
                .withColumn("carry", F.coalesce(F.sum("sum").over(before), F.lit(0).cast("long"))).drop("sum"))
-    # The changes join the blocks, not the windows: dealt out by (key, block) once, which
-    # the sums below keep. The number is given, as a block is 512 times its row.
-    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The changes join the blocks, not the windows: dealt out by (key, block), which the
+    # sums below keep. The number follows the windows, as a block is 512 times its row; a
+    # number equal to the join's own would be taken for the same and be coalesced by bytes.
+    windows = keys.where(F.col("w0") <= until_us).agg(
+        F.sum(F.lit(1) + F.floor((until_us - F.col("w0")) / F.lit(w_us)))).first()[0] or 0
+    spark = events.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, windows // WINDOWS_PER_TASK + 1)
+    tasks += tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = (carried.join(filled.select(key, "block", "changes"), [key, "block"], "left")
             .repartition(tasks, key, "block")
             .select(key, name, "block", "carry", "changes", F.explode(F.sequence(

@@ -84,3 +84,35 @@ def test_state_log_survives_a_batch_that_died(spark, tmp_path):
     assert [tuple(r)[:3] for r in snapshot_sink.read_state(spark, table).collect()] == [(1, "A", 5)]
     snapshot_sink.fold_batch(spark, second, table, 1, "seq")
     assert sorted(tuple(r)[:4] for r in snapshot_sink.read_state(spark, table).collect()) == [(1, "A", 9, 5), (2, "B", 1, 1)]
+
+
+def test_latest_state_is_hashed_and_follows_renames(spark):
+    rows = [(1, 10, 10, feat(1, "Old")), (2, 30, None, feat(1, "New")), (3, 20, 4, feat(1, "Old")),
+            (4, 7, None, feat(1, "New")), (None, 99, 99, feat(1, "Undated")), (None, 5, 6, feat(2, "B"))]
+    st = snapshot.latest_state(spark.createDataFrame(rows, ENR), ["seq"])
+    assert sorted(map(tuple, st.collect())) == [(1, "New", 7, 4), (2, "B", 5, 6)]
+    two = snapshot.latest_state(spark.createDataFrame(rows[:4], ENR).withColumn("id", F.lit(1)), ["seq", "id"])
+    assert list(map(tuple, two.collect())) == [(1, "New", 7, 4)]
+    plan = st._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate(keys=[_k" in plan.replace("ObjectHashAggregate", "")
+
+
+def test_updates_beyond_the_broadcast_bound_are_not_sorted(spark):
+    cities = spark.createDataFrame([(1, feat(1, "A"))], "city_id long, " + ENR[ENR.index("feature"):])
+    updates = spark.createDataFrame([(1, 5, 1), (2, 6, None), (None, 7, 0)], "city_id long, refugees long, change long")
+    far = snapshot.enrich_updates(updates, cities, broadcast_bytes=0)
+    near = snapshot.enrich_updates(updates, cities)
+    assert sorted(map(str, far.collect())) == sorted(map(str, near.collect()))
+    plan = far._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_dense_windows_are_dealt_by_their_number(spark, monkeypatch):
+    from floodflow.plans import totals
+    events = spark.range(80).selectExpr("id", "timestamp_ntz'2024-01-01' AS ts", "id AS event_id", "id AS city_id",
+                                        "'x' AS city_name", "id AS refugees")
+    want = sorted(map(tuple, totals.dense_window_totals(events).collect()))
+    monkeypatch.setattr(totals, "WINDOWS_PER_TASK", 1)
+    dense = totals.dense_window_totals(events)
+    assert sorted(map(tuple, dense.collect())) == want and len(want) == 80
+    assert dense.select(F.spark_partition_id().alias("p")).distinct().count() > 8
