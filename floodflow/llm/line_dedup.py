@@ -13,10 +13,11 @@ Words are ordered by rarity: their counts over all documents in
 whose size is fixed. Any total order gives the same result; a finer table only
 saves candidates. The join takes 31 hash bits of each line's first ``n - ceil(t * n) + 1``
 words, with the length filter, the positional filter and a filter on parity
-bitmaps of 64 bits (bits that differ bound the symmetric difference from below),
-then of ``64 * PARTS`` bits; surviving pairs are verified on the words' hashes
+bitmaps (bits that differ bound the symmetric difference from below) of 64 to 256
+bits, more for longer lines, whose bitmaps of 64 bits would let most pairs pass;
+surviving pairs are verified on the words' hashes
 (64 bits) of both whole lines. Before it, each line is compared with the first
-line of its ``BANDS`` groups of equal ``LEAST`` first words under other word orders; a line
+line of its three groups of equal ``LEAST`` outer words under other word orders; a line
 that matches there is settled, and the join leaves out pairs of settled lines, so
 a large group of near copies does not form all its pairs. No pair that could
 settle an open line is left out. Lines with equal word
@@ -31,21 +32,19 @@ rows; empty lines stay. Extra columns are passed on.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floodflow.llm.base import discard, let, materialize, release, row_key, split_words
+from floodflow.llm.base import discard, materialize, release, row_key, split_words
 
 MIN_WORDS = 5  # default of the functions; the query and the pipeline pass 1
 PERCENT = 80
 BUCKETS = 1 << 16
-PARTS = 4  # longs of the wide parity bitmap, a power of two
-BANDS = 3  # leaders a line is compared with first
+MIDDLE, LONG = 32, 128  # lines of more words have parity bitmaps of 128 and of 256 bits
+BITS = ("b0", "b1", "b2", "b3")
 LEAST = 3  # words that lines with one leader have in common
 _NO_ID = -(1 << 63)
-_MASKS = [0x9E3779B97F4A7C15 * (k + 1) & ((1 << 56) - 1) for k in range(BANDS)]
+_MASKS = [0x9E3779B97F4A7C15 * (k + 1) & ((1 << 56) - 1) for k in range(2)]
 
 
 def _rarity(docs: DataFrame) -> bytes:
@@ -62,101 +61,109 @@ def _rarity(docs: DataFrame) -> bytes:
 
 def _hashes(line: Column) -> Column:
     """Hashes of the different words of a line."""
-    return F.transform(F.array_distinct(split_words(F.lower(line))), lambda w: F.xxhash64(w))
+    return F.array_distinct(F.transform(split_words(F.lower(line)), lambda w: F.xxhash64(w)))
 
 
-def _ordered(line: Column, rarity: bytes) -> Column:
+def _ordered(words: Column, rarity: bytes) -> Column:
     """The words as numbers whose order is rarity, then hash: 7 bits and 56 bits."""
-    table = F.lit(bytearray(rarity))
-    rank = lambda h: F.ascii(F.substring(
-        table, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"), 1).cast("string")).cast("long")
-    return F.sort_array(F.transform(_hashes(line), lambda h: F.shiftleft(rank(h), 56).bitwiseOR(
-        F.shiftrightunsigned(h, 8))))
+    # Texts of numbers become one array when Spark plans the query.
+    table = F.split(F.lit(",".join(map(str, rarity))), ",").cast("array<int>").cast("array<long>")
+    return F.sort_array(F.transform(words, lambda h: F.shiftleft(
+        F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
-def _parity(h: Column, part: int) -> Column:
-    """Parity bitmap of the words that a second slice of the hash puts into ``part``."""
-    mine = F.filter(h, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(PARTS - 1)) == part)
+def _parity(h: Column, mask: int = 0) -> Column:
+    """Parity bitmap of the words that have all bits of ``mask``."""
+    mine = F.filter(h, lambda x: x.bitwiseAND(F.lit(mask)) == mask) if mask else h
     return F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _least_words(h: Column, band: int) -> Column:
-    """Hash of the words that come first in a further order of all words."""
-    other = F.transform(h, lambda x: x.bitwiseAND(F.lit((1 << 56) - 1)).bitwiseXOR(F.lit(_MASKS[band])))
-    return F.hash(F.lit(band), F.slice(F.sort_array(other), 1, LEAST))
+def _other_order(h: Column, band: int) -> Column:
+    """The words in a further order of all words."""
+    return F.sort_array(F.transform(h, lambda x: x.bitwiseAND(F.lit((1 << 56) - 1)).bitwiseXOR(F.lit(_MASKS[band]))))
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def line_sets(docs: DataFrame, rarity: bytes, min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines with enough words: doc, rk, no, set (hash of the word set), n, wide
-    (parity bitmap), bits (the same folded to one long), pre, sigs."""
+def line_sets(docs: DataFrame, rarity: bytes) -> DataFrame:
+    """All lines with a character: doc, rk, no, set (hash of the word set), n, BITS (parity
+    bitmaps: of all words, of more than MIDDLE words also that of half of them, of more than
+    LONG also those of two quarters), pre, sigs.
+
+    Every step is a projection of its own, so no array is made twice."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"),
                        row_key("doc_id", "text").alias("rk"), F.posexplode(_lines(F.col("text"))).alias("no", "line"))
-    made = let(_ordered(F.col("line"), rarity), lambda h: F.struct(
-        F.xxhash64(h).alias("set"), F.size(h).alias("n"),
-        F.array(*[_parity(h, k) for k in range(PARTS)]).alias("wide"),
-        F.transform(F.slice(h, 1, F.size(h) - F.ceil(F.size(h) * PERCENT / 100).cast("int") + 1),
+    keys = ["doc", "rk", "no"]
+    rows = base.where(F.length("line") > 0).select(*keys, _ordered(_hashes(F.col("line")), rarity).alias("h"))
+    rows = rows.select(*keys, "h", F.size("h").alias("n"), _other_order(F.col("h"), 0).alias("o0"),
+                       _other_order(F.col("h"), 1).alias("o1"))
+    h, n = F.col("h"), F.col("n")
+    quarters = [F.when(n > LONG, _parity(h, mask)) for mask in (128, 192)]
+    return rows.select(
+        *keys, F.xxhash64("h").alias("set"), "n", _parity(h).alias("b0"), F.when(n > MIDDLE, _parity(h, 64)).alias("b1"),
+        F.when(n > LONG, quarters[0].bitwiseXOR(quarters[1])).alias("b2"), quarters[1].alias("b3"),
+        F.transform(F.slice(h, 1, n - F.ceil(n * PERCENT / 100).cast("int") + 1),
                     lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("pre"),
-        F.array(*[_least_words(h, k) for k in range(BANDS)]).alias("sigs")))
-    bits = reduce(Column.bitwiseXOR, [F.col("s.wide")[k] for k in range(PARTS)])
-    return (base.where(F.length("line") >= 2 * min_words - 1)
-            .select("doc", "rk", "no", F.explode(F.array(made)).alias("s"))
-            .select("doc", "rk", "no", "s.set", "s.n", "s.wide", bits.alias("bits"), "s.pre", "s.sigs")
-            .where(F.col("n") >= max(min_words, 1)))
+        F.array(F.hash(F.lit(0), F.slice("o0", 1, LEAST)),  # first and last words, and the first of another order
+                F.hash(F.lit(1), F.slice("o0", F.greatest(n - LEAST, F.lit(0)) + 1, LEAST)),
+                F.hash(F.lit(2), F.slice("o1", 1, LEAST))).alias("sigs"))
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether length and parity bitmaps leave the similarity possible: bits that differ are
+    at most the size of the symmetric difference. Both sides have n and BITS; the finest
+    bitmaps that both have are compared."""
+    d = [F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in BITS]
+    half = d[0].bitwiseXOR(d[1])
+    far = F.coalesce(
+        F.bit_count(half.bitwiseXOR(d[2])) + F.bit_count(d[1].bitwiseXOR(d[3])) + F.bit_count(d[2]) + F.bit_count(d[3]),
+        F.bit_count(half) + F.bit_count(d[1]), F.bit_count(d[0]))
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * far <= (100 - PERCENT) * (n + m))
 
 
 def _leaders(lines: DataFrame) -> DataFrame:
     """Pairs (early, late): each class and the first class of each of its ``sigs``."""
-    rows = lines.select("set", "doc", "no", "rk", "n", "bits", F.explode("sigs").alias("s"))
-    lead = (rows.groupBy("s").agg(F.min(F.struct("doc", "no", "rk", "set", "n", "bits")).alias("lead"),
+    rows = lines.select("set", "doc", "no", "rk", "n", *BITS, F.explode("sigs").alias("s"))
+    lead = (rows.groupBy("s").agg(F.min(F.struct("doc", "no", "rk", "set", "n", *BITS)).alias("lead"),
                                   F.min("set").alias("lo"), F.max("set").alias("hi"))
-            .where("lo < hi").select("s", "lead"))
-    both = F.col("n") + F.col("lead.n")
-    far = F.bit_count(F.col("bits").bitwiseXOR(F.col("lead.bits")))
-    return (rows.select("set", "n", "bits", "s").join(lead, "s")
-            .where((F.col("set") != F.col("lead.set"))
-                   & (100 * F.least("n", "lead.n") >= PERCENT * F.greatest("n", "lead.n"))
-                   & ((100 + PERCENT) * far <= (100 - PERCENT) * both))
-            .select(F.col("lead.set").alias("early"), F.col("set").alias("late")).distinct())
-
-
-def _far(x: str, y: str) -> Column:
-    """Differing bits of two wide bitmaps, at most the size of the symmetric difference."""
-    return sum(F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(PARTS))
+            .where("lo < hi").select("s", "lead.*"))
+    x, y = lead.alias("x"), rows.select("set", "n", *BITS, "s").alias("y")
+    return (x.join(y, F.col("x.s") == F.col("y.s")).where((F.col("x.set") != F.col("y.set")) & _near("x", "y"))
+            .select(F.col("x.set").alias("early"), F.col("y.set").alias("late")).distinct())
 
 
 def _candidates(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of classes that pass the filters, one class of each not yet in ``found``."""
+    """Pairs of classes that pass the filters and whose later class is not yet in ``found``
+    (either, where both begin in documents of one id)."""
     known = found.select(F.col("late").alias("set"), F.lit(False).alias("open"))
-    classes = (lines.groupBy("set").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("pre").alias("pre"))
+    classes = (lines.groupBy("set").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", *BITS, "pre")])
                .join(known, "set", "left").withColumn("open", F.coalesce("open", F.lit(True))))
-    spots = classes.select(F.posexplode("pre").alias("pos", "t"), "set", "n", "bits", "open")
+    spots = classes.select(F.posexplode("pre").alias("pos", "t"), "set", "doc", "n", *BITS, "open")
     a, b = spots.alias("a"), spots.alias("b")
     both = F.col("a.n") + F.col("b.n")
     reach = (F.least("a.pos", "b.pos") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")))
     return (a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.set") < F.col("b.set"))
-                   & (F.col("a.open") | F.col("b.open"))
-                   & (100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n"))
-                   & ((100 + PERCENT) * reach >= PERCENT * both)
-                   & ((100 + PERCENT) * F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
-                      <= (100 - PERCENT) * both))
-            .select(F.col("a.set").alias("x"), F.col("b.set").alias("y"), both.alias("both")).distinct())
+                   & ((F.col("a.open") & (F.col("a.doc") >= F.col("b.doc")))
+                      | (F.col("b.open") & (F.col("b.doc") >= F.col("a.doc"))))
+                   & ((100 + PERCENT) * reach >= PERCENT * both) & _near("a", "b"))
+            .select(F.col("a.set").alias("x"), F.col("b.set").alias("y")).distinct())
 
 
 def _ordered_pairs(lines: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (early, late) that pass the wide filter, without those whose late class is in ``found``."""
-    firsts = lines.groupBy("set").agg(F.min(F.struct("doc", "no", "rk", "wide")).alias("first"))
-    pairs = (pairs.select(F.col("x").alias("set"), "y", "both").join(firsts, "set")
-             .select(F.col("set").alias("x"), F.col("first").alias("fx"), F.col("y").alias("set"), "both")
+    """Pairs (early, late), without those whose late class is in ``found``."""
+    ends = pairs.select(F.col("x").alias("set")).union(pairs.select("y")).distinct()
+    firsts = (lines.select("set", "doc", "no", "rk").join(ends, "set", "left_semi")
+              .groupBy("set").agg(F.min(F.struct("doc", "no", "rk")).alias("first")))
+    pairs = (pairs.select(F.col("x").alias("set"), "y").join(firsts, "set")
+             .select(F.col("set").alias("x"), F.col("first").alias("fx"), F.col("y").alias("set"))
              .join(firsts, "set"))
-    before = F.struct("fx.doc", "fx.no", "fx.rk") < F.struct("first.doc", "first.no", "first.rk")
-    return (pairs.where((100 + PERCENT) * _far("fx.wide", "first.wide") <= (100 - PERCENT) * F.col("both"))
-            .select(F.when(before, F.col("x")).otherwise(F.col("set")).alias("early"),
-                    F.when(before, F.col("set")).otherwise(F.col("x")).alias("late"))
+    before = F.col("fx") < F.col("first")
+    return (pairs.select(F.when(before, F.col("x")).otherwise(F.col("set")).alias("early"),
+                         F.when(before, F.col("set")).otherwise(F.col("x")).alias("late"))
             .join(found, "late", "left_anti"))
 
 
@@ -164,11 +171,14 @@ def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, name: str) ->
     """Classes ``late`` that reach the similarity with the ``early`` one of a pair."""
     pairs = materialize(pairs, f"line-{name}-pairs")
     wanted = pairs.select(F.col("early").alias("set")).union(pairs.select("late")).distinct()
-    firsts = lines.groupBy("set").agg(F.min(F.struct("doc", "no", "rk")).alias("first"))
-    spots = (firsts.join(wanted, "set", "left_semi").select("set", "first.no", "first.rk")
+    firsts = (lines.select("set", "doc", "no", "rk").join(wanted, "set", "left_semi")
+              .groupBy("set").agg(F.min(F.struct("doc", "no", "rk")).alias("first")))
+    spots = (firsts.select("set", "first.no", "first.rk")
              .groupBy("rk").agg(F.collect_list(F.struct("set", "no")).alias("spots")))
-    keyed = docs.select(row_key("doc_id", "text").alias("rk"), "text").dropDuplicates(["rk"])
-    words = (keyed.join(spots, "rk")
+    spots = materialize(spots, f"line-{name}-spots")
+    # Rows of one key are one text; they meet in the join's partition.
+    keyed = docs.select(row_key("doc_id", "text").alias("rk"), "text")
+    words = (keyed.join(spots, "rk").dropDuplicates(["rk"])
              .select(_lines(F.col("text")).alias("lines"), F.explode("spots").alias("s"))
              .select("s.set", _hashes(F.element_at("lines", F.col("s.no") + 1)).alias("w")))
     words = materialize(words, f"line-{name}-words")
@@ -179,23 +189,26 @@ def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, name: str) ->
             .where((100 + PERCENT) * same >= PERCENT * (F.size("we") + F.size("wl")))
             .select("late").distinct())
     hits = materialize(hits, f"line-{name}-hits")
-    discard(pairs)
-    discard(words)
+    for scratch in (pairs, spots, words):
+        discard(scratch)
     release(docs.sparkSession)
     return hits
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document key ``rk`` with the numbers ``gone`` of its removed lines."""
-    lines = materialize(line_sets(docs, _rarity(docs), min_words), "line-sets")
+    lines = materialize(line_sets(docs, _rarity(docs)), "line-sets")
     release(docs.sparkSession)
+    lines = lines.where(F.col("n") >= max(min_words, 1))
     # Two different sets reach the similarity at best when one has a word more.
     able = lines.where(100 * F.col("n") >= PERCENT * (F.col("n") + 1))
     # One match is enough to remove a line. Leaders settle large groups of near
     # copies in linear work; the join below leaves out pairs of settled classes.
     found = _verified(docs, able, _leaders(able), "leader")
-    rest = _ordered_pairs(able, _candidates(able, found), found)
-    near = (found.union(_verified(docs, able, rest, "join")).select(F.col("late").alias("set")).distinct()
+    pairs = materialize(_candidates(able, found), "line-candidates")
+    hits = _verified(docs, able, _ordered_pairs(able, pairs, found), "join")
+    discard(pairs)
+    near = (found.union(hits).select(F.col("late").alias("set")).distinct()
             .withColumn("late", F.lit(True)))
     state = lines.groupBy("set").agg(F.min(F.struct("doc", "no", "rk")).alias("first")).join(near, "set", "left")
     gone = (lines.select("doc", "rk", "no", "set").join(state, "set")

@@ -314,6 +314,44 @@ def test_op6_large_group_of_near_lines(spark):
     assert 0 < sum(not x for x in want.values()) < len(want)
 
 
+def test_op6_long_lines_that_share_few_words_are_no_candidates(spark):
+    """Bitmaps of 64 bits let most pairs of long lines pass, whatever their words."""
+    rng = np.random.default_rng(7)
+    rows = [(d, "shared " + " ".join(f"w{w}" for w in rng.choice(100_000, 159, replace=False))) for d in range(120)]
+    near = rows[0][1].split()
+    near[5:11] = [f"z{i}" for i in range(6)]
+    rows.append((999, " ".join(near)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # One word is the rarest of all, so all lines meet in its group.
+    rarity = bytearray(b"\x10" * line_dedup.BUCKETS)
+    rarity[spark.range(1).select(F.xxhash64(F.lit("shared"))).first()[0] & (line_dedup.BUCKETS - 1)] = 0
+    lines = line_dedup.line_sets(docs, bytes(rarity))
+    none = spark.createDataFrame([], "late long")
+    assert line_dedup._candidates(lines, none).count() == 1
+
+
+def test_op6_no_candidates_for_a_settled_later_line(spark):
+    """The first line of a group stays open, but settled later lines need no pair with it."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(d, " ".join(words[:d] + [f"z{d}"] + words[d + 1:])) for d in range(30)]
+    lines = line_dedup.line_sets(spark.createDataFrame(rows, "doc_id long, text string"), bytes(line_dedup.BUCKETS))
+    settled = lines.where("doc > 0").select(F.col("set").alias("late"))
+    assert line_dedup._candidates(lines, settled.where("false")).count() == 30 * 29 // 2
+    assert line_dedup._candidates(lines, settled).count() == 0
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {x for x in str(blocks.getAllFiles().mkString("\n")).split("\n") if "shuffle_" in x}
+
+    before = shuffled()
+    out = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    assert not {x for x in shuffled() - before if x.endswith(".data")}
+    assert out.count() == 7
+
+
 def test_op6_short_lines(spark, odd_docs, tmp_path):
     """The query has no least number of words: one to four count like others."""
     short = spark.createDataFrame(
