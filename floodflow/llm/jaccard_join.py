@@ -7,8 +7,8 @@ many documents share last (counted over all documents, but in a map batch only
 where ``_LOCAL`` of its documents share them) and break ties by
 differently seeded hashes, so boilerplate stays out of the prefixes. The first
 order generates candidates by an equi-join on prefix tokens, with length and
-positional bounds. For classes in a bucket with another one, the prefixes under the
-other orders are kept as 31-bit hashes, and a candidate pair must share a token under
+positional bounds. Only texts of candidate pairs are read again, turn by turn. Their
+prefixes under the other orders are kept as 31-bit hashes, and a pair must share a token under
 each of them: the filters are intersected on the pairs, before any text is sent to
 be verified.
 
@@ -16,8 +16,9 @@ Documents with equal sets form one class and are compared once. Only
 connectivity is asked for, so a bucket of k classes first yields k - 1 pairs
 with its most central class (the one whose prefix is shared most); pairs that
 the links found so far already connect are not compared, and what the stars
-leave unconnected is paired in full. Pairs must also pass a parity bitmap: bits
-of the two sets' bitmaps that differ bound the symmetric difference from below,
+leave unconnected is paired in full. Pairs must also pass a sketch, a parity bitmap or,
+for large sets, a table of counts: bits that differ, or the distance of the counts,
+bound the symmetric difference from below,
 so near copies that are not similar enough end there. No link between different components is
 lost, whatever the size of a bucket, and no cap applies.
 
@@ -51,6 +52,12 @@ _FRONTS = [f"front{k}" for k in range(1, len(ORDERS))]
 _LOCAL = 4  # a map batch reports shingles that so many of its documents share
 _STARS = 2
 _WORDS = 8  # 64-bit words of a parity bitmap
+_CELLS = 128  # bytes of a table of counts
+#: Larger sets have a table of counts, sets above the second bound no parity bitmap, which
+#: says nothing about them. Similar sets on two sides of a bound have one sketch in common.
+_LARGE = (1024, 1536)
+#: Most rows of a broadcast that picks the texts of a turn; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 _NO_ID = -(1 << 63)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -138,29 +145,32 @@ def frequent_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
 
 def signatures(docs: DataFrame, orders: Orders) -> DataFrame:
     """Per row: doc, rk, n (set size), cls (hash of the set), pre (first order's
-    prefix), score (share of frequent shingles in it) and bits (parity bitmap)."""
+    prefix), score (share of frequent shingles in it), bits (parity bitmap, not of very
+    large sets) and cells (counts, of large sets only)."""
     shared = docs.sparkSession.sparkContext.broadcast((orders.hashes, orders.counts, orders.size, orders.percent))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Orders(*shared.value)
         for batch in it:
-            n, cls, pre, score, bits = [], [], [], [], []
+            n, cls, pre, score, bits, cells = [], [], [], [], [], []
             for s in own.sets(batch.column("text").to_pylist()):
                 n.append(len(s))
                 cls.append(int(mix(np.array([mix(s).sum() ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
                 front = own.prefix(s, 0) if len(s) else s
                 pre.append(front.view(np.int64))
                 score.append(float((own.frequency(front) > 0).mean()) if len(s) else 0.0)
-                bits.append(parity(s))
+                bits.append(parity(s) if len(s) <= _LARGE[1] else None)
+                cells.append(counts(s) if len(s) > _LARGE[0] else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), batch.column("rk"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()),
                  pa.array(pre, pa.list_(pa.int64())), pa.array(score, pa.float64()),
-                 pa.array(bits, pa.list_(pa.int64()))],
-                names=["doc", "rk", "n", "cls", "pre", "score", "bits"])
+                 pa.array(bits, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int8()))],
+                names=["doc", "rk", "n", "cls", "pre", "score", "bits", "cells"])
 
     return (docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"),
                         row_key("doc_id", "text").alias("rk"), _bytes())
-            .mapInArrow(run, "doc long, rk long, n long, cls long, pre array<long>, score double, bits array<long>"))
+            .mapInArrow(run, "doc long, rk long, n long, cls long, pre array<long>, score double, bits array<long>, "
+                             "cells array<byte>"))
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -169,10 +179,22 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def counts(s: np.ndarray) -> np.ndarray:
+    """How many of the set's shingles hash to each cell, modulo 256."""
+    n = np.bincount((s >> np.uint64(34)).astype(np.int64) & (_CELLS - 1), minlength=_CELLS)
+    return (n & 255).astype(np.uint8).view(np.int8)
+
+
 def _near(x: str, y: str, nx: str, ny: str, percent: int) -> Column:
-    """Whether the parity bitmaps leave the similarity possible."""
-    differ = sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(_WORDS))
-    return (100 + percent) * differ <= (100 - percent) * (F.col(nx) + F.col(ny))
+    """Whether the sketches of two sides (columns ``x``bits, ``x``cells) leave the similarity
+    possible: bits that differ, and the distance of the counts, are at most the size of the
+    symmetric difference."""
+    most = (100 - percent) * (F.col(nx) + F.col(ny))
+    differ = sum(F.bit_count(F.col(f"{x}bits")[i].bitwiseXOR(F.col(f"{y}bits")[i])) for i in range(_WORDS))
+    apart = F.zip_with(f"{x}cells", f"{y}cells", lambda a, b: F.abs(a.cast("int") - b.cast("int")))
+    apart = F.aggregate(apart, F.lit(0), lambda sum_, d: sum_ + F.least(d, 256 - d))
+    return (F.coalesce((100 + percent) * differ <= most, F.lit(True))
+            & F.coalesce((100 + percent) * apart <= most, F.lit(True)))
 
 
 def _fits(n1: str, p1: str, n2: str, p2: str, percent: int) -> Column:
@@ -221,6 +243,17 @@ def _with_fronts(texts: DataFrame, orders: Orders) -> DataFrame:
     return texts.mapInArrow(run, kind)
 
 
+def _texts(docs: DataFrame, marks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cls, text) of the classes in ``pairs``: of all texts, only these are moved as long
+    as their keys can be broadcast."""
+    ends = pairs.select("cls").union(pairs.select("hub")).distinct()
+    wanted = materialize(marks.select("cls", "rk").join(ends, "cls", "left_semi"), "shingle-wanted")
+    keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    # Rows of one key are one text.
+    return (docs.select(row_key("doc_id", "text").alias("rk"), _bytes()).join(keys, "rk")
+            .dropDuplicates(["rk"]).select("cls", "text"))
+
+
 def _share(pairs: DataFrame, fronts: DataFrame) -> DataFrame:
     """The pairs (hub, cls) whose prefixes meet under every other order too."""
     hub = fronts.select(F.col("cls").alias("hub"), *[F.col(f).alias(f"hub_{f}") for f in _FRONTS])
@@ -258,7 +291,7 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     reps = named.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc", "rk")).alias("rep"))
     reps = reps.select("cls", F.col("rep.rk").alias("rk"))
     classes = (rows.where("n > 0").join(reps, ["cls", "rk"], "left_semi").dropDuplicates(["cls"])
-               .select("cls", "rk", "n", "pre", "score", "bits"))
+               .select("cls", "rk", "n", "pre", "score", "bits", "cells"))
     classes = materialize(classes, "shingle-classes")
     discard(rows)
     rows = named
@@ -268,13 +301,8 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     spots = classes.select("cls", "n", "score", F.posexplode("pre").alias("pos", "t"))
     busy = spots.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t")
     open_ = materialize(spots.join(busy, "t").withColumn("comp", F.col("cls")), "shingle-buckets")
-    wanted = classes.join(open_.select("cls").distinct(), "cls", "left_semi").select("cls", "rk")
-    # Rows of one key are one text; they meet in the join's partition.
-    texts = docs.select(row_key("doc_id", "text").alias("rk"), _bytes()).join(wanted, "rk").dropDuplicates(["rk"])
-    texts = materialize(_with_fronts(texts.select("cls", "text"), orders), "shingle-texts")
-    fronts = texts.select("cls", *_FRONTS)
-    texts = texts.select("cls", "text")
-    marks = materialize(classes.select("cls", "n", "bits"), "shingle-marks")
+    marks = classes.select("cls", "rk", "n", "bits", "cells").join(open_.select("cls").distinct(), "cls", "left_semi")
+    marks = materialize(marks, "shingle-marks")
     discard(classes)
     release(docs.sparkSession)
 
@@ -285,10 +313,13 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         if tried is not None:
             pairs = pairs.join(tried, [F.least(pairs.hub, pairs.cls) == tried.x,
                                        F.greatest(pairs.hub, pairs.cls) == tried.y], "left_anti")
-        pairs = materialize(_share(pairs, fronts), "shingle-pairs")
+        pairs = materialize(pairs, "shingle-tries")
         ends = pairs.select(F.least("hub", "cls").alias("x"), F.greatest("hub", "cls").alias("y"))
         tried = ends if tried is None else tried.unionByName(ends)
-        new = materialize(verified(pairs, texts, orders), "shingle-links")
+        texts = materialize(_with_fronts(_texts(docs, marks, pairs), orders), "shingle-texts")
+        pairs = materialize(_share(pairs, texts.select("cls", *_FRONTS)), "shingle-pairs")
+        new = materialize(verified(pairs, texts.select("cls", "text"), orders), "shingle-links")
+        discard(texts)
         edges = new if edges is None else edges.unionByName(new)
         comp = materialize(components(edges), "shingle-components").withColumnRenamed("node", "cls")
         release(docs.sparkSession)
@@ -327,18 +358,19 @@ def _star_pairs(spots: DataFrame, marks: DataFrame, turn: int, percent: int) ->
                      F.col("hub.pos").alias("hpos"), F.col("hub.score").alias("hscore"))
              .where(_fits("n", "pos", "hn", "hpos", percent))
              .groupBy("cls", "hub").agg(F.count("*").alias("c"), F.max("hscore").alias("s")))
-    own = marks.select("cls", "n", "bits")
-    hub = marks.select(F.col("cls").alias("hub"), F.col("n").alias("hn"), F.col("bits").alias("hbits"))
-    return (votes.join(own, "cls").join(hub, "hub").where(_near("bits", "hbits", "n", "hn", percent))
+    own = marks.select("cls", "n", "bits", "cells")
+    hub = marks.select(F.col("cls").alias("hub"), F.col("n").alias("hn"), F.col("bits").alias("hbits"),
+                       F.col("cells").alias("hcells"))
+    return (votes.join(own, "cls").join(hub, "hub").where(_near("", "h", "n", "hn", percent))
             .groupBy("cls").agg(F.max(F.struct("c", "s", "hub")).alias("b"))
             .select(F.col("b.hub").alias("hub"), "cls"))
 
 
 def _all_pairs(spots: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """All pairs of a bucket that lie in different components and may be similar."""
-    b = spots.select("t", "cls", "pos", "comp").join(marks, "cls")
+    b = spots.select("t", "cls", "pos", "comp").join(marks.select("cls", "n", "bits", "cells"), "cls")
     a = b.select("t", F.col("cls").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"),
-                 F.col("comp").alias("hcomp"), F.col("bits").alias("hbits"))
+                 F.col("comp").alias("hcomp"), F.col("bits").alias("hbits"), F.col("cells").alias("hcells"))
     return (a.join(b, (a["t"] == b["t"]) & (F.col("hub") < F.col("cls")) & (F.col("comp") != F.col("hcomp"))
-                   & _fits("n", "pos", "hn", "hpos", percent) & _near("bits", "hbits", "n", "hn", percent))
+                   & _fits("n", "pos", "hn", "hpos", percent) & _near("", "h", "n", "hn", percent))
             .select("hub", "cls").distinct())

@@ -200,6 +200,47 @@ def test_op5_chains_and_borderline_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {d: want[d, t][1] for d, t in rows}
 
 
+def test_op5_large_sets_that_share_a_passage_are_no_pairs(spark):
+    """A parity bitmap says nothing of sets of thousands; near copies of them are still found."""
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(d, passage + " " + " ".join(f"w{w}" for w in rng.choice(10**6, 1200 + 150 * d))) for d in range(12)]
+    near = rows[3][1].split()
+    near[40:60] = [f"z{i}" for i in range(20)]
+    rows.append((99, " ".join(near)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    none = jaccard_join.Orders(np.empty(0, np.uint64), np.empty(0, np.int64))
+    sets = materialize(jaccard_join.signatures(docs, none), "sets").withColumn("comp", F.col("cls"))
+    spots = sets.select("cls", "n", "score", "comp", F.posexplode("pre").alias("pos", "t"))
+    every = spots.unionByName(sets.select("cls", "n", "score", "comp", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("t")))
+    assert jaccard_join._all_pairs(every, sets.drop("pre", "comp", "score", "doc"), 85).count() == 1
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_components(docs).collect()}
+    assert got == {d: 3 if d == 99 else d for d, _ in rows}
+
+
+@pytest.mark.parametrize("size", [1000, 1100, 1500, 1700, 4000])
+def test_op5_sketches_bound_the_difference(spark, size):
+    """Sets on both sides of a sketch's bounds: similar ones always pass."""
+    rng = np.random.default_rng(size)
+    all_ = rng.integers(0, 2**63, size * 2, dtype=np.uint64)
+    low, high = jaccard_join._LARGE
+    rows = []
+    for cut in (0, size // 20, size // 13):
+        for s, side in ((all_[:size], "a"), (np.r_[all_[cut:size], all_[size:size + cut // 2]], "b")):
+            rows.append((cut, side, len(s), jaccard_join.parity(s).tolist() if len(s) <= high else None,
+                         jaccard_join.counts(s).tolist() if len(s) > low else None))
+    made = spark.createDataFrame(rows, "cut int, side string, n long, bits array<long>, cells array<byte>")
+    a, b = (made.where(F.col("side") == x).select("cut", *[F.col(c).alias(p + c) for c in ("n", "bits", "cells")])
+            for x, p in (("a", ""), ("b", "h")))
+    assert a.join(b, "cut").where(jaccard_join._near("", "h", "n", "hn", 85)).count() == 3
+
+
+def test_op5_texts_are_joined_by_a_shuffle_above_the_bound(spark, odd_docs, monkeypatch):
+    want = collections.Counter(map(tuple, jaccard_join.join_components(odd_docs).collect()))
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    assert collections.Counter(map(tuple, jaccard_join.join_components(odd_docs).collect())) == want
+
+
 def test_op6_lines(docs):
     seen, gone = [], {}
     for d, t in texts(docs):
