@@ -6,7 +6,7 @@ length after the other:
 
 1. ``_code``: one pass cuts the texts into blocks of one language, with the block's
    own word numbers and counts. Words of at least ``least`` occurrences get a
-   number; ``_recode`` keeps only those in each block. The vocabulary travels in
+   number; ``_recode`` keeps only those in each block and cuts it into rows of a few megabytes. The vocabulary travels in
    parts of bounded size, however large it is.
 2. A phrase of k words is a candidate if its first and its last k - 1 words are
    frequent phrases (Apriori-safe) and the sums over blocks reach ``least``.
@@ -28,7 +28,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,9 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 PART_BYTES = 32 << 20
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
+#: A block's row has megabytes: a worker gets few at once, and a large one alone.
+ROW_BYTES = 8 << 20
 SLICE = 1 << 20
 SHARD_PHRASES = 1 << 13
 GROUP_SHARDS = 256
@@ -137,20 +139,35 @@ def _recode(coded: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:
                     table = np.zeros(len(ids) + 1, np.int32)  # the last entry, at -1, stays 0
                     often = ids >= 0
                     table[:-1][often] = np.arange(1, int(often.sum()) + 1)
-                    codes = table[np.frombuffer(raw.as_buffer(), np.int32)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([codes.tobytes()], pa.binary()), pa.array([ids[often].tobytes()], pa.binary())],
-                        names=["codes", "ids"])
+                    names = pa.array([ids[often].tobytes()], pa.binary())
+                    for codes in _pieces(table[np.frombuffer(raw.as_buffer(), np.int32)]):
+                        yield pa.RecordBatch.from_arrays([pa.array([codes.tobytes()], pa.binary()), names],
+                                                         names=["codes", "ids"])
 
         if last:
-            out = materialize(state.mapInArrow(run, "codes binary, ids binary"), "collocation-codes")
+            out = materialize(state.mapInArrow(run, "codes binary, ids binary"), "collocation-codes", ROW_BYTES)
         else:
             state = materialize(state.mapInArrow(run, "lang string, words array<binary>, codes binary, ids binary"),
-                                "collocation-parts")
+                                "collocation-parts", ROW_BYTES)
         known.destroy()
     return out
 
 
+def _pieces(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """``codes`` cut before zeros, which no phrase holds, into pieces of at most ``SLICE``
+    positions, or up to the next zero where there is none."""
+    zeros, start = np.flatnonzero(codes == 0), 0
+    while len(codes) - start > SLICE:
+        at = np.searchsorted(zeros, start + SLICE, side="right") - 1
+        if at < 0 or zeros[at] <= start:
+            at += 1
+        if at >= len(zeros):
+            break
+        yield codes[start:zeros[at]]
+        start = zeros[at]
+    yield codes[start:]
+
+
 def _slices(codes: np.ndarray, more: int) -> Iterator[tuple[int, np.ndarray]]:
     """Start and codes of slices of ``SLICE`` positions, with ``more`` codes after them."""
     for start in range(0, len(codes), SLICE):
@@ -242,10 +259,10 @@ class Trie:
         return np.where((code >= 0) & (self.check[target] == state), target, -1)
 
 
-def _hash(ids: np.ndarray) -> np.ndarray:
-    """Hash of phrases, from the columns of their word ids in order."""
-    h = np.zeros(ids.shape[1], np.uint64)
-    for column in ids:
+def _hash(columns: Iterable[np.ndarray], n: int) -> np.ndarray:
+    """Hash of ``n`` phrases, from the columns of their word ids in order."""
+    h = np.zeros(n, np.uint64)
+    for column in columns:
         h = mix(h * np.uint64(31) + mix(column.astype(np.uint64)))
     return h
 
@@ -258,7 +275,7 @@ def _shards(phrases: DataFrame, length: int) -> tuple[DataFrame, int]:
     def number(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             ids = np.asarray(batch.column("words").flatten()).reshape(-1, length)
-            where = (_hash(ids.T) % np.uint64(shards)).astype(np.int32)
+            where = (_hash(ids.T, len(ids)) % np.uint64(shards)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(where)], names=["id", "words", "shard"])
 
     def build(table: pa.Table) -> pa.Table:
@@ -284,7 +301,7 @@ def _accept(codes: np.ndarray, ids: np.ndarray, length: int, shards: int, tries)
     at = np.flatnonzero(alive)
     where = None
     if shards > 1:
-        where = _hash(np.stack([ids[codes[at + d] - 1] for d in range(length)])) % np.uint64(shards)
+        where = _hash((ids[codes[at + d] - 1] for d in range(length)), len(at)) % np.uint64(shards)
     for shard, parts in tries:
         trie = Trie(np.frombuffer(parts[1], np.int64), *(np.frombuffer(x, np.int32) for x in parts[2:]))
         letters = np.r_[-1, trie.codes(ids)]
@@ -371,10 +388,10 @@ def _count(blocks: DataFrame, phrases: DataFrame, length: int, least: int, grow:
 
         if last:
             sums = state.mapInArrow(run, _COUNTS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-            out = materialize(sums.where(F.col("n") >= least), f"collocation-counts-{length}")
+            out = materialize(sums.where(F.col("n") >= least), f"collocation-counts-{length}", ROW_BYTES)
         else:
             state = materialize(state.mapInArrow(run, "codes binary, ids binary, accepted binary"),
-                                "collocation-states")
+                                "collocation-states", ROW_BYTES)
         for b in group:
             b.destroy()
     discard(tries)
@@ -411,7 +428,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     now = vocabulary.select("id", "lang", F.array("id").alias("words"), F.array("word").alias("text"))
     found = vocabulary.select("lang", F.array("word").alias("words"), F.lit(1).alias("k"), "f")
     pairs = materialize(known.mapInArrow(_word_pairs, _COUNTS).groupBy("a", "b").agg(F.sum("n").alias("n"))
-                        .where(F.col("n") >= least), "collocation-pairs")
+                        .where(F.col("n") >= least), "collocation-pairs", ROW_BYTES)
     release(docs.sparkSession)
     for k in range(2, longest + 1):
         a, b = now.alias("a"), now.alias("b")

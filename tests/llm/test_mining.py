@@ -7,9 +7,12 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from floodflow.llm import catalog, collocations, runs, url_filter
+from floodflow.llm.base import materialize
 from floodflow.llm.words import SPACE, Words
 
 SF = "/root/testdata/sf0.001"
@@ -103,6 +106,32 @@ def test_op11_query_matches_duckdb(spark):
     assert sorted(tuple(r[c] for c in names) for r in got) == sorted(want.fetchall())
 
 
+def test_op11_large_rows_reach_a_worker_one_by_one(spark):
+    """Blocks of megabytes do not gather in one Arrow batch; the session's own bound stays."""
+    def sizes(it):
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    bound = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(6, numPartitions=1).select(F.expr("repeat('x', 9000000)").cast("binary").alias("codes"))
+    made = materialize(rows.mapInArrow(sizes, "n long"), "sizes", collocations.ROW_BYTES)
+    assert [r["n"] for r in made.collect()] == [1] * 6
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == bound
+
+
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_op11_rows_are_cut_between_phrases(spark, monkeypatch, size):
+    """Rows of a block stay small, and no phrase is cut."""
+    monkeypatch.setattr(collocations, "SLICE", size)
+    rng = np.random.default_rng(size)
+    for rare in (0.0, 0.1, 0.6, 1.0):
+        codes = np.where(rng.random(400) < rare, 0, rng.integers(1, 9, 400)).astype(np.int32)
+        pieces = list(collocations._pieces(codes))
+        assert np.concatenate(pieces).tolist() == codes.tolist() and all(len(p) for p in pieces)
+        assert all(p[0] == 0 for p in pieces[1:])
+        assert all(len(p) <= size or not (p[1:] == 0).any() for p in pieces)
+
+
 def test_op11_trie_holds_its_phrases_only():
     rng = np.random.default_rng(3)
     for length, words, n in ((1, 5, 5), (2, 40, 300), (5, 7, 400), (3, 2000, 500)):
