@@ -198,11 +198,12 @@ def _near(x: str, y: str, nx: str, ny: str, percent: int) -> Column:
 
 
 def _fits(n1: str, p1: str, n2: str, p2: str, percent: int) -> Column:
-    """Length bound and positional bound of a shared token at places p1 and p2."""
+    """Length bound and positional bound of a pair's first shared token, at places p1 and
+    p2: all that the sets share comes from there on. Similar sets meet the bound at that
+    token, whatever the later ones do."""
     a, b, i, j = (F.col(x) for x in (n1, n2, p1, p2))
-    reach = F.least(i, j) + 1 + F.least(a - i, b - j) - 1
     return ((100 * F.least(a, b) >= percent * F.greatest(a, b))
-            & ((100 + percent) * reach >= percent * (a + b)))
+            & ((100 + percent) * F.least(a - i, b - j) >= percent * (a + b)))
 
 
 def _verify(it: Iterator[pa.RecordBatch], orders: Orders) -> Iterator[pa.RecordBatch]:

@@ -235,6 +235,14 @@ def test_op5_sketches_bound_the_difference(spark, size):
     assert a.join(b, "cut").where(jaccard_join._near("", "h", "n", "hn", 85)).count() == 3
 
 
+def test_op5_a_late_shared_token_makes_no_pair(spark):
+    """What two sets share comes after their first shared token: too little is left here."""
+    spots = spark.createDataFrame([(1, 100, 0, 7), (2, 100, 8, 7), (3, 100, 9, 7)], "cls long, n long, pos int, t long")
+    a, b = (spots.select("t", *[F.col(c).alias(p + c) for c in ("cls", "n", "pos")]) for p in ("", "h"))
+    pairs = a.join(b, "t").where("cls < hcls").where(jaccard_join._fits("n", "pos", "hn", "hpos", 85))
+    assert [(r["cls"], r["hcls"]) for r in pairs.collect()] == [(1, 2)]
+
+
 def test_op5_texts_are_joined_by_a_shuffle_above_the_bound(spark, odd_docs, monkeypatch):
     want = collections.Counter(map(tuple, jaccard_join.join_components(odd_docs).collect()))
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
