@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -14,6 +15,7 @@ from floodflow.llm import (catalog, classifier, decontaminate, jaccard_join, lin
                            quality_rules, repeats, token_index)
 from floodflow.llm.base import materialize
 from floodflow.llm.blocks import Block
+from floodflow.llm.tokens import Encoder
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -136,6 +138,23 @@ def test_op4_packing(docs):
     assert len(per) <= -(-total // 1024) * 1.05 + 1
 
 
+def test_op4_pieces_are_put_together():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), Encoder(path, "space_prefix")
+    rnd, asked = random.Random(4), []
+    plain = enc._pack
+    enc._pack = lambda texts: asked.extend(texts) or plain(texts)
+    words = ["".join(rnd.choice("abcdeéß") for _ in range(6)) for _ in range(300)]
+    rows = [" ".join(w + "$$$" for w in words), "\n".join(w + "!?" for w in words)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(rows)] == [
+        tok.encode(t, add_special_tokens=False).ids for t in rows]
+    assert len(asked) <= 2  # marks after a word are not encoded with each word anew
+    parts = [" ", "\n", "a", "é", "\t", "'s", "<|endoftext|>", ".", "$$", "1", "\u00a0", "  ", "\n\n", "word", "'", "_"]
+    rows = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9))) for _ in range(3000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(rows)] == [
+        tok.encode(t, add_special_tokens=False).ids for t in rows]
+
+
 def test_op4_plan_uses_every_length_once():
     rng = np.random.default_rng(3)
     hist = np.zeros(65, np.int64)
