@@ -8,17 +8,17 @@ length after the other:
    own word numbers and counts. Words of at least ``least`` occurrences get a
    number; ``_recode`` keeps only those in each block and cuts it into rows of a few megabytes. The vocabulary travels in
    parts of bounded size, however large it is.
-2. A phrase of k words is a candidate if its first and its last k - 1 words are
-   frequent phrases (Apriori-safe) and the sums over blocks reach ``least``.
-3. The candidates of one length are dealt by a hash of their words to double-array
+2. A phrase of k words can be frequent if its first and its last k - 1 words are
+   (Apriori-safe). Its f is how often they begin at neighbouring positions: a task adds
+   up the counts of its blocks, Spark those of the tasks, and sums from ``least`` on
+   are the frequent phrases of k words.
+3. The frequent phrases of one length are dealt by a hash of their words to double-array
    tries of at most about ``SHARD_PHRASES`` phrases each. They are broadcast in
    groups of at most ``GROUP_SHARDS``, whatever their number; every group is one
    pass over the blocks. A task moves the states of all positions of a block
-   through the tries, one word of depth at a time, and counts the accepting states
-   with ``bincount``; Spark adds up the counts. These are the phrases' f. A position
-   belongs to the one trie that its words hash to, so more tries cost more passes
-   over the words but not more steps per position. The accepted phrases at two
-   neighbouring positions are the next length's candidates.
+   through the tries, one word of depth at a time; the accepting states say which
+   phrase begins where. A position belongs to the one trie that its words hash to,
+   so more tries cost more passes over the words but not more steps per position.
 4. Scores, containment and ranks are joins and groupings of frequent phrases.
 
 Defined cases: a null or empty text has no words; a null language counts as
@@ -48,6 +48,8 @@ BATCH_BYTES = 16 << 20
 #: A block's row has megabytes: a worker gets few at once, and a large one alone.
 ROW_BYTES = 8 << 20
 SLICE = 1 << 20
+#: Counts that a task holds to add up those of its blocks.
+MERGE_ROWS = 1 << 19
 SHARD_PHRASES = 1 << 13
 GROUP_SHARDS = 256
 #: Ranks are taken in parts first, so that no task sorts all phrases of a language.
@@ -314,83 +316,106 @@ def _accept(codes: np.ndarray, ids: np.ndarray, length: int, shards: int, tries)
         yield place, trie.phrase[state], np.frombuffer(parts[0], np.int64)
 
 
-_COUNTS = "kind int, a long, b long, n long"
+_COUNTS = "a long, b long, n long"
+_Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n.astype(np.int64))],
-        names=["kind", "a", "b", "n"])
+def _rows(counts: _Counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in counts], names=["a", "b", "n"])
 
 
-def _pairs(left: np.ndarray, right: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
-    """Counts of neighbours (kind 1), numbers below 2 ** 31 turned into ``names``."""
+def _pairs(left: np.ndarray, right: np.ndarray, names: np.ndarray) -> _Counts:
+    """Counts of neighbours, numbers below 2 ** 31 turned into ``names``."""
     pair, n = np.unique((left.astype(np.int64) << 32) | right, return_counts=True)
-    return _rows(1, names[pair >> 32], names[pair & 0xFFFFFFFF], n)
+    return names[pair >> 32], names[pair & 0xFFFFFFFF], n.astype(np.int64)
+
+
+def _added(held: list[_Counts]) -> _Counts:
+    a, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][:len(a)])
+    return a[first], b[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _merged(counts: Iterable[_Counts]) -> Iterator[pa.RecordBatch]:
+    """Equal pairs of a task's blocks added up, as long as at most ``MERGE_ROWS`` are held."""
+    held: list[_Counts] = []
+    size = 0
+    for some in counts:
+        held.append(some)
+        size += len(some[0])
+        if size > MERGE_ROWS:
+            held = [_added(held)]
+            size = len(held[0][0])
+            if 2 * size > MERGE_ROWS:
+                yield _rows(held[0])
+                held, size = [], 0
+    if size:
+        yield _rows(_added(held))
 
 
 def _word_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two frequent words in a row: the candidates of two words."""
+    """Two frequent words in a row, counted per block."""
     for batch in it:
         for raw, ids in zip(batch.column("codes"), batch.column("ids"), strict=True):
             names = np.r_[-1, np.frombuffer(ids.as_buffer(), np.int64)]
             for _, codes in _slices(np.frombuffer(raw.as_buffer(), np.int32), 1):
                 both = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
-                yield _pairs(codes[both], codes[both + 1], names)
+                yield _rows(_pairs(codes[both], codes[both + 1], names))
 
 
-def _count(blocks: DataFrame, phrases: DataFrame, length: int, least: int, grow: bool) -> DataFrame:
-    """kind 0: f (column n) of the phrases a; kind 1 (with ``grow``): how often phrase
-    b begins one word after phrase a; both from ``least`` on."""
+def _count(blocks: DataFrame, phrases: DataFrame, length: int, least: int) -> DataFrame:
+    """How often phrase b begins one word after phrase a (column n), from ``least`` on."""
     tries, shards = _shards(phrases, length)
     spark = blocks.sparkSession
     state = blocks.withColumn("accepted", F.lit(None).cast("binary"))
+
+    def located(raw, ids, before, group) -> Iterator[np.ndarray]:
+        """Per slice: the phrase that begins at each position and at the one after, or -1."""
+        whole, names = np.frombuffer(raw.as_buffer(), np.int32), np.frombuffer(ids.as_buffer(), np.int64)
+        old = np.frombuffer(before.as_buffer(), np.int64) if before.is_valid else None
+        for start, codes in _slices(whole, length):
+            here = min(SLICE, len(whole) - start)
+            found = np.full(here + 1, -1, np.int64)
+            if old is not None:
+                found[:len(old[start:start + here + 1])] = old[start:start + here + 1]
+            for place, phrase, own in _accept(codes, names, length, shards, _each(group)):
+                found[place] = own[phrase]
+            yield found
+
     for first in range(0, shards, GROUP_SHARDS):
         rows = tries.where(F.col("shard").between(first, first + GROUP_SHARDS - 1)).toArrow()
         group = [spark.sparkContext.broadcast((shard, parts)) for shard, parts in
                  zip(rows.column("shard").to_pylist(), rows.column("parts").to_pylist(), strict=True)]
-        last = first + GROUP_SHARDS >= shards
 
-        def run(it: Iterator[pa.RecordBatch], group=group, last=last) -> Iterator[pa.RecordBatch]:
+        def rows_of(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for batch in it:
-                for raw, ids, before in zip(batch.column("codes"), batch.column("ids"),
-                                            batch.column("accepted"), strict=True):
-                    whole = np.frombuffer(raw.as_buffer(), np.int32)
-                    names = np.frombuffer(ids.as_buffer(), np.int64)
-                    old = np.frombuffer(before.as_buffer(), np.int64) if before.is_valid else None
-                    kept = []
-                    for start, codes in _slices(whole, length):
-                        here = min(SLICE, len(whole) - start)
-                        found = np.full(here + 1, -1, np.int64)
-                        if old is not None:
-                            found[:len(old[start:start + here + 1])] = old[start:start + here + 1]
-                        for place, phrase, own in _accept(codes, names, length, shards, _each(group)):
-                            found[place] = own[phrase]
-                            if last:
-                                n = np.bincount(phrase[place < here], minlength=len(own))
-                                seen = np.flatnonzero(n)
-                                yield _rows(0, own[seen], own[seen], n[seen])
-                        if not last:
-                            kept.append(found[:here].tobytes())
-                            continue
-                        if old is not None:  # counts of the groups before this one
-                            seen, n = np.unique(old[start:start + here], return_counts=True)
-                            yield _rows(0, seen[seen >= 0], seen[seen >= 0], n[seen >= 0])
-                        if grow:
-                            both = np.flatnonzero((found[:-1] >= 0) & (found[1:] >= 0))
-                            near, code = np.unique(found[np.r_[both, both + 1]], return_inverse=True)
-                            code = code.reshape(2, -1)
-                            yield _pairs(code[0], code[1], near)
-                    if not last:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([raw.as_py()], pa.binary()), pa.array([ids.as_py()], pa.binary()),
-                             pa.array([b"".join(kept)], pa.binary())], names=["codes", "ids", "accepted"])
+                yield from zip(batch.column("codes"), batch.column("ids"), batch.column("accepted"), strict=True)
+
+        def run(it: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
+            def counts() -> Iterator[_Counts]:
+                for row in rows_of(it):
+                    for found in located(*row, group):
+                        both = np.flatnonzero((found[:-1] >= 0) & (found[1:] >= 0))
+                        near, code = np.unique(found[np.r_[both, both + 1]], return_inverse=True)
+                        code = code.reshape(2, -1)
+                        yield _pairs(code[0], code[1], near)
+
+            return _merged(counts())
+
+        def locate(it: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
+            for raw, ids, before in rows_of(it):
+                kept = b"".join(found[:-1].tobytes() for found in located(raw, ids, before, group))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([raw.as_py()], pa.binary()), pa.array([ids.as_py()], pa.binary()), pa.array([kept], pa.binary())],
+                    names=["codes", "ids", "accepted"])
 
-        if last:
-            sums = state.mapInArrow(run, _COUNTS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+        if first + GROUP_SHARDS >= shards:
+            sums = state.mapInArrow(run, _COUNTS).groupBy("a", "b").agg(F.sum("n").alias("n"))
             out = materialize(sums.where(F.col("n") >= least), f"collocation-counts-{length}", ROW_BYTES)
         else:
-            state = materialize(state.mapInArrow(run, "codes binary, ids binary, accepted binary"),
+            state = materialize(state.mapInArrow(locate, "codes binary, ids binary, accepted binary"),
                                 "collocation-states", ROW_BYTES)
         for b in group:
             b.destroy()
@@ -424,7 +449,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     total = materialize(total, "collocation-totals")
     discard(coded)
     release(docs.sparkSession)
-    # Phrases of the length at hand: id, lang, words (ids) and text.
+    # Frequent phrases of the length at hand: id, lang, words (ids), text and, from two words on, f.
     now = vocabulary.select("id", "lang", F.array("id").alias("words"), F.array("word").alias("text"))
     found = vocabulary.select("lang", F.array("word").alias("words"), F.lit(1).alias("k"), "f")
     pairs = materialize(known.mapInArrow(_word_pairs, _COUNTS).groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -434,16 +459,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         a, b = now.alias("a"), now.alias("b")
         grown = (pairs.join(a, F.col("a") == F.col("a.id")).join(b, F.col("b") == F.col("b.id"))
                  .select("a.lang", F.concat("a.words", F.slice("b.words", -1, 1)).alias("words"),
-                         F.concat("a.text", F.slice("b.text", -1, 1)).alias("text"))
+                         F.concat("a.text", F.slice("b.text", -1, 1)).alias("text"), F.col("n").alias("f"))
                  .withColumn("id", F.monotonically_increasing_id()))
         now = materialize(grown, f"collocation-phrases-{k}")
         if now.isEmpty():
             break
-        counts = _count(known, now, k, least, k < longest)
-        f = counts.where("kind = 0").select(F.col("a").alias("id"), F.col("n").alias("f"))
-        found = found.unionByName(now.join(f, "id").select(
-            "lang", F.col("text").alias("words"), F.lit(k).alias("k"), "f"))
-        pairs = counts.where("kind = 1")
+        found = found.unionByName(now.select("lang", F.col("text").alias("words"), F.lit(k).alias("k"), "f"))
+        if k < longest:
+            pairs = _count(known, now, k, least)
     return total, materialize(found, "collocation-found")
 
 

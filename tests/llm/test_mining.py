@@ -132,6 +132,24 @@ def test_op11_rows_are_cut_between_phrases(spark, monkeypatch, size):
         assert all(len(p) <= size or not (p[1:] == 0).any() for p in pieces)
 
 
+@pytest.mark.parametrize("most", [1, 30, 1 << 19])
+def test_op11_a_task_adds_up_its_blocks(monkeypatch, most):
+    """Equal pairs of a task's blocks are one row, of as many as it may hold."""
+    monkeypatch.setattr(collocations, "MERGE_ROWS", most)
+    rng, want, blocks = np.random.default_rng(5), collections.Counter(), []
+    for size in (0, 9, 400, 0, 50, 50):
+        pair = np.unique(rng.integers(0, 5, (size, 2)) + (1 << 40), axis=0)
+        n = rng.integers(1, 4, len(pair))
+        want.update({(a, b): k for (a, b), k in zip(pair.tolist(), n.tolist(), strict=True)})
+        blocks.append((pair[:, 0], pair[:, 1], n))
+    rows = [r for batch in collocations._merged(blocks) for r in zip(*map(pa.Array.to_pylist, batch.columns), strict=True)]
+    got = collections.Counter()
+    for a, b, n in rows:
+        got[a, b] += n
+    assert got == want and (most < 30 or len(rows) <= 25 * (1 + (most == 30)))
+    assert not list(collocations._merged(blocks[:1]))
+
+
 def test_op11_trie_holds_its_phrases_only():
     rng = np.random.default_rng(3)
     for length, words, n in ((1, 5, 5), (2, 40, 300), (5, 7, 400), (3, 2000, 500)):
