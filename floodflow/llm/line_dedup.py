@@ -12,7 +12,8 @@ Words are ordered by rarity: their counts over all documents in
 ``BUCKETS`` hash buckets, a table of one byte each that is part of the plan and
 whose size is fixed. Any total order gives the same result; a finer table only
 saves candidates. The join takes 31 hash bits of each line's first ``n - ceil(t * n) + 1``
-words, with the length filter, the positional filter and a filter on parity
+words, and of the smaller line only those that can be the first shared word of two lines of one
+length, with the length filter, the positional filter of the first shared word and a filter on parity
 bitmaps (bits that differ bound the symmetric difference from below) of 64 to 256
 bits, more for longer lines, whose bitmaps of 64 bits would let most pairs pass;
 surviving pairs are verified on the words' hashes
@@ -32,6 +33,8 @@ rows; empty lines stay. Extra columns are passed on.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,7 @@ BUCKETS = 1 << 16
 MIDDLE, LONG = 32, 128  # lines of more words have parity bitmaps of 128 and of 256 bits
 BITS = ("b0", "b1", "b2", "b3")
 LEAST = 3  # words that lines with one leader have in common
+PASSES = 4  # parts of the words, joined one after the other: only one part's rows are on disk
 _NO_ID = -(1 << 63)
 _MASKS = [0x9E3779B97F4A7C15 * (k + 1) & ((1 << 56) - 1) for k in range(2)]
 
@@ -140,17 +144,33 @@ def _candidates(lines: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of classes that pass the filters and whose later class is not yet in ``found``
     (either, where both begin in documents of one id)."""
     known = found.select(F.col("late").alias("set"), F.lit(False).alias("open"))
-    classes = (lines.groupBy("set").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", *BITS, "pre")])
-               .join(known, "set", "left").withColumn("open", F.coalesce("open", F.lit(True))))
+    classes = materialize(
+        lines.groupBy("set").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", *BITS, "pre")])
+        .join(known, "set", "left").withColumn("open", F.coalesce("open", F.lit(True))), "line-classes")
     spots = classes.select(F.posexplode("pre").alias("pos", "t"), "set", "doc", "n", *BITS, "open")
-    a, b = spots.alias("a"), spots.alias("b")
-    both = F.col("a.n") + F.col("b.n")
-    reach = (F.least("a.pos", "b.pos") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")))
-    return (a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.set") < F.col("b.set"))
+    parts = []
+    for part in range(PASSES):
+        mine = spots.where(F.pmod("t", F.lit(PASSES)) == part)
+        early = (100 + PERCENT) * (F.col("n") - F.col("pos")) >= 2 * PERCENT * F.col("n")
+        few, rest = mine.where(early), mine.where(~early)
+        parts.append(materialize(_meeting(few, few).union(_meeting(few, rest)).distinct(), "line-meetings"))
+    discard(classes)
+    return reduce(DataFrame.union, parts).distinct()
+
+
+def _meeting(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of a class of ``a`` and one in ``b`` of more words (or as many and a larger hash) that
+    share a word which can be their first shared one: all others come after it on both sides, so the
+    smaller class has it among the words that leave 2 * PERCENT / (100 + PERCENT) of it."""
+    a, b = a.alias("a"), b.alias("b")
+    n, m = F.col("a.n"), F.col("b.n")
+    reach = F.least(n - F.col("a.pos"), m - F.col("b.pos"))
+    return (a.join(b, (F.col("a.t") == F.col("b.t")) & (n <= m) & (100 * n >= PERCENT * m)
+                   & ((100 + PERCENT) * reach >= PERCENT * (n + m)) & ((n < m) | (F.col("a.set") < F.col("b.set")))
                    & ((F.col("a.open") & (F.col("a.doc") >= F.col("b.doc")))
                       | (F.col("b.open") & (F.col("b.doc") >= F.col("a.doc"))))
-                   & ((100 + PERCENT) * reach >= PERCENT * both) & _near("a", "b"))
-            .select(F.col("a.set").alias("x"), F.col("b.set").alias("y")).distinct())
+                   & _near("a", "b"))
+            .select(F.col("a.set").alias("x"), F.col("b.set").alias("y")))
 
 
 def _ordered_pairs(lines: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:

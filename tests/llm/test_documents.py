@@ -398,6 +398,25 @@ def test_op6_long_lines_that_share_few_words_are_no_candidates(spark):
     assert line_dedup._candidates(lines, none).count() == 1
 
 
+def test_op6_pairs_meet_at_words_that_can_be_their_first(spark, monkeypatch):
+    made, meeting = [], line_dedup._meeting
+
+    def counted(a, b):
+        made.append(meeting(a, b).count())
+        return meeting(a, b)
+
+    monkeypatch.setattr(line_dedup, "_meeting", counted)
+    common = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*common, f"own{i}"])) for i in range(20)]
+    rows += [(20 + i, " ".join(common[i:] + [f"x{i}"])) for i in range(6)]  # fewer words, to four fifths
+    lines = line_dedup.line_sets(spark.createDataFrame(rows, "doc_id long, text string"), bytes(line_dedup.BUCKETS))
+    sets = [set(t.split()) for _, t in rows]
+    want = sum(10 * len(a & b) >= 8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    none = spark.createDataFrame([], "late long")
+    assert line_dedup._candidates(lines, none).count() >= want
+    assert sum(made) <= 5 * 26 * 25 // 2  # nine words of every line go into the join
+
+
 def test_op6_no_candidates_for_a_settled_later_line(spark):
     """The first line of a group stays open, but settled later lines need no pair with it."""
     words = [f"w{i}" for i in range(40)]
