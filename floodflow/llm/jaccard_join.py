@@ -33,6 +33,7 @@ id; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,7 @@ FREQUENT = 200_000
 _FRONTS = [f"front{k}" for k in range(1, len(ORDERS))]
 _LOCAL = 4  # a map batch reports shingles that so many of its documents share
 _STARS = 2
+PASSES = 4  # parts of the tokens, dealt to buckets one after the other: only one part's rows are on disk
 _WORDS = 8  # 64-bit words of a parity bitmap
 _CELLS = 128  # bytes of a table of counts
 #: Larger sets have a table of counts, sets above the second bound no parity bitmap, which
@@ -290,8 +292,11 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     named = rows.select("doc", "rk", "n", "cls")
     named = materialize(named, "shingle-rows")
     reps = named.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc", "rk")).alias("rep"))
-    reps = reps.select("cls", F.col("rep.rk").alias("rk"))
-    classes = (rows.where("n > 0").join(reps, ["cls", "rk"], "left_semi").dropDuplicates(["cls"])
+    reps = reps.select("cls", F.col("rep.rk").alias("rep"))
+    # Dealt by the class alone (a key is equal if it is neither smaller nor larger), rows move
+    # once for the join and the choice among rows that repeat.
+    classes = (rows.where("n > 0").join(reps, "cls").where(F.col("rk").between(F.col("rep"), F.col("rep")))
+               .dropDuplicates(["cls"])
                .select("cls", "rk", "n", "pre", "score", "bits", "cells"))
     classes = materialize(classes, "shingle-classes")
     discard(rows)
@@ -299,9 +304,7 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     release(docs.sparkSession)
 
     # buckets of two and more classes
-    spots = classes.select("cls", "n", "score", F.posexplode("pre").alias("pos", "t"))
-    busy = spots.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t")
-    open_ = materialize(spots.join(busy, "t").withColumn("comp", F.col("cls")), "shingle-buckets")
+    open_ = _buckets(classes)
     marks = classes.select("cls", "rk", "n", "bits", "cells").join(open_.select("cls").distinct(), "cls", "left_semi")
     marks = materialize(marks, "shingle-marks")
     discard(classes)
@@ -327,9 +330,12 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         if turn < _STARS:  # links only join components: a bucket that is one stays one
             known = open_.drop("comp").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
             split = known.groupBy("t").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b")
-            open_ = materialize(known.join(split.select("t"), "t"), "shingle-open")
+            before, open_ = open_, materialize(known.join(split.select("t"), "t"), "shingle-open")
+            discard(before)
             if open_.isEmpty():
                 break
+    discard(open_)
+    discard(marks)
 
     named = (named.where("n > 0").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
     least = named.groupBy("comp").agg(F.min(F.struct("doc", "rk")).alias("least"))
@@ -343,6 +349,17 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         F.when(F.col("component") != _NO_ID, F.col("component")).otherwise(null).alias("component_id"), "first")
 
 
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(t, cls, n, score, pos, comp) of the prefix tokens t that two classes or more have."""
+    spots = classes.select("cls", "n", "score", F.posexplode("pre").alias("pos", "t"))
+    parts = []
+    for part in range(PASSES):
+        mine = spots.where(F.pmod("t", F.lit(PASSES)) == part)
+        busy = mine.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t")
+        parts.append(materialize(mine.join(busy, "t").withColumn("comp", F.col("cls")), "shingle-buckets"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _star_pairs(spots: DataFrame, marks: DataFrame, turn: int, percent: int) -> DataFrame:
     """Every class with the hub that most of its buckets agree on.
 

@@ -268,6 +268,52 @@ def test_op5_texts_are_joined_by_a_shuffle_above_the_bound(spark, odd_docs, monk
     assert collections.Counter(map(tuple, jaccard_join.join_components(odd_docs).collect())) == want
 
 
+def test_op5_buckets_are_dealt_in_passes(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: made.append(name) or materialize(df, name))
+    rows = [(c, 9, 0.0, [c, 100 + c % 3, -7]) for c in range(9)]
+    got = jaccard_join._buckets(spark.createDataFrame(rows, "cls long, n long, score double, pre array<long>"))
+    assert made == ["shingle-buckets"] * jaccard_join.PASSES > ["shingle-buckets"]
+    assert sorted((r["t"], r["cls"], r["pos"], r["comp"]) for r in got.collect()) == sorted(
+        [(100 + c % 3, c, 1, c) for c in range(9)] + [(-7, c, 2, c) for c in range(9)])
+
+
+def test_pipeline_moves_keys_instead_of_texts(spark, monkeypatch):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # only what is asked for is broadcast
+    try:
+        rows = [(i, " ".join(f"{'ab'[i % 2]}{i // 2 * j}" for j in range(30))) for i in range(40)]
+        docs = spark.createDataFrame(rows + [(50, rows[0][1]), (2, rows[2][1]), (None, None)], "doc_id long, text string")
+        docs = materialize(docs, "docs")
+
+        def plan(df):
+            return df._jdf.queryExecution().executedPlan().toString()
+
+        want = {}
+        for most in (2_000_000, 0):  # the bound changes no row
+            monkeypatch.setattr(pipeline_stages, "BROADCAST_ROWS", most)
+            for stage in (pipeline_stages.ngram_jaccard_join, pipeline_stages.benchmark_decontamination):
+                out = stage(spark, docs, SF)
+                if most:
+                    alone = plan(out).split("Union")[-1].split("HashAggregate")[0]
+                    assert "BroadcastHashJoin" in alone and "SortMergeJoin" not in plan(out)
+                got = collections.Counter(map(tuple, out.collect()))
+                assert want.setdefault(stage.__name__, got) == got
+        assert want["ngram_jaccard_join"][rows[2]] == 1 and (50, rows[0][1]) not in want["ngram_jaccard_join"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_labelled_statistics_take_ids_in_parts(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    known = materialize(docs.select("doc_id").where("doc_id % 3 = 0").distinct(), "known")
+    n, seen = known.count(), []
+    for most in (n, -(-n // 3), 1):  # one part, three parts, too many parts: joined by a shuffle
+        monkeypatch.setattr(pipeline_stages, "BROADCAST_ROWS", most)
+        seen.append(sorted((r["doc_id"], r["n_words"]) for r in pipeline_stages._labelled(docs, known).collect()))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) >= n
+
+
 def test_op6_lines(docs):
     seen, gone = [], {}
     for d, t in texts(docs):
