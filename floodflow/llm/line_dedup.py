@@ -38,7 +38,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floodflow.llm.base import discard, materialize, release, row_key, split_words
+from floodflow.llm.base import discard, let, materialize, release, row_key, split_words
 
 MIN_WORDS = 5  # default of the functions; the query and the pipeline pass 1
 PERCENT = 80
@@ -46,16 +46,17 @@ BUCKETS = 1 << 16
 MIDDLE, LONG = 32, 128  # lines of more words have parity bitmaps of 128 and of 256 bits
 BITS = ("b0", "b1", "b2", "b3")
 LEAST = 3  # words that lines with one leader have in common
+BROADCAST_ROWS = 1_000_000  # most lines whose places are broadcast; for more, texts are joined by a shuffle
 PASSES = 4  # parts of the words, joined one after the other: only one part's rows are on disk
 _NO_ID = -(1 << 63)
-_MASKS = [0x9E3779B97F4A7C15 * (k + 1) & ((1 << 56) - 1) for k in range(2)]
+_MASK = 0x3C6EF372FE94F82A
 
 
 def _rarity(docs: DataFrame) -> bytes:
     """One byte per bucket: its count over all documents on a logarithmic scale."""
-    words = F.explode(split_words(F.lower("text"))).alias("w")
     scale = F.least(F.lit(127), F.floor(4 * F.log2(F.count("*") + 1))).cast("int")
-    rows = (docs.select(words).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
+    lines = docs.select(F.explode(_lines(F.col("text"))).alias("line"))
+    rows = (lines.select(F.explode(_words(F.col("line"))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
             .agg(scale.alias("r")).collect())  # BUCKETS rows at most
     out = bytearray(BUCKETS)
     for r in rows:
@@ -63,17 +64,25 @@ def _rarity(docs: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _words(line: Column) -> Column:
+    """Lower-cased words of a line; a split at one character needs no regular expression."""
+    odd = reduce(Column.__or__, [line.contains(c) for c in "\t\x0b\x0c\r"])
+    return split_words(F.lower(F.when(odd, F.translate(line, "\t\x0b\x0c\r", " " * 4)).otherwise(line)), " ")
+
+
 def _hashes(line: Column) -> Column:
     """Hashes of the different words of a line."""
-    return F.array_distinct(F.transform(split_words(F.lower(line)), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
 
 
 def _ordered(words: Column, rarity: bytes) -> Column:
-    """The words as numbers whose order is rarity, then hash: 7 bits and 56 bits."""
+    """The words as numbers whose order is rarity, then hash: 7 bits and 56 bits. The
+    numbers are known not to be null, so they are sorted as plain numbers."""
     # Texts of numbers become one array when Spark plans the query.
     table = F.split(F.lit(",".join(map(str, rarity))), ",").cast("array<int>").cast("array<long>")
     return F.sort_array(F.transform(words, lambda h: F.shiftleft(
-        F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+        F.coalesce(F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long")), 56)
+        .bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _parity(h: Column, mask: int = 0) -> Column:
@@ -83,9 +92,9 @@ def _parity(h: Column, mask: int = 0) -> Column:
         F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _other_order(h: Column, band: int) -> Column:
-    """The words in a further order of all words."""
-    return F.sort_array(F.transform(h, lambda x: x.bitwiseAND(F.lit((1 << 56) - 1)).bitwiseXOR(F.lit(_MASKS[band]))))
+def _other_order(w: Column) -> Column:
+    """The words' hashes in an order that is not their own."""
+    return F.sort_array(F.transform(w, lambda x: x.bitwiseXOR(F.lit(_MASK))))
 
 
 def _lines(text: Column) -> Column:
@@ -101,9 +110,9 @@ def line_sets(docs: DataFrame, rarity: bytes) -> DataFrame:
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"),
                        row_key("doc_id", "text").alias("rk"), F.posexplode(_lines(F.col("text"))).alias("no", "line"))
     keys = ["doc", "rk", "no"]
-    rows = base.where(F.length("line") > 0).select(*keys, _ordered(_hashes(F.col("line")), rarity).alias("h"))
-    rows = rows.select(*keys, "h", F.size("h").alias("n"), _other_order(F.col("h"), 0).alias("o0"),
-                       _other_order(F.col("h"), 1).alias("o1"))
+    rows = base.where(F.length("line") > 0).select(*keys, _hashes(F.col("line")).alias("w"))
+    rows = rows.select(*keys, _ordered(F.col("w"), rarity).alias("h"), F.size("w").alias("n"),
+                       F.sort_array("w").alias("o0"), _other_order(F.col("w")).alias("o1"))
     h, n = F.col("h"), F.col("n")
     quarters = [F.when(n > LONG, _parity(h, mask)) for mask in (128, 192)]
     return rows.select(
@@ -196,11 +205,15 @@ def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, name: str) ->
     spots = (firsts.select("set", "first.no", "first.rk")
              .groupBy("rk").agg(F.collect_list(F.struct("set", "no")).alias("spots")))
     spots = materialize(spots, f"line-{name}-spots")
-    # Rows of one key are one text; they meet in the join's partition.
+    # Only the wanted lines' words are moved as long as the places can be broadcast. Rows of one
+    # key are one text, and give the same words.
+    many = spots.agg(F.sum(F.size("spots"))).first()[0] or 0
     keyed = docs.select(row_key("doc_id", "text").alias("rk"), "text")
-    words = (keyed.join(spots, "rk").dropDuplicates(["rk"])
-             .select(_lines(F.col("text")).alias("lines"), F.explode("spots").alias("s"))
-             .select("s.set", _hashes(F.element_at("lines", F.col("s.no") + 1)).alias("w")))
+    rows = keyed.join(F.broadcast(spots) if many <= BROADCAST_ROWS else spots, "rk")
+    own = let(_lines(F.col("text")), lambda lines: F.transform("spots", lambda s: F.struct(
+        s["set"].alias("set"), F.element_at(lines, s["no"] + 1).alias("line"))))
+    words = (rows.select(F.explode(own).alias("s")).select("s.set", _hashes(F.col("s.line")).alias("w"))
+             .dropDuplicates(["set"]))
     words = materialize(words, f"line-{name}-words")
     e = words.select(F.col("set").alias("early"), F.col("w").alias("we"))
     y = words.select(F.col("set").alias("late"), F.col("w").alias("wl"))

@@ -314,6 +314,21 @@ def test_labelled_statistics_take_ids_in_parts(spark, monkeypatch):
     assert seen[0] == seen[1] == seen[2] and len(seen[0]) >= n
 
 
+def test_op6_places_are_joined_by_a_shuffle_above_the_bound(spark, odd_docs, monkeypatch):
+    want = collections.Counter(map(tuple, line_dedup.dedup_lines(odd_docs, 1).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    assert collections.Counter(map(tuple, line_dedup.dedup_lines(odd_docs, 1).collect())) == want
+
+
+def test_op6_words_are_split_at_every_blank_and_sorted_as_numbers(spark):
+    line = "Aa\tb\x0bC\x0cd\re  f g\u00a0h "
+    df = spark.createDataFrame([(line,), ("",), (None,)], "line string")
+    got = [r[0] for r in df.select(line_dedup._words(F.col("line"))).collect()]
+    assert got == [["aa", "b", "c", "d", "e", "f", "g\u00a0h"], [], []]
+    h = df.where("line != ''").select(line_dedup._ordered(line_dedup._hashes(F.col("line")), bytes(line_dedup.BUCKETS)).alias("h"))
+    assert not h.schema["h"].dataType.containsNull  # arrays that may hold nulls are sorted as objects
+
+
 def test_op6_lines(docs):
     seen, gone = [], {}
     for d, t in texts(docs):
