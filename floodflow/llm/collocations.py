@@ -44,10 +44,14 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 PART_BYTES = 32 << 20
-BATCH_BYTES = 16 << 20
-#: A block's row has megabytes: a worker gets few at once, and a large one alone.
-ROW_BYTES = 8 << 20
-SLICE = 1 << 20
+#: Texts of a block, and those that are cut into words at once.
+BATCH_BYTES, CUT_BYTES = 8 << 20, 2 << 20
+#: A block's row has megabytes: a worker gets few at once, and a large one alone; Spark's
+#: reader holds no more than a few on the heap.
+ROW_BYTES, READ_ROWS = 4 << 20, 8
+SLICE = 1 << 19
+#: Counts in one Arrow batch, which an executor holds outside its heap.
+COUNT_ROWS = 1 << 16
 #: Counts that a task holds to add up those of its blocks.
 MERGE_ROWS = 1 << 19
 SHARD_PHRASES = 1 << 13
@@ -76,7 +80,7 @@ def _gathered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _code(docs: DataFrame) -> DataFrame:
     """One row per language of a batch of texts: its words with their counts, and the
     word numbers (places in ``words``, -1 between pieces) as int32. Texts are cut in
-    blocks of a few megabytes, which share the numbers."""
+    parts of ``CUT_BYTES``, which share the numbers."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(it):
@@ -85,14 +89,14 @@ def _code(docs: DataFrame) -> DataFrame:
                 texts = batch.column("text").take(pa.array(np.flatnonzero(langs == lang))).to_pylist()
                 number: dict[bytes, int] = {}
                 counts, parts = np.empty(0, np.int64), []
-                for a, b in blocks(texts):
+                for a, b in blocks(texts, CUT_BYTES):
                     w = Words([t.translate(LOWER) for t in texts[a:b]], _BREAKS)
                     if not len(w.code):
                         continue
                     own = np.array([number.setdefault(x, len(number)) for x in w.vocabulary.to_pylist()], np.int64)
                     counts = np.r_[counts, np.zeros(len(number) - len(counts), np.int64)]
                     counts[own] += np.bincount(w.code, minlength=len(own))
-                    marks = np.cumsum(_MARKS[w.data])[w.start]
+                    marks = np.cumsum(_MARKS[w.data], dtype=np.int32)[w.start]
                     # A text ends with a blank in the joined bytes, which does not break pieces.
                     cut = np.r_[True, (marks[1:] != marks[:-1]) | (w.text[1:] != w.text[:-1])]
                     codes = np.full(len(w.code) + int(cut.sum()), -1, np.int32)
@@ -127,9 +131,11 @@ def _recode(coded: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:
             langs, word, number = known.value
             for batch in it:
                 for lang, own, raw, before in zip(*(batch.column(c) for c in ("lang", "words", "codes", "ids")), strict=True):
-                    mine = pc.equal(langs, lang)
-                    place = pc.index_in(own.values, value_set=word.filter(mine))
-                    ids = pc.fill_null(number.filter(mine).take(place), -1).to_numpy()
+                    # The block's words are hashed, which are few, and not the vocabulary.
+                    place = pc.index_in(word, value_set=own.values)
+                    mine = pc.indices_nonzero(pc.and_(pc.equal(langs, lang), place.is_valid()))
+                    ids = np.full(len(own.values), -1, np.int64)
+                    ids[place.take(mine).to_numpy()] = number.take(mine).to_numpy()
                     if before.is_valid:
                         ids = np.maximum(ids, np.frombuffer(before.as_buffer(), np.int64))
                     if not last:
@@ -141,16 +147,21 @@ def _recode(coded: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:
                     table = np.zeros(len(ids) + 1, np.int32)  # the last entry, at -1, stays 0
                     often = ids >= 0
                     table[:-1][often] = np.arange(1, int(often.sum()) + 1)
-                    names = pa.array([ids[often].tobytes()], pa.binary())
+                    names = np.r_[-1, ids[often]]
                     for codes in _pieces(table[np.frombuffer(raw.as_buffer(), np.int32)]):
-                        yield pa.RecordBatch.from_arrays([pa.array([codes.tobytes()], pa.binary()), names],
-                                                         names=["codes", "ids"])
+                        there = np.zeros(len(names), bool)  # a piece has its own numbers, of its words alone
+                        there[codes] = True
+                        there[0] = False
+                        codes = np.cumsum(there, dtype=np.int32)[codes]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([codes.tobytes()], pa.binary()), pa.array([names[there].tobytes()], pa.binary())],
+                            names=["codes", "ids"])
 
         if last:
-            out = materialize(state.mapInArrow(run, "codes binary, ids binary"), "collocation-codes", ROW_BYTES)
+            out = materialize(state.mapInArrow(run, "codes binary, ids binary"), "collocation-codes", ROW_BYTES, READ_ROWS)
         else:
             state = materialize(state.mapInArrow(run, "lang string, words array<binary>, codes binary, ids binary"),
-                                "collocation-parts", ROW_BYTES)
+                                "collocation-parts", ROW_BYTES, READ_ROWS)
         known.destroy()
     return out
 
@@ -289,7 +300,7 @@ def _shards(phrases: DataFrame, length: int) -> tuple[DataFrame, int]:
 
     rows = phrases.select("id", "words").mapInArrow(number, "id long, words array<long>, shard int")
     tries = rows.groupBy("shard").applyInArrow(build, "shard int, parts array<binary>")
-    return materialize(tries, "collocation-tries"), shards
+    return materialize(tries, "collocation-tries", ROW_BYTES), shards
 
 
 def _accept(codes: np.ndarray, ids: np.ndarray, length: int, shards: int, tries) -> Iterator[tuple]:
@@ -301,16 +312,19 @@ def _accept(codes: np.ndarray, ids: np.ndarray, length: int, shards: int, tries)
     for d in range(1, length):
         alive &= codes[d:n + d] > 0
     at = np.flatnonzero(alive)
-    where = None
-    if shards > 1:
+    if shards > 1:  # dealt to the tries once, so that one more trie costs its own positions only
         where = _hash((ids[codes[at + d] - 1] for d in range(length)), len(at)) % np.uint64(shards)
+        where = where.astype(np.min_scalar_type(shards))
+        order = np.argsort(where, kind="stable")
+        at, where = at[order], where[order]
     for shard, parts in tries:
         trie = Trie(np.frombuffer(parts[1], np.int64), *(np.frombuffer(x, np.int32) for x in parts[2:]))
-        letters = np.r_[-1, trie.codes(ids)]
-        place = at if where is None else at[where == shard]
+        place = at if shards == 1 else at[slice(*np.searchsorted(where, np.array([shard, shard + 1], where.dtype)))]
+        letters = np.r_[-1, trie.codes(ids)] if len(place) > len(ids) else None
         state = np.zeros(len(place), np.int64)
         for d in range(length):
-            state = trie.step(state, letters[codes[place + d]])
+            word = codes[place + d]
+            state = trie.step(state, trie.codes(ids[word - 1]) if letters is None else letters[word])
             go = state >= 0
             place, state = place[go], state[go]
         yield place, trie.phrase[state], np.frombuffer(parts[0], np.int64)
@@ -320,8 +334,10 @@ _COUNTS = "a long, b long, n long"
 _Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _rows(counts: _Counts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in counts], names=["a", "b", "n"])
+def _rows(counts: _Counts) -> Iterator[pa.RecordBatch]:
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in counts], names=["a", "b", "n"])
+    for start in range(0, rows.num_rows, COUNT_ROWS):
+        yield rows.slice(start, COUNT_ROWS)
 
 
 def _pairs(left: np.ndarray, right: np.ndarray, names: np.ndarray) -> _Counts:
@@ -349,10 +365,10 @@ def _merged(counts: Iterable[_Counts]) -> Iterator[pa.RecordBatch]:
             held = [_added(held)]
             size = len(held[0][0])
             if 2 * size > MERGE_ROWS:
-                yield _rows(held[0])
+                yield from _rows(held[0])
                 held, size = [], 0
     if size:
-        yield _rows(_added(held))
+        yield from _rows(_added(held))
 
 
 def _word_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +378,7 @@ def _word_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = np.r_[-1, np.frombuffer(ids.as_buffer(), np.int64)]
             for _, codes in _slices(np.frombuffer(raw.as_buffer(), np.int32), 1):
                 both = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
-                yield _rows(_pairs(codes[both], codes[both + 1], names))
+                yield from _rows(_pairs(codes[both], codes[both + 1], names))
 
 
 def _count(blocks: DataFrame, phrases: DataFrame, length: int, least: int) -> DataFrame:
@@ -413,10 +429,10 @@ def _count(blocks: DataFrame, phrases: DataFrame, length: int, least: int) -> Da
 
         if first + GROUP_SHARDS >= shards:
             sums = state.mapInArrow(run, _COUNTS).groupBy("a", "b").agg(F.sum("n").alias("n"))
-            out = materialize(sums.where(F.col("n") >= least), f"collocation-counts-{length}", ROW_BYTES)
+            out = materialize(sums.where(F.col("n") >= least), f"collocation-counts-{length}", ROW_BYTES, READ_ROWS)
         else:
             state = materialize(state.mapInArrow(locate, "codes binary, ids binary, accepted binary"),
-                                "collocation-states", ROW_BYTES)
+                                "collocation-states", ROW_BYTES, READ_ROWS)
         for b in group:
             b.destroy()
     discard(tries)
@@ -437,23 +453,23 @@ def _each(group: list) -> Iterator[tuple]:
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, n): all word occurrences; (lang, words, k, f): frequent phrases of 1 to
     ``longest`` words, ``words`` an array of binaries."""
-    coded = materialize(_code(docs), "collocation-blocks")
+    coded = materialize(_code(docs), "collocation-blocks", ROW_BYTES)
     counted = coded.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
     total = coded.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y))
                                       .alias("n"))
     vocabulary = materialize(
         counted.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f"))
-        .where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "collocation-words")
+        .where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "collocation-words", ROW_BYTES, READ_ROWS)
     size = vocabulary.agg(F.sum(F.octet_length("word") + F.octet_length("lang") + 8)).first()[0] or 0
     known = _recode(coded, vocabulary, size)
-    total = materialize(total, "collocation-totals")
+    total = materialize(total, "collocation-totals", ROW_BYTES, READ_ROWS)
     discard(coded)
     release(docs.sparkSession)
     # Frequent phrases of the length at hand: id, lang, words (ids), text and, from two words on, f.
     now = vocabulary.select("id", "lang", F.array("id").alias("words"), F.array("word").alias("text"))
     found = vocabulary.select("lang", F.array("word").alias("words"), F.lit(1).alias("k"), "f")
     pairs = materialize(known.mapInArrow(_word_pairs, _COUNTS).groupBy("a", "b").agg(F.sum("n").alias("n"))
-                        .where(F.col("n") >= least), "collocation-pairs", ROW_BYTES)
+                        .where(F.col("n") >= least), "collocation-pairs", ROW_BYTES, READ_ROWS)
     release(docs.sparkSession)
     for k in range(2, longest + 1):
         a, b = now.alias("a"), now.alias("b")

@@ -119,6 +119,35 @@ def test_op11_large_rows_reach_a_worker_one_by_one(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == bound
 
 
+def test_op11_large_rows_have_short_pages(spark):
+    """Rows of megabytes do not gather in one page, nor in one batch of the reader."""
+    rows = spark.range(6, numPartitions=1).select(F.expr("repeat(md5(string(id)), 60000)").cast("binary").alias("codes"))
+    made = materialize(rows, "pages", collocations.ROW_BYTES, collocations.READ_ROWS)
+    (part,) = made.inputFiles()
+    hadoop, jvm = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jvm
+    file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(hadoop.fs.Path(part), spark._jsc.hadoopConfiguration())
+    pages = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+    try:
+        groups = pages.getFooter().getBlocks()
+        assert sum(pages.readOffsetIndex(g.getColumns()[0]).getPageCount() for g in groups) == 6
+    finally:
+        pages.close()
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"
+
+
+def test_op11_counts_leave_a_worker_in_short_batches(monkeypatch):
+    """An executor holds a batch outside its heap."""
+    monkeypatch.setattr(collocations, "COUNT_ROWS", 100)
+    codes = np.arange(1, 1000, dtype=np.int32)
+    block = pa.RecordBatch.from_arrays([pa.array([codes.tobytes()], pa.binary()), pa.array([(codes * 7).astype(np.int64).tobytes()], pa.binary())],
+                                       names=["codes", "ids"])
+    got = list(collocations._word_pairs(iter([block])))
+    assert max(b.num_rows for b in got) == 100
+    pairs = pa.Table.from_batches(got)
+    assert sorted(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)) == [(7 * c, 7 * c + 7) for c in range(1, 999)]
+    assert set(pairs["n"].to_pylist()) == {1}
+
+
 @pytest.mark.parametrize("size", [1, 3, 50])
 def test_op11_rows_are_cut_between_phrases(spark, monkeypatch, size):
     """Rows of a block stay small, and no phrase is cut."""
