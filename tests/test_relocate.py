@@ -1,6 +1,8 @@
 """Relocation semantics on small hand-written frames (ties, empty sides,
 missing elevation, rounding, names)."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,17 @@ def test_ties_keep_all_rows(spark):
     assert ("Waterworld", 0, 40) in dst
 
 
+def test_ties_are_repeated_last(spark):
+    """Names, shares and gaps are settled before a row is repeated for its harbours."""
+    nodes = [place(1, "town", "40", 0.5, 3.5), place(2, "city", "10", 0.5, 5.5, "East"), place(3, "city", "10", 0.5, 1.5, "West"),
+             place(4, "town", "8", 3.5, 0.5, "Far"), *[harbour(50 + i, 0.5, 3.4) for i in range(3)]]
+    got = relocate.relocations(spark.createDataFrame(nodes, NODE), spark.createDataFrame([*HIGH, (0.5, 1.5, 50)], ELEV), 10.0, 1.0)
+    assert sorted(map(tuple, got.collect())) == sorted(
+        ([("Waterworld", 30, "East"), ("Waterworld", 30, "West")] + [("Waterworld", 10, "Waterworld")] * 2 + [("Far", 8, "West")]) * 3)
+    steps = re.findall(r"Generate (?:explode\(array_repeat|inline)", got._jdf.queryExecution().optimizedPlan().toString())
+    assert [s.rpartition(" ")[2] for s in steps] == ["explode(array_repeat"] * 2 + ["inline"]
+
+
 def test_no_harbour_means_empty(spark):
     nodes = [place(1, "town", "40", 0.5, 3.5, "P"), place(2, "city", "10", 0.5, 5.5, "C")]
     rel, dst = run(spark, nodes, HIGH)
